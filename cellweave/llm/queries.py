@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, mixing, simhash, token_records, topk, warc
+from . import bpe, embedding_dedup, language, mixing, simhash, token_records, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_components(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"), folds=3, fold=1)
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.whole_vectors(_table(spark, sf_dir, "embeddings"))
     queries = vectors.where("vec_id % 20 = 0").dropDuplicates(["vec_id"])
@@ -44,10 +52,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_embeddings": op2_embeddings,
     "op3_simhash": op3_simhash,
     "op4_topk": op4_topk,
     "op5_bpe": op5_bpe,
     "op6_tokens": op6_tokens,
+    "op8_language": op8_language,
     "op9_warc": op9_warc,
 }
 
@@ -112,3 +122,22 @@ SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,
        CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
 FROM m
 """
+
+ORACLE_SQL["op2_embeddings"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(u, w) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT r.u, p.w FROM reach r JOIN pairs p ON r.w = p.u),
+c AS (SELECT u, min(w) AS component_id FROM reach GROUP BY u),
+n AS (SELECT u, count(*) AS n FROM pairs GROUP BY u)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e LEFT JOIN c ON c.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id
+"""
