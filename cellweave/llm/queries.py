@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, embedding_dedup, language, mixing, simhash, token_records, topk, warc
+from . import bpe, embedding_dedup, language, mixing, simhash, token_records, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=4, fold=2, threshold=0.3)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_embeddings": op2_embeddings,
@@ -59,6 +63,7 @@ QUERIES = {
     "op6_tokens": op6_tokens,
     "op8_language": op8_language,
     "op9_warc": op9_warc,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
