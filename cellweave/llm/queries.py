@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, embedding_dedup, language, mixing, simhash, token_records, topk, toxicity, warc
+from . import bpe, embedding_dedup, language, mixing, simhash, suffix_dedup, token_records, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_components(_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"), folds=3, fold=1)
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_topk": op4_topk,
     "op5_bpe": op5_bpe,
     "op6_tokens": op6_tokens,
+    "op7_repeats": op7_repeats,
     "op8_language": op8_language,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
