@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import public_tokenizers
 
 from . import bpe, embedding_dedup, language, mixing, simhash, suffix_dedup, token_records, topk, toxicity, warc
@@ -69,6 +70,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}
