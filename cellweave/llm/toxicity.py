@@ -186,10 +186,11 @@ def log_odds(texts: list[np.ndarray], labels: np.ndarray, owners: list[np.ndarra
         counts[int(y), np.unique(np.concatenate([owners[w] for w in t]))] += 1 if len(t) else 0
     total = np.array([(labels == 0).sum(), (labels == 1).sum()])[:, None]
     rate = (counts + 0.5 * total / total.sum()) / (total + 1)
-    return np.clip(np.log(rate[1] / rate[0]) * (counts.sum(axis=0) >= 2), -3, 3)
+    seen = counts.sum(axis=0)
+    return np.clip(np.log(rate[1] / rate[0]) * seen / (seen + 4), -2, 4)  # few texts say little
 
 
-def train(texts: list[str | None], labels: list[int], rounds: int = 8, batch: int = 128, rate: float = 0.01, seed: int = 7) -> dict:
+def train(texts: list[str | None], labels: list[int], rounds: int = 8, batch: int = 128, steps: int = 300, rate: float = 0.01, seed: int = 7) -> dict:
     """The network's parameters, with an output shifted so that a score of 0.3 parts the sample's texts best."""
     y = np.array(labels, dtype=np.float32)
     if not len(y) or y.min() == y.max():
@@ -212,21 +213,25 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 8, batch: in
     every = [windows(t) for t in tokens]
     starts = np.cumsum([0] + [len(e) for e in every])
     idx = np.concatenate(every)
+    with_empty = np.concatenate([idx, np.zeros((1, WINDOW), dtype=idx.dtype)])
     x = net.words((bucket, grams, counts))
     hint = np.concatenate([[-3], x[:, 2 * SIZE] + x[:, 0]])  # the first round takes the windows with the most telling words
     scores = np.sort(hint[idx], axis=1)[:, -3:].sum(axis=1)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items() if k not in ("Ew", "Ec")}
     square = {k: np.full(net.p[k].shape, 1e-2, dtype=np.float32) for k in ("Ew", "Ec")}
     step = 0
+    batch = min(batch, max(16, len(y) // 24))  # a small sample gets smaller batches and more rounds
+    rounds = max(rounds, min(4 * rounds, -(-steps * batch // max(len(y), 1))))
     for _ in range(rounds):
         best = np.array([s + int(np.argmax(scores[s:e])) for s, e, b in zip(starts, starts[1:], back) if not b])
         other = np.array([r.integers(s, e) for s, e, label, b in zip(starts, starts[1:], y, back) if not label and not b])
-        chosen, goal = np.concatenate([best, other]), np.concatenate([y[~back], np.zeros(len(other), dtype=np.float32)])
+        empty = np.full(max(1, len(other) // 20), len(idx))  # windows without tokens are clean
+        chosen, goal = np.concatenate([best, other, empty]), np.concatenate([y[~back], np.zeros(len(other) + len(empty), dtype=np.float32)])
         order = r.permutation(len(chosen))
         weight = np.where(goal > 0, min(5.0, float((goal == 0).sum() / (goal > 0).sum())), 1.0).astype(np.float32)
         for low in range(0, len(order), batch):
             take = order[low : low + batch]
-            used, local = np.unique(idx[chosen[take]], return_inverse=True)
+            used, local = np.unique(with_empty[chosen[take]], return_inverse=True)
             local = local.reshape(len(take), WINDOW)
             if used[0] == 0:
                 used = used[1:]
