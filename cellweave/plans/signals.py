@@ -178,16 +178,17 @@ def kmeans_1d(spark, sf_dir):
 
 
 ORACLE_SQL["kmeans_1d"] = """
-WITH RECURSIVE v AS (SELECT l_returnflag AS k, l_quantity AS v, count(*) AS n, sum(count(*)) OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS upto FROM lineitem GROUP BY ALL),
+WITH RECURSIVE q AS (SELECT l_returnflag AS k, l_quantity AS v, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_quantity),
+v AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY v) AS upto FROM q),
 t AS (SELECT k, max(upto) AS total FROM v GROUP BY k),
 r(step, k, c) AS (
   SELECT 0, t.k, [(SELECT min(v.v) FROM v WHERE v.k = t.k AND v.upto > 0), (SELECT min(v.v) FROM v WHERE v.k = t.k AND v.upto > floor(t.total / 3)), (SELECT min(v.v) FROM v WHERE v.k = t.k AND v.upto > floor(2 * t.total / 3))] FROM t
   UNION ALL
-  SELECT any_value(r.step) + 1, r.k, [
-    coalesce(sum(v * n) FILTER (abs(v - c[1]) <= abs(v - c[2]) AND abs(v - c[1]) <= abs(v - c[3])) / sum(n) FILTER (abs(v - c[1]) <= abs(v - c[2]) AND abs(v - c[1]) <= abs(v - c[3])), any_value(c)[1]),
-    coalesce(sum(v * n) FILTER (abs(v - c[2]) < abs(v - c[1]) AND abs(v - c[2]) <= abs(v - c[3])) / sum(n) FILTER (abs(v - c[2]) < abs(v - c[1]) AND abs(v - c[2]) <= abs(v - c[3])), any_value(c)[2]),
-    coalesce(sum(v * n) FILTER (abs(v - c[3]) < abs(v - c[1]) AND abs(v - c[3]) < abs(v - c[2])) / sum(n) FILTER (abs(v - c[3]) < abs(v - c[1]) AND abs(v - c[3]) < abs(v - c[2])), any_value(c)[3])]
-  FROM r JOIN v ON v.k = r.k WHERE r.step < 10 GROUP BY r.k)
+  SELECT step + 1, k, [coalesce(sum(vn) FILTER (i = 1) / sum(n) FILTER (i = 1), any_value(c)[1]), coalesce(sum(vn) FILTER (i = 2) / sum(n) FILTER (i = 2), any_value(c)[2]), coalesce(sum(vn) FILTER (i = 3) / sum(n) FILTER (i = 3), any_value(c)[3])]
+  FROM (
+    SELECT r.step, r.k, r.c, v.v * v.n AS vn, v.n, list_position(list_transform(r.c, lambda y: abs(y - v.v)), list_min(list_transform(r.c, lambda y: abs(y - v.v)))) AS i
+    FROM r JOIN v ON v.k = r.k WHERE r.step < 10)
+  GROUP BY step, k)
 SELECT k AS l_returnflag, list_transform(c, lambda x: round(x, 6)) AS centroids FROM r WHERE step = 10
 """
 
