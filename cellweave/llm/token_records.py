@@ -4,7 +4,8 @@ A record: the payload's length (u64), the masked checksum of those 8 bytes
 (u32), the payload, its masked checksum (u32), all little-endian.  A checksum
 is CRC-32; masked, so that checksums of data that hold checksums stay random:
 rotated right by 15 bits, plus 0xA282EAD8.  A payload: doc_id (i64, the least
-value for null), number of ids (u32), the ids (u32 each).
+value for null), number of ids (u32), bytes per id (u8: 2 if all ids fit, else 4), the
+ids.
 
 Documents are range-partitioned and sorted by doc_id.  A task writes its range
 to files of its own, named by partition number, under an attempt name first and
@@ -67,12 +68,15 @@ def unframe(data: bytes, at: int = 0) -> tuple[bytes, int]:
 
 
 def pack(doc_id: int | None, ids: bytes) -> bytes:
-    return struct.pack("<qI", NO_ID if doc_id is None else doc_id, len(ids) // 4) + ids
+    """A payload of ids given as little-endian unsigned 32-bit integers."""
+    numbers = np.frombuffer(ids, dtype="<u4")
+    width = 2 if not len(numbers) or numbers.max() < 1 << 16 else 4
+    return struct.pack("<qIB", NO_ID if doc_id is None else doc_id, len(numbers), width) + numbers.astype(f"<u{width}").tobytes()
 
 
 def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
-    doc_id, n = struct.unpack_from("<qI", payload)
-    return None if doc_id == NO_ID else doc_id, np.frombuffer(payload, dtype="<u4", count=n, offset=12)
+    doc_id, n, width = struct.unpack_from("<qIB", payload)
+    return None if doc_id == NO_ID else doc_id, np.frombuffer(payload, dtype=f"<u{width}", count=n, offset=13).astype("<u4")
 
 
 class WordCache:
