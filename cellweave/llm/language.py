@@ -93,7 +93,9 @@ def train(labelled: DataFrame, centroids: int = 4, sample_per_language: int = 20
 
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = labelled.join(sizes, "lang").where(draw < F.lit(float(sample_per_language)) / F.col("n")).select("doc_id", "lang", "text")
+    # texts are not shuffled: the drawn identifiers, about sample_per_language a language, are broadcast to them
+    ids = labelled.select("doc_id", "lang").join(sizes, "lang").where(draw < F.lit(float(sample_per_language)) / F.col("n")).select(F.col("doc_id").alias("_id")).distinct()
+    sample = labelled.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "lang", "text")
 
     def sparse(batches):
         letters = letter_table()
