@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curating, grids, scoring, signals, symbols, texts
+from . import curating, grids, scoring, shapes, signals, symbols, texts
 
-_MODULES = (scoring, grids, signals, curating, symbols, texts)
+_MODULES = (scoring, grids, signals, curating, symbols, texts, shapes)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
