@@ -28,18 +28,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Removes a table of :func:`saved` that nothing will read again."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder.startswith(shared_folder(spark).removeprefix("file://")) or folder.startswith(shared_folder(spark)) or "/checkpoints/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Removes a table that nothing will read again."""
+    table = spark._jvm.org.apache.hadoop.fs.Path(path)
+    table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(table, True)

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import drop_table, saved
+from ._spark import drop_table, fresh_path, saved
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,13 +30,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Self-loops, repeated and reversed edges and nulls are allowed (rows with a
     null are ignored); an empty table gives an empty table.
     """
-    now = saved(edges.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct(), "edges")
+    spark, path = edges.sparkSession, fresh_path(edges.sparkSession, "edges")
+    now = saved(edges.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct(), "edges", path)
     state = None
     for _ in range(max_rounds):
-        after = saved(_star(_star(now, large=True), large=False), "edges")
+        next_path = fresh_path(spark, "edges")
+        after = saved(_star(_star(now, large=True), large=False), "edges", next_path)
         mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_table(now)
-        now = after
+        drop_table(spark, path)
+        now, path = after, next_path
         if tuple(mark) == state:
             break
         state = tuple(mark)
