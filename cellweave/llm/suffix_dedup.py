@@ -47,9 +47,11 @@ from .bpe import ragged
 
 LENGTH, GRAM, LAST = 50, 16, (1 << 63) - 1
 _STEP = 1 << 19
+#: Parts of a shard, by bits of the anchor, that are sorted one after the other.
+PARTS = 16
 
 
-def _squeeze(data: bytes, level: int = 3) -> bytes:
+def _squeeze(data: bytes, level: int = 7) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(data)
 
 
@@ -132,8 +134,18 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _anchor_number(h: np.ndarray) -> np.ndarray:
+    """48 evenly spread bits: anchors are least hashes, so the hashes themselves crowd at the low end.
+
+    Two anchors with one number only cost a comparison.
+    """
+    h = h * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(16)
+
+
 def runs(data: np.ndarray, ends: np.ndarray):
-    """(first windows, numbers of windows, anchor hashes, documents) of all runs of windows with one anchor."""
+    """(first windows, numbers of windows, anchors, documents) of all runs of windows with one anchor."""
     found = []
     for low in range(0, max(len(data) - LENGTH + 1, 0), _STEP):
         piece = data[low : low + _STEP + LENGTH - 1]
@@ -153,15 +165,15 @@ def runs(data: np.ndarray, ends: np.ndarray):
             continue
         anchor, doc = anchor[ok], doc[ok]
         first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (ok[1:] != ok[:-1] + 1)]))
-        found.append((ok[first] + low, np.diff(np.append(first, len(ok))), h[anchor[first]], doc[first]))
+        found.append((ok[first] + low, np.diff(np.append(first, len(ok))), _anchor_number(h[anchor[first]]), doc[first]))
     if not found:
         return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where sorted keys pass from one shard to the next: shards are ranges of hashes."""
-    low = (np.arange(shards + 1, dtype=object) << 64) // shards
+    """Where sorted keys pass from one shard to the next: shards are ranges of anchors."""
+    low = (np.arange(shards + 1, dtype=object) << 48) // shards
     return np.searchsorted(keys, np.array(low[:-1], dtype=np.uint64)).tolist() + [len(keys)]
 
 
@@ -207,7 +219,7 @@ def _with_texts(blocks: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def segments(blocks: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
-    """(block, shard, data, extra): distinct segments with their smallest doc_id; extra has the places of each in the block."""
+    """(block, shard, data, places): distinct segments with their smallest doc_id, and the places of each in the block."""
 
     def send(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows["shard"] == -1
@@ -230,10 +242,11 @@ def segments(blocks: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
             least = np.full(len(number), LAST)
             np.minimum.at(least, at, doc_ids[docs[take]])
             lengths = np.fromiter(map(len, number), dtype=np.int32, count=len(number))
-            out.append((rows["block"].iloc[0], shard, _arrays(lengths, least, np.frombuffer(b"".join(number), dtype=np.uint8)), _arrays(at, starts[take].astype(np.int64), (doc_ids[docs[take]] > least[at]).astype(np.uint8))))
-        return pd.DataFrame(out, columns=["block", "shard", "data", "extra"])
+            part = (keys[take[np.unique(at, return_index=True)[1]]] >> np.uint64(8) & np.uint64(PARTS - 1)).astype(np.uint8)
+            out.append((rows["block"].iloc[0], shard, _arrays(lengths, least, np.frombuffer(b"".join(number), dtype=np.uint8), part), _arrays(at, starts[take].astype(np.int64), (doc_ids[docs[take]] > least[at]).astype(np.uint8))))
+        return pd.DataFrame(out, columns=["block", "shard", "data", "places"])
 
-    return saved(_with_texts(blocks, shared).groupBy("block").applyInPandas(send, "block long, shard int, data binary, extra binary"), "segments")
+    return _with_texts(blocks, shared).groupBy("block").applyInPandas(send, "block long, shard int, data binary, places binary")
 
 
 def refine(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -263,80 +276,72 @@ def refine(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> np.ndarr
 
 
 def judge(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each block of a shard, the windows of its segments that an earlier document has too: (segment, first window, windows)."""
+    """For each block of a shard, the runs of its windows that an earlier document has too: (block, data)."""
     parts = [_from_arrays(d) for d in rows["data"]]
     number: dict[bytes, int] = {}
     own = []
-    for lengths, _, data in parts:
+    for lengths, _, data, _ in parts:
         text, cuts = data.tobytes(), np.cumsum(lengths).tolist()
         own.append(np.fromiter((number.setdefault(text[a:b], len(number)) for a, b in zip([0, *cuts], cuts)), dtype=np.int64, count=len(cuts)))
-    least = np.full(len(number), LAST)
-    for o, (_, docs, _) in zip(own, parts):
+    least, part = np.full(len(number), LAST), np.zeros(len(number), dtype=np.uint8)
+    for o, (_, docs, _, p) in zip(own, parts):
         np.minimum.at(least, o, docs)
-    lengths = np.fromiter(map(len, number), dtype=np.int64, count=len(number))
-    data, ends = np.frombuffer(b"".join(number), dtype=np.uint8), np.cumsum(lengths)
-    bucket = refine(data, np.repeat(ends, lengths))
-    segment = np.repeat(np.arange(len(lengths)), lengths)
-    window = np.flatnonzero(bucket >= 0)
-    first_doc = np.full(int(bucket.max()) + 1, LAST)
-    np.minimum.at(first_doc, bucket[window], least[segment[window]])
-    earliest = first_doc[bucket[window]]  # per window, in order of segment and place
-    counts = lengths - LENGTH + 1
+        part[o] = p
+    texts = list(number)
+    counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) - LENGTH + 1
     begins = np.cumsum(counts) - counts
+    earliest = np.full(int(counts.sum()), LAST)  # per window, in order of segment and place: the smallest doc_id that has it
+    for p in range(PARTS):
+        mine = np.flatnonzero(part == p)
+        if not len(mine):
+            continue
+        lengths = counts[mine] + LENGTH - 1
+        bucket = refine(np.frombuffer(b"".join([texts[i] for i in mine.tolist()]), dtype=np.uint8), np.repeat(np.cumsum(lengths), lengths))
+        window = np.flatnonzero(bucket >= 0)
+        first_doc = np.full(int(bucket.max()) + 1, LAST)
+        np.minimum.at(first_doc, bucket[window], np.repeat(least[mine], counts[mine]))
+        at = np.repeat(begins[mine] - (np.cumsum(counts[mine]) - counts[mine]), counts[mine]) + np.arange(len(window))
+        earliest[at] = first_doc[bucket[window]]
     out = []
-    for block, shard, o, (_, docs, _) in zip(rows["block"], rows["shard"], own, parts):
+    for block, o, (lengths, docs, _, _), places in zip(rows["block"], own, parts, rows["places"]):
         n = counts[o]
-        gone = ragged(earliest, begins[o], n) < np.repeat(docs, n)
+        hit = np.flatnonzero(ragged(earliest, begins[o], n) < np.repeat(docs, n))
         item, place = np.repeat(np.arange(len(o)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        hit = np.flatnonzero(gone)
-        if not len(hit):
-            continue
-        new = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (item[hit[1:]] != item[hit[:-1]])]))
-        out.append((block, shard, _arrays(item[hit[new]].astype(np.int32), place[hit[new]].astype(np.int32), np.diff(np.append(new, len(hit))).astype(np.int32))))
-    return pd.DataFrame(out, columns=["block", "shard", "data"])
+        new = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (item[hit[1:]] != item[hit[:-1]])])) if len(hit) else hit
+        item, place, size = item[hit[new]], place[hit[new]], np.diff(np.append(new, len(hit)))
+        at, start, later = _from_arrays(places)
+        later = later.astype(bool)  # an earlier document of this block has the whole segment
+        order = np.flatnonzero(~later)[np.argsort(at[~later], kind="stable")]
+        low, high = np.searchsorted(at[order], item, side="left"), np.searchsorted(at[order], item, side="right")
+        begin = np.concatenate([start[later], start[order[ragged(np.arange(len(order)), low, high - low)]] + np.repeat(place, high - low)])
+        size = np.concatenate([counts[o][at[later]], np.repeat(size, high - low)])
+        if len(begin):
+            order = np.argsort(begin, kind="stable")
+            out.append((block, _arrays(np.diff(begin[order], prepend=0), size[order].astype(np.int32))))
+    return pd.DataFrame(out, columns=["block", "data"])
 
 
 def _removed(rows: pd.DataFrame):
     """(doc_ids, ends, bytes, flags of the removed bytes) of a block."""
-    own = rows["kind"] == "text"
+    own = rows["extra"].notna()
     doc_ids, ends, data = _block(rows.loc[own, "extra"].iloc[0], rows.loc[own, "data"].iloc[0])
-    change = np.zeros(len(data) + 1, dtype=np.int64)
-    found = {s: _from_arrays(d) for s, d in zip(rows.loc[rows["kind"] == "found", "shard"], rows.loc[rows["kind"] == "found", "data"])}
-    lengths_of = rows[rows["kind"] == "places"]
-    for shard, extra, lengths in zip(lengths_of["shard"], lengths_of["extra"], lengths_of["data"]):
-        at, start, later = _from_arrays(extra)
-        (sizes,) = _from_arrays(lengths)
-        gone = later.astype(bool)  # an earlier document of this block has the whole segment
-        np.add.at(change, start[gone], 1)
-        np.add.at(change, start[gone] + sizes[at[gone]], -1)
-        if shard in found:
-            item, place, n = found[shard]
-            at, start = at[~gone], start[~gone]
-            order = np.argsort(at, kind="stable")
-            low, high = np.searchsorted(at[order], item, side="left"), np.searchsorted(at[order], item, side="right")
-            begin = start[order[ragged(np.arange(len(order)), low, high - low)]] + np.repeat(place, high - low)
-            np.add.at(change, begin, 1)
-            np.add.at(change, begin + np.repeat(n, high - low) + LENGTH - 1, -1)
+    change = np.zeros(len(data) + 1, dtype=np.int32)
+    for d in rows.loc[~own, "data"]:
+        begin, size = _from_arrays(d)
+        begin = np.cumsum(begin)
+        np.add.at(change, begin, 1)
+        np.add.at(change, begin + size + LENGTH - 1, -1)
     return doc_ids, ends, data, np.cumsum(change[:-1]) > 0
 
 
 def _judged(docs: DataFrame, rest: bool) -> DataFrame:
-    """Rows to group by block: texts, places and verdicts."""
+    """Rows to group by block: its texts, and the windows to remove."""
     blocks = pack(docs)
     size = blocks.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-size // (4 << 20)))
-    found = segments(blocks, shared_anchors(blocks, shards), shards)
-    verdicts = found.select("block", "shard", "data").groupBy("shard").applyInPandas(judge, "block long, shard int, data binary")
-
-    def places(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_arrays(_from_arrays(d)[0]) for d in b.column(2).to_pylist()], type=pa.binary()), b.column(3)], names=["block", "shard", "data", "extra"])
-
-    own = blocks.select("block", F.lit("text").alias("kind"), F.lit(-1).alias("shard"), F.col("texts").alias("data"), F.col("ids").alias("extra"), *(["rest"] if rest else []))
-    return (
-        own.unionByName(found.mapInArrow(places, "block long, shard int, data binary, extra binary").withColumn("kind", F.lit("places")), allowMissingColumns=True)
-        .unionByName(verdicts.withColumn("kind", F.lit("found")), allowMissingColumns=True)
-    )
+    verdicts = segments(blocks, shared_anchors(blocks, shards), shards).groupBy("shard").applyInPandas(judge, "block long, data binary")
+    own = blocks.select("block", F.col("texts").alias("data"), F.col("ids").alias("extra"), *(["rest"] if rest else []))
+    return own.unionByName(verdicts, allowMissingColumns=True)
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
@@ -365,7 +370,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
         doc_ids, ends, data, gone = _removed(rows)
-        rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rows.loc[rows["kind"] == "text", "rest"].iloc[0])).read_all()
+        rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rows.loc[rows["extra"].notna(), "rest"].iloc[0])).read_all()
         texts, begin = [], 0
         for end in ends.tolist():
             texts.append(data[begin:end][~gone[begin:end]].tobytes().decode("utf-8", "ignore"))
