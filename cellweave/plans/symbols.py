@@ -20,9 +20,8 @@ def _query(fn):
 
 def _letters(spark, sf_dir):
     """Per language the number of each letter; one pass, counts inside the scan's stage, 26 sums a language shuffled."""
-    low = F.lower("text")
-    count = lambda c: F.sum(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit(""))))
-    wide = table(spark, sf_dir, "documents").groupBy("lang").agg(*[count(c).alias(c) for c in _ALPHABET])
+    count = lambda c: F.sum(F.length("low") - F.length(F.replace("low", F.lit(c), F.lit(""))))
+    wide = table(spark, sf_dir, "documents").select("lang", F.lower("text").alias("low")).groupBy("lang").agg(*[count(c).alias(c) for c in _ALPHABET])
     long = wide.select("lang", F.explode(F.array(*[F.struct(F.lit(c).alias("symbol_id"), F.col(c).alias("n")) for c in _ALPHABET])).alias("x")).select("lang", "x.*")
     return long.where("n > 0")
 
