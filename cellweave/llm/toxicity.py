@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import ragged
 from .language import held_out
 
 WINDOW, STEP, HIDDEN, ATTEND, SIZE = 32, 16, 8, 8, 8
@@ -43,10 +44,15 @@ class _Numbers(dict):
         return n
 
 
-def word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_inputs(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket of each word, buckets of all their n-grams one after the other, number of n-grams of each); each word has one at least."""
     if not words:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint16), np.zeros(0, dtype=np.uint16), np.zeros(0, dtype=np.int64)
+    parts = [_word_inputs(words[a : a + at_once]) for a in range(0, len(words), at_once)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.array([len(w) + 2 for w in words], dtype=np.int64)
     codes = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     word = np.repeat(np.arange(len(words)), lengths)
@@ -59,14 +65,14 @@ def word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h ^= h >> np.uint64(29)
         if n in ORDERS:
             ok = left[: len(h)] >= n
-            grams.append(((h[ok] * np.uint64(0xBF58476D1CE4E5B9 + 2 * n)) >> np.uint64(48)).astype(np.int64) % GRAM_BUCKETS)
+            grams.append(((h[ok] * np.uint64(0xBF58476D1CE4E5B9 + 2 * n)) >> np.uint64(48)).astype(np.uint16))  # GRAM_BUCKETS of them
             owners.append(word[: len(h)][ok])
     grams, owners = np.concatenate(grams), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
     # the whole word's bucket: a hash over all its characters
     weight = np.power(np.uint64(0x100000001B3), place.astype(np.uint64))
     whole = np.add.reduceat(codes * weight, np.cumsum(lengths) - lengths)
-    bucket = ((whole * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)).astype(np.int64)
+    bucket = ((whole * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)).astype(np.uint16)  # WORD_BUCKETS of them
     return bucket, grams[order], np.bincount(owners, minlength=len(words))
 
 
@@ -179,11 +185,11 @@ class Network:
         return g, tables
 
 
-def log_odds(texts: list[np.ndarray], labels: np.ndarray, owners: list[np.ndarray], buckets: int) -> np.ndarray:
-    """Per bucket, the log-odds of being in a toxic text, for a start of the embeddings."""
+def log_odds(texts: list[np.ndarray], labels: np.ndarray, of_words, buckets: int) -> np.ndarray:
+    """Per bucket, the log-odds of being in a toxic text, for a start of the embeddings; ``of_words`` gives the buckets of word numbers."""
     counts = np.zeros((2, buckets))
     for t, y in zip(texts, labels):
-        counts[int(y), np.unique(np.concatenate([owners[w] for w in t]))] += 1 if len(t) else 0
+        counts[int(y), np.unique(of_words(t))] += 1
     total = np.array([(labels == 0).sum(), (labels == 1).sum()])[:, None]
     rate = (counts + 0.5 * total / total.sum()) / (total + 1)
     seen = counts.sum(axis=0)
@@ -202,21 +208,22 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 8, batch: in
     numbers = _Numbers()
     tokens = [np.array([numbers[w] for w in TOKEN.findall((t or "").lower())], dtype=np.int64) for t in texts]
     bucket, grams, counts = word_inputs(list(numbers))
-    ends = np.cumsum(counts)
-    of_word = [grams[e - c : e] for e, c in zip(ends, counts)]
+    begins = np.cumsum(counts) - counts
+    of_words = lambda w: ragged(grams, begins[w], counts[w])
     net = Network(seed)
     distinct = [np.unique(t) for t in tokens]
     filled = [i for i, t in enumerate(distinct) if len(t) and not back[i]]
     some = [distinct[i] for i in filled]
-    net.p["Ec"][:, 0] = log_odds(some, y[filled], of_word, GRAM_BUCKETS) / 2
-    net.p["Ew"][:, 0] = log_odds(some, y[filled], [bucket[i : i + 1] for i in range(len(bucket))], WORD_BUCKETS) / 2
+    net.p["Ec"][:, 0] = log_odds(some, y[filled], of_words, GRAM_BUCKETS) / 2
+    net.p["Ew"][:, 0] = log_odds(some, y[filled], bucket.__getitem__, WORD_BUCKETS) / 2
     every = [windows(t) for t in tokens]
     starts = np.cumsum([0] + [len(e) for e in every])
     idx = np.concatenate(every)
     with_empty = np.concatenate([idx, np.zeros((1, WINDOW), dtype=idx.dtype)])
     x = net.words((bucket, grams, counts))
     hint = np.concatenate([[-3], x[:, 2 * SIZE] + x[:, 0]])  # the first round takes the windows with the most telling words
-    scores = np.sort(hint[idx], axis=1)[:, -3:].sum(axis=1)
+    scores = np.concatenate([np.sort(hint[idx[a : a + 8192]], axis=1)[:, -3:].sum(axis=1) for a in range(0, len(idx), 8192)])
+    del x, hint
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items() if k not in ("Ew", "Ec")}
     square = {k: np.full(net.p[k].shape, 1e-2, dtype=np.float32) for k in ("Ew", "Ec")}
     step = 0
@@ -239,7 +246,7 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 8, batch: in
                 local = local + 1
             w = used.astype(np.int64) - 1
             spans = counts[w]
-            from_gram = np.concatenate([of_word[i] for i in w]) if len(w) else np.zeros(0, dtype=np.int64)
+            from_gram = of_words(w)
             mine = (bucket[w], from_gram, spans)
             xin = net.words(mine)
             logits, kept = net.forward(net.gates(xin), local, keep=True)
