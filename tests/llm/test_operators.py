@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from cellweave.llm import bpe, embedding_dedup, language, mixing, simhash, suffix_dedup, token_records, topk, toxicity, warc
+from cellweave.llm import bpe, embedding_dedup, language, mixing, near_copies, simhash, suffix_dedup, token_records, topk, toxicity, warc
 from cellweave.llm.components import connected_components, local_stars
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -124,6 +124,48 @@ class TestSimhash:
         assert 1 not in kept and 6 not in kept and 11 not in kept and kept.count(10) == 2
 
 
+def similar_texts():
+    """Documents with planted near copies from below 0.8 to 0.95, a chain, and a group whose key holds several components."""
+    r, rows = np.random.default_rng(8), []
+    for _ in range(60):
+        words = [f"w{x}" for x in r.integers(0, 5000, r.integers(60, 400))]
+        rows.append(words)
+        for want in (0.7, 0.78, 0.8, 0.82, 0.85, 0.9, 0.95):
+            copy, n = list(words), len(words) - 4
+            for at in r.choice(len(words), max(1, round(n * (1 - want) / (1 + want) / 5)), replace=False):
+                copy[at] = f"new{r.integers(0, 10**9)}"
+            rows.append(copy)
+    words = [f"c{i}" for i in range(200)]
+    for i in range(60):  # each step is a near copy of the step before only
+        words = [*words[6:], *(f"c{200 + 6 * i + k}" for k in range(6))]
+        rows.append(words)
+    order = r.permutation(len(rows))
+    return [(int(i), " ".join(rows[k])) for i, k in enumerate(order)] + [(2000, None), (2001, ""), (2002, "two words"), (2003, "Two  words")]
+
+
+class TestNearCopies:
+    def test_planted_near_copies(self, spark):
+        rows = similar_texts()
+        sets = {i: {tuple((t or "").lower().split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} for i, t in rows}
+        like = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i > j}
+        assert sum(0.8 <= s <= 0.95 for s in like.values()) > 100
+        want = components([p for p, s in like.items() if s >= 0.8], sets)
+        docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+        got = {r["doc_id"]: r["component_id"] for r in near_copies.similar_components(docs).collect()}
+        assert got == want
+        import corpus_pipeline
+
+        stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
+        assert {r["doc_id"] for r in stage(spark, docs, "").collect()} == set(want.values())
+
+    @pytest.mark.parametrize("piece_size", [3, 1024])
+    def test_cross_pairs_are_whole(self, spark, piece_size):
+        rows = [(k, k * 10 + i, i % 3) for k in range(3) for i in range(8 + k)] + [(9, 500, 1), (9, 501, 1)]
+        signs = spark.createDataFrame([(r[1], bytearray(near_copies.BANDS * near_copies.ROWS)) for r in rows], "rep long, sign binary").distinct()
+        got = {(r["hub"], r["member"]) for r in near_copies.cross_pairs(spark.createDataFrame(rows, "key long, rep long, c long"), signs, 0.8, piece_size).collect()}
+        assert got == {(a, b) for k, a, x in rows for m, b, y in rows if k == m and x != y and a < b}
+
+
 def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
