@@ -24,6 +24,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,7 +153,9 @@ class BytePairs:
         return ragged(self.token_bytes, self.token_start[ids], self.token_length[ids]).tobytes().decode("utf-8", "replace")
 
 
-class _Words(dict):
+class Numbers(dict):
+    """Numbers words in the order in which they come."""
+
     def __missing__(self, word):
         self[word] = n = len(self)
         return n
@@ -166,7 +169,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.words = _Words()
+        self.words = Numbers()
         self.flat = np.zeros(0, dtype=np.uint32)
         self.starts = self.lengths = np.zeros(0, dtype=np.int64)
         for token in self.v.specials:
@@ -220,6 +223,21 @@ def text_blocks(batches, columns: int, text_at: int, most: int = 8_000_000):
         yield held
 
 
+def arrow_blocks(batches, text_at: int, most: int = 16 << 20):
+    """The batches, joined until their texts have ``most`` bytes."""
+    held, size = [], 0
+    for b in batches:
+        for at in range(0, b.num_rows, 512):
+            part = b.slice(at, 512)
+            held.append(part)
+            size += pc.sum(pc.binary_length(part.column(text_at))).as_py() or 0
+            if size >= most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _definition(docs: DataFrame, path: str):
     """The vocabulary file, read once on the driver and sent to the executors; its size does not depend on the data."""
     with open(path, encoding="utf-8") as f:

@@ -7,16 +7,17 @@ rotated right by 15 bits, plus 0xA282EAD8.  A payload: doc_id (i64, the least
 value for null), number of ids (u32), bytes per id (u8: 2 if all ids fit, else 4), the
 ids.
 
-Documents are range-partitioned and sorted by doc_id.  A task writes its range
-to files of its own, named by partition number, under an attempt name first and
-renamed when whole, so a repeated task overwrites the same bytes.  It returns
-the index rows (doc_id, file, offset, bytes, n_tokens), stored beside the files
-as Parquet.  Where a document begins in the stream of all ids is a prefix sum:
+Documents are encoded where they are; their payloads are range-partitioned and
+sorted by doc_id, then checksum.  A task writes its range to files of its own,
+named by partition number, under an attempt name first and renamed when whole,
+so a repeated task overwrites the same bytes.  It returns the index rows
+(doc_id, file, offset, bytes, n_tokens), stored beside the files as Parquet.  Where a document begins in the stream of all ids is a prefix sum:
 inside a file by its reader, over files by a window with a row per file.
 
 Defined cases: null and empty texts hold the end id only; null doc_ids come
 first; rows that repeat a doc_id are a record each, next to each other, in order
-of their text; an empty table writes no files; other columns are ignored.
+of the payload's checksum, then of the payload; an empty table writes no files;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,18 +29,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import fresh_path
-from .bpe import text_blocks
+from ._spark import drop_table, fresh_path, saved
+from .bpe import Numbers, arrow_blocks, byte_alphabet, ragged
 
 NO_ID = -(1 << 63)
 #: How the vocabulary cuts words: a fixed value of it, here for characters below U+0250 on which the standard library's classes agree with Unicode's.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-NOT_SIMPLE = re.compile("[\xb2\xb3\xb9\xbc\xbd\xbe\u0130]|[^\x00-\u024f]")
+NOT_SIMPLE = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc\xbd\xbe\u0130]|[^\x00-\u024f]")
 
 
 def masked_crc(data: bytes) -> int:
@@ -67,11 +69,15 @@ def unframe(data: bytes, at: int = 0) -> tuple[bytes, int]:
     return payload, at + 16 + length
 
 
-def pack(doc_id: int | None, ids: bytes) -> bytes:
-    """A payload of ids given as little-endian unsigned 32-bit integers."""
-    numbers = np.frombuffer(ids, dtype="<u4")
-    width = 2 if not len(numbers) or numbers.max() < 1 << 16 else 4
-    return struct.pack("<qIB", NO_ID if doc_id is None else doc_id, len(numbers), width) + numbers.astype(f"<u{width}").tobytes()
+def pack(doc_id: int | None, ids: bytes | np.ndarray) -> bytes:
+    """A payload of ids, given as an array or as little-endian unsigned 32-bit integers."""
+    numbers = np.frombuffer(ids, dtype="<u4") if isinstance(ids, bytes) else ids
+    width = 2 if numbers.dtype.itemsize == 2 or not len(numbers) or numbers.max() < 1 << 16 else 4
+    return struct.pack("<qIB", NO_ID if doc_id is None else doc_id, len(numbers), width) + numbers.astype(f"<u{width}", copy=False).tobytes()
+
+
+def count_of(payload: bytes) -> int:
+    return struct.unpack_from("<I", payload, 8)[0]
 
 
 def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
@@ -82,109 +88,172 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
 class WordCache:
     """The tokenizers library behind a cache of words.
 
-    The vocabulary lower-cases and drops white space, so a text is its words.
-    New words are cut as the library cuts them, and the library encodes the
-    distinct pieces, many in one text with blanks between them: a piece's last
-    id is one whose token ends a word, which gives the pieces' ids apart.
-    Texts in which a special token or a separator that Python alone takes for
-    white space may occur go to the library whole, as do pieces for which the
-    count of word ends does not come out.
+    The vocabulary lower-cases and drops white space, so a text is its words,
+    and a word is its pieces.  Words are numbered as they come; the new ones of
+    a block are cut into pieces as the library cuts them, and the library's
+    model encodes the pieces not seen before.  A text's ids are then gathered
+    from one array.  Texts in which a special token or a separator that Python
+    alone takes for white space may occur go to the library whole, as do words
+    with characters on which Python and the library may differ.
+
+    An instance travels as its definition and keeps its words, up to ``keep``
+    of them, for all tasks that a Python worker runs.
     """
 
-    END = "</w>"
+    def __init__(self, definition: str, keep: int = 700_000):
+        self.definition, self.keep, self.tokenizer = definition, keep, None
+
+    def __getstate__(self) -> dict:
+        return {"definition": self.definition, "keep": self.keep, "tokenizer": None}
 
-    def __init__(self, definition: str, keep: int = 600_000):
+    def _open(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.keep = Tokenizer.from_str(definition), keep
+        self.tokenizer = Tokenizer.from_str(self.definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends_word[[i for t, i in vocabulary.items() if t.endswith(self.END)]] = True
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    @staticmethod
-    def _whole(text: str) -> bool:
-        return "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f")
-
-    def _library(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        for low in range(0, len(pieces), 2000):
-            part = pieces[low : low + 2000]
-            ids = self._library(" ".join(part))
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(part) and (not len(ids) or ends[-1] == len(ids)):
-                data, begin = ids.tobytes(), 0
-                for piece, end in zip(part, (ends * 4).tolist()):
-                    self.pieces[piece] = data[begin:end]
-                    begin = end
+        self.model = self.tokenizer.model
+        self.type = "<u2" if max(self.tokenizer.get_vocab().values()) < 1 << 16 else "<u4"
+        # bytes from 128 on, as Latin-1 characters, to the characters that stand for them in the vocabulary
+        self.letters = str.maketrans({chr(b): c for c, b in byte_alphabet().items() if b >= 128})
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words = Numbers()
+        self.ids, self.starts, self.lengths = np.zeros(0, dtype=self.type), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def _library(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _pieces(self, pieces: list[str]) -> tuple[list[int], list[int]]:
+        """(ids one after the other, number of ids of each) of lower-case pieces, by the library's model."""
+        # bytes from 128 on stand as the vocabulary's characters for them
+        others = iter("\n".join(p for p in pieces if not p.isascii()).encode().decode("latin-1").translate(self.letters).split("\n"))
+        model, ids, counts = self.model.tokenize, [], []
+        for p in pieces:
+            tokens = model(p if p.isascii() else next(others))
+            counts.append(len(tokens))
+            ids += [t.id for t in tokens]
+        return ids, counts
+
+    def _learn(self) -> None:
+        """Ids of the words that have a number and no ids yet."""
+        known, number, words = len(self.lengths), self.words.__getitem__, list(self.words)[len(self.lengths) :]
+        odd = bool(NOT_SIMPLE.search(" ".join(words)))
+        own, whole, several, parts, sizes = [], [], [], [], []
+        for i, w in enumerate(words):
+            if odd and NOT_SIMPLE.search(w):
+                whole.append(i)
+                continue
+            cut = [w] if w.isalpha() and w.islower() else PIECE.findall(w.lower())
+            if cut == [w]:
+                own.append(i)
             else:
-                for piece in part:
-                    self.pieces[piece] = self._library(piece).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        simple = [w for w in words if not NOT_SIMPLE.search(w)]
-        cut = [PIECE.findall(w.lower()) for w in simple]
-        self._learn_pieces(list(set().union(*cut) - self.pieces.keys()))
-        find = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(find, c))) for w, c in zip(simple, cut))
-        for w in set(words) - set(simple):
-            self.words[w] = self._library(w).tobytes()
+                several.append(i)
+                sizes.append(len(cut))
+                parts += map(number, cut)
+        pieces = list(self.words)[known + len(words) :]  # that are no words of the block
+        ids, counts = self._pieces([words[i] for i in own] + pieces)
+        for i in whole:
+            ids += (more := self._library(words[i]))
+            counts.append(len(more))
+        at = np.concatenate([own, np.arange(len(words), len(words) + len(pieces)), whole]).astype(np.int64)
+        starts, lengths = np.zeros(len(at) + len(several), dtype=np.int64), np.zeros(len(at) + len(several), dtype=np.int64)
+        lengths[at] = counts
+        starts[at] = len(self.ids) + np.cumsum(lengths[at]) - lengths[at]
+        self.ids = np.concatenate([self.ids, np.array(ids, dtype=self.type)])
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+        if several:
+            ids, upto = self._gather(np.array(parts, dtype=np.int64))
+            cuts = upto[np.cumsum([0, *sizes])]
+            place = known + np.array(several)
+            self.starts[place], self.lengths[place] = len(self.ids) + cuts[:-1], np.diff(cuts)
+            self.ids = np.concatenate([self.ids, ids])
+
+    def _gather(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered words, one after the other, and the number of ids before each word and at the end."""
+        lengths = self.lengths[words]
+        return ragged(self.ids, self.starts[words], lengths), np.concatenate([[0], np.cumsum(lengths)])
+
+    def ids_of(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text, in two bytes where the vocabulary allows, else in four."""
+        if self.tokenizer is None:
+            self._open()
+        if len(self.words) > self.keep:
+            self._clear()
+        special = pc.fill_null(pc.match_substring(texts, "<|"), False)
+        apart = {i: np.array(self._library(texts[i].as_py()), dtype=self.type) for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist()}
+        lists = pc.ascii_split_whitespace(pc.if_else(special, "", pc.fill_null(texts, "")))
+        distinct = lists.flatten().dictionary_encode()
+        numbers = np.fromiter(map(self.words.__getitem__, distinct.dictionary.to_numpy(zero_copy_only=False)), dtype=np.int64, count=len(distinct.dictionary))
+        if len(self.words) > len(self.lengths):
+            self._learn()
+        ids, upto = self._gather(numbers[distinct.indices.to_numpy()])
+        cuts = upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist() if len(lists) else []
+        return [apart.get(i, ids[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.words) > self.keep:
-            self.words, self.pieces = {}, {}
-        cut = [None if not t or self._whole(t) else t.split() for t in texts]
-        self._learn(list(set().union(*(c for c in cut if c)) - self.words.keys()))
-        find = self.words.__getitem__
-        return [b"".join(map(find, c)) if c else b"" if not t or c is not None else self._library(t).tobytes() for t, c in zip(texts, cut)]
+        return [i.astype("<u4").tobytes() for i in self.ids_of(pa.array(texts, pa.string()))]
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, check, n_tokens, payload) of every row: the payload of its record, and a checksum that orders rows of one doc_id."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(WordCache(f.read()))  # of the vocabulary's size
+
+    def run(batches):
+        cache = shared.value
+        for b in arrow_blocks(batches, 1):
+            payloads = [pack(k, np.append(i, np.array(end_id, dtype=i.dtype))) for k, i in zip(b.column(0).to_pylist(), cache.ids_of(b.column(1)))]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([zlib.crc32(p) for p in payloads], type=pa.int64()), pa.array([count_of(p) for p in payloads], type=pa.int64()), pa.array(payloads, type=pa.binary())],
+                names=["doc_id", "check", "n_tokens", "payload"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, check long, n_tokens long, payload binary")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, roll_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes record files to ``path`` and their index to ``path/index``; returns the index."""
     spark = docs.sparkSession
-    with open(tokenizer_path, encoding="utf-8") as f:
-        definition = spark.sparkContext.broadcast(f.read())  # of the vocabulary's size
-    end = struct.pack("<I", end_id)
     fs, folder = pafs.FileSystem.from_uri(path)
     fs.create_dir(folder)
 
     def run(batches):
         fs, folder = pafs.FileSystem.from_uri(path)
         task = TaskContext.get()
-        cache, out, roll, at = WordCache(definition.value), None, 0, 0
+        out, roll, at = None, 0, 0
 
         def close():
             out.close()
             fs.move(temporary, f"{folder}/{name}")
 
-        for keys, texts in text_blocks(batches, 2, 1):
+        for b in batches:
             rows = []
-            for key, ids in zip(keys, cache.encode(texts)):
+            for key, n, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 if out is None:
                     name = f"part-{task.partitionId():06d}-{roll:04d}.records"
                     temporary = f"{folder}/_attempt-{task.taskAttemptId()}-{name}"
                     out, at = fs.open_output_stream(temporary), 0
-                record = frame(pack(key, ids + end))
+                record = frame(payload.as_py())
                 out.write(record)
-                rows.append((key, name, at, len(record), len(ids) // 4 + 1))
+                rows.append((key, name, at, len(record), n))
                 at += len(record)
                 if at >= roll_bytes:
                     close()
                     out, roll = None, roll + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "file", "offset", "bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(list(zip(*rows)) or [[]] * 5, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "file", "offset", "bytes", "n_tokens"])
         if out is not None:
             close()
 
-    ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
-    index = ranged.mapInArrow(run, "doc_id long, file string, offset long, bytes long, n_tokens long")
+    kept = fresh_path(spark, "encoded")
+    order = ["doc_id", "check", "payload"]
+    # texts are encoded where they are; ids are shuffled.  The checksum spreads rows of one doc_id, and those without, over ranges.
+    ranged = saved(encoded(docs, tokenizer_path, end_id, id_col, text_col), "encoded", kept).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "check").sortWithinPartitions(*order)
+    index = ranged.select("doc_id", "n_tokens", "payload").mapInArrow(run, "doc_id long, file string, offset long, bytes long, n_tokens long")
     index.write.parquet(f"{path}/index")
+    drop_table(spark, kept)
     return spark.read.schema(index.schema).parquet(f"{path}/index")
 
 

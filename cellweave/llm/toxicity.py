@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import ragged
+from .bpe import Numbers, ragged
 from .language import held_out
 
 WINDOW, STEP, HIDDEN, ATTEND, SIZE = 32, 16, 8, 8, 8
@@ -38,12 +38,6 @@ ORDERS = (3, 4, 5, 6)
 TOKEN = re.compile(r"[^\W_]+")
 
 
-class _Numbers(dict):
-    def __missing__(self, word):
-        self[word] = n = len(self)
-        return n
-
-
 def word_inputs(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket of each word, buckets of all their n-grams one after the other, number of n-grams of each); each word has one at least."""
     if not words:
@@ -205,7 +199,7 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 8, batch: in
     back = r.random(len(y)) < 0.2  # a fifth is held back and sets the threshold
     if len(set(y[back])) < 2 or len(set(y[~back])) < 2:
         back[:] = False
-    numbers = _Numbers()
+    numbers = Numbers()
     tokens = [np.array([numbers[w] for w in TOKEN.findall((t or "").lower())], dtype=np.int64) for t in texts]
     bucket, grams, counts = word_inputs(list(numbers))
     begins = np.cumsum(counts) - counts
@@ -300,7 +294,7 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self.numbers = _Numbers()
+        self.numbers = Numbers()
         self.gates = tuple(np.zeros((1, 3 * HIDDEN), dtype=np.float32) for _ in "fb")
 
     def score(self, texts: list[str | None], at_once: int = 2048) -> np.ndarray:
