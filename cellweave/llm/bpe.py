@@ -223,7 +223,7 @@ def text_blocks(batches, columns: int, text_at: int, most: int = 8_000_000):
         yield held
 
 
-def arrow_blocks(batches, text_at: int, most: int = 16 << 20):
+def arrow_blocks(batches, text_at: int, most: int = 6 << 20):
     """The batches, joined until their texts have ``most`` bytes."""
     held, size = [], 0
     for b in batches:

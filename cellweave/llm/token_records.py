@@ -100,7 +100,7 @@ class WordCache:
     of them, for all tasks that a Python worker runs.
     """
 
-    def __init__(self, definition: str, keep: int = 700_000):
+    def __init__(self, definition: str, keep: int = 350_000):
         self.definition, self.keep, self.tokenizer = definition, keep, None
 
     def __getstate__(self) -> dict:
