@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 from tokenizers import Tokenizer
 
@@ -159,11 +160,24 @@ class TestNearCopies:
         assert {r["doc_id"] for r in stage(spark, docs, "").collect()} == set(want.values())
 
     @pytest.mark.parametrize("piece_size", [3, 1024])
-    def test_cross_pairs_are_whole(self, spark, piece_size):
-        rows = [(k, k * 10 + i, i % 3) for k in range(3) for i in range(8 + k)] + [(9, 500, 1), (9, 501, 1)]
-        signs = spark.createDataFrame([(r[1], bytearray(near_copies.BANDS * near_copies.ROWS)) for r in rows], "rep long, sign binary").distinct()
-        got = {(r["hub"], r["member"]) for r in near_copies.cross_pairs(spark.createDataFrame(rows, "key long, rep long, c long"), signs, 0.8, piece_size).collect()}
-        assert got == {(a, b) for k, a, x in rows for m, b, y in rows if k == m and x != y and a < b}
+    def test_cross_links_are_whole(self, spark, piece_size):
+        r, rows = np.random.default_rng(9), []
+        base = [f"w{x}" for x in range(150)]
+        for i in range(70):  # from far below the bound to far above it, about one text
+            words = list(base)
+            for at in r.choice(150, r.integers(0, 7), replace=False):
+                words[at] = f"n{r.integers(0, 30)}"
+            rows.append((i, " ".join(words)))
+        sets = {i: near_copies.shingle_set(t, 5) for i, t in rows}
+        want = [(i, j) for i in sets for j in sets if i > j and near_copies.similarity_of(sets[i], sets[j]) >= 0.8]
+        assert 100 < len(want) < 2300
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        prints = near_copies.sketches(docs, 5)
+        classes = prints.groupBy("digest").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "doc_id").join(prints.drop("digest"), "doc_id").withColumnRenamed("doc_id", "rep")
+        members = classes.select("rep", F.posexplode("keys").alias("band", "key"), F.col("rep").alias("c"))
+        links = near_copies.cross_links(docs, members, classes, 5, 0.8, piece_size).collect()
+        same = [(i, int(j)) for i, _ in rows for j in sets if j < i and near_copies.similarity_of(sets[i], sets[j]) == 1]
+        assert components([(x["u"], x["v"]) for x in links] + same, sets) == components(want, sets)
 
 
 def vectors(spark, rows):
