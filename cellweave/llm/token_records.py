@@ -7,8 +7,9 @@ rotated right by 15 bits, plus 0xA282EAD8.  A payload: doc_id (i64, the least
 value for null), number of ids (u32), bytes per id (u8: 2 if all ids fit, else 4), the
 ids.
 
-Documents are encoded where they are; their payloads are range-partitioned and
-sorted by doc_id, then checksum.  A task writes its range to files of its own,
+Documents are encoded where they are; their payloads go to ranges of doc_id,
+whose bounds are quantiles, and are sorted by doc_id, then checksum; a doc_id of
+many rows is spread over ranges by checksum.  A task writes its range to files of its own,
 named by partition number, under an attempt name first and renamed when whole,
 so a repeated task overwrites the same bytes.  It returns the index rows
 (doc_id, file, offset, bytes, n_tokens), stored beside the files as Parquet.  Where a document begins in the stream of all ids is a prefix sum:
@@ -16,7 +17,7 @@ inside a file by its reader, over files by a window with a row per file.
 
 Defined cases: null and empty texts hold the end id only; null doc_ids come
 first; rows that repeat a doc_id are a record each, next to each other, in order
-of the payload's checksum, then of the payload; an empty table writes no files;
+of the payload's checksum, then of the compressed payload; an empty table writes no files;
 other columns, whatever their names, are ignored.
 """
 
@@ -31,11 +32,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import drop_table, fresh_path, saved
+from ._spark import fresh_path
 from .bpe import Numbers, arrow_blocks, byte_alphabet, ragged
 
 NO_ID = -(1 << 63)
@@ -198,20 +200,38 @@ class WordCache:
         return [i.astype("<u4").tobytes() for i in self.ids_of(pa.array(texts, pa.string()))]
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, check, n_tokens, payload) of every row: the payload of its record, and a checksum that orders rows of one doc_id."""
+def range_bounds(ids: DataFrame, parts: int) -> np.ndarray:
+    """At most ``parts - 1`` ends of ranges of about equally many rows of the one column of ``ids``; a value may be several ranges' end."""
+    key = F.coalesce(ids[ids.columns[0]].cast("long"), F.lit(NO_ID))
+    places = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    found = ids.agg(F.percentile_approx(key, places, max(10_000, 20 * parts)).alias("ends")).first()["ends"] if parts > 1 else None
+    return np.array(found or [], dtype=np.int64)
+
+
+def range_of(keys: np.ndarray, checks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The range of each key; keys that are an end are spread by checksum over all ranges that they touch, which keeps the order (key, checksum)."""
+    low, high = np.searchsorted(bounds, keys, side="left"), np.searchsorted(bounds, keys, side="right")
+    return low + ((high - low + 1) * checks >> 32)
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, parts: int, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(part, doc_id, check, n_tokens, payload) of every row: its range, and its record's payload, compressed, with a checksum."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    bounds = range_bounds(rows.select("doc_id"), parts)
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(WordCache(f.read()))  # of the vocabulary's size
 
     def run(batches):
-        cache = shared.value
+        cache, squeeze = shared.value, zstandard.ZstdCompressor(level=1).compress
         for b in arrow_blocks(batches, 1):
             payloads = [pack(k, np.append(i, np.array(end_id, dtype=i.dtype))) for k, i in zip(b.column(0).to_pylist(), cache.ids_of(b.column(1)))]
+            checks = np.array([zlib.crc32(p) for p in payloads], dtype=np.int64)
+            part = range_of(pc.fill_null(b.column(0), NO_ID).to_numpy(), checks, bounds)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([zlib.crc32(p) for p in payloads], type=pa.int64()), pa.array([count_of(p) for p in payloads], type=pa.int64()), pa.array(payloads, type=pa.binary())],
-                names=["doc_id", "check", "n_tokens", "payload"])
+                [pa.array(part, type=pa.int32()), b.column(0), pa.array(checks), pa.array([count_of(p) for p in payloads], type=pa.int64()), pa.array([*map(squeeze, payloads)], type=pa.binary())],
+                names=["part", "doc_id", "check", "n_tokens", "payload"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, check long, n_tokens long, payload binary")
+    return rows.mapInArrow(run, "part int, doc_id long, check long, n_tokens long, payload binary")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, roll_bytes: int = 128 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,7 +243,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def run(batches):
         fs, folder = pafs.FileSystem.from_uri(path)
         task = TaskContext.get()
-        out, roll, at = None, 0, 0
+        out, roll, at, whole = None, 0, 0, zstandard.ZstdDecompressor().decompress
 
         def close():
             out.close()
@@ -236,7 +256,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
                     name = f"part-{task.partitionId():06d}-{roll:04d}.records"
                     temporary = f"{folder}/_attempt-{task.taskAttemptId()}-{name}"
                     out, at = fs.open_output_stream(temporary), 0
-                record = frame(payload.as_py())
+                record = frame(whole(payload.as_py()))
                 out.write(record)
                 rows.append((key, name, at, len(record), n))
                 at += len(record)
@@ -247,13 +267,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         if out is not None:
             close()
 
-    kept = fresh_path(spark, "encoded")
-    order = ["doc_id", "check", "payload"]
-    # texts are encoded where they are; ids are shuffled.  The checksum spreads rows of one doc_id, and those without, over ranges.
-    ranged = saved(encoded(docs, tokenizer_path, end_id, id_col, text_col), "encoded", kept).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "check").sortWithinPartitions(*order)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # texts are encoded where they are, once; ids are shuffled
+    ranged = encoded(docs, tokenizer_path, parts, end_id, id_col, text_col).repartitionById(parts, "part").sortWithinPartitions("doc_id", "check", "payload")
     index = ranged.select("doc_id", "n_tokens", "payload").mapInArrow(run, "doc_id long, file string, offset long, bytes long, n_tokens long")
     index.write.parquet(f"{path}/index")
-    drop_table(spark, kept)
     return spark.read.schema(index.schema).parquet(f"{path}/index")
 
 
