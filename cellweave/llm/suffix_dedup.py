@@ -10,23 +10,33 @@ leftmost of equals.  Equal windows have equal anchors, and neighbouring windows
 mostly share one, so a text is cut into runs of windows with one anchor each.
 
 1. Texts are packed into blocks of a few MB, a table of one row per block.
-2. Every block sends its distinct anchors to shards; a shard tells each block
-   which of them occur in another document too.
-3. For those, a block sends its distinct segments (a run's bytes) with the
-   smallest doc_id that has them.  A shard sorts their suffixes by
-   bucket-pointer refinement: buckets of the first six bytes are refined by the
-   bucket of the suffix 6, 12, 24 and then 2 bytes on, where each step uses the
-   buckets that the last one has refined, and buckets of one suffix are left
-   alone.  Windows in one bucket are equal; their smallest doc_id decides.
-4. A block gets back the windows to remove and cuts its texts.
-
-A passage that a third of all documents share costs a shard one segment a
-block.  Shards and blocks grow in number, not in size.
+2. Every block sends its distinct anchors to shards, with a count of the
+   documents and of the different segments (a run's bytes) of each; a shard
+   tells each block which of them occur in another document too.
+3. For those, a block sends its distinct segments with the smallest doc_id that
+   has them.  A shard sorts their suffixes: buckets of the first six bytes are
+   refined by the bucket of the suffix 6, 12, 24 and then 2 bytes on.  Buckets
+   are taken in order, a few at a time, and pointers move at once, so that later
+   buckets use what earlier ones have found.  Equal windows are neighbours then;
+   their smallest doc_id decides.
+4. A block gets back the windows to remove, settles repeats among its own
+   documents, and cuts its texts.
+
+No group grows with a passage's number of copies.  Where a passage that many
+documents share ends, the anchor is shared and the segments differ in each
+document; an anchor with over ``HOT`` different segments is not one group:
+its windows go one by one, each to the shard of its own hash.  Inside the
+passage a block sends one segment, however often it has it.
+
+Messages go from blocks to shards, both in proportion to the texts; an empty one
+is not sent, so their number is at most that of blocks times shards and at most
+that of the blocks' anchors.
 
 Defined cases: null and empty texts have no bytes and keep none; a null doc_id
 is later than all others; rows that repeat a doc_id do not count as each other's
 predecessors; texts below ``LENGTH`` bytes stay; an empty table gives an empty
-result; other columns are kept by :func:`drop_repeats` and ignored otherwise.
+result; other columns, whatever their names, are kept by :func:`drop_repeats`
+and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -42,13 +52,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import saved
+from ._spark import fresh_path, saved
 from .bpe import ragged
 
 LENGTH, GRAM, LAST = 50, 16, (1 << 63) - 1
+BLOCK_BYTES, SHARD_BYTES = 6 << 20, 8 << 20
+#: Different segments of one anchor, over all blocks, beyond which its windows are dealt one by one.
+HOT = 4096
 _STEP = 1 << 19
+#: Windows whose strings are held at once.
+_WINDOWS = 1 << 20
 #: Parts of a shard, by bits of the anchor, that are sorted one after the other.
-PARTS = 16
+PARTS = 32
 
 
 def _squeeze(data: bytes, level: int = 7) -> bytes:
@@ -76,8 +91,8 @@ def _from_arrays(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def pack(docs: DataFrame, block_bytes: int = 2 << 20) -> DataFrame:
-    """(block, size, ids, texts, rest): a row per block of documents; ``rest`` has the other columns as Arrow."""
+def pack(docs: DataFrame, path: str, block_bytes: int) -> DataFrame:
+    """(block, size, ids, texts, rest): a row per block of documents; ``ids`` has doc_ids, lengths and which texts are null, ``rest`` the other columns as Arrow."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def run(batches):
@@ -90,15 +105,18 @@ def pack(docs: DataFrame, block_bytes: int = 2 << 20) -> DataFrame:
                     for b in rest:
                         w.write_batch(b)
             return pa.RecordBatch.from_arrays(
-                [pa.array([seq], type=pa.int64()), pa.array([size], type=pa.int64()), pa.array([_arrays(np.array(ids, dtype=np.int64), np.array([len(t) for t in texts], dtype=np.int64))], type=pa.binary()), pa.array([_squeeze(b"".join(texts))], type=pa.binary()), pa.array([_squeeze(sink.getvalue().to_pybytes())], type=pa.binary())],
+                [
+                    pa.array([seq], type=pa.int64()), pa.array([size], type=pa.int64()),
+                    pa.array([_arrays(np.array(ids, dtype=np.int64), np.array([len(t or b"") for t in texts], dtype=np.int64), np.array([t is None for t in texts], dtype=np.uint8))], type=pa.binary()),
+                    pa.array([_squeeze(b"".join(t or b"" for t in texts))], type=pa.binary()), pa.array([_squeeze(sink.getvalue().to_pybytes())], type=pa.binary()),
+                ],
                 names=["block", "size", "ids", "texts", "rest"])
 
         for b in batches:
             begin = 0
             for i, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                t = (t or "").encode()
-                ids.append(LAST if k is None else k), texts.append(t)
-                size += len(t)
+                ids.append(LAST if k is None else k), texts.append(None if t is None else t.encode())
+                size += len(t and texts[-1] or b"")
                 if size >= block_bytes or i + 1 == b.num_rows:
                     rest.append(b.slice(begin, i + 1 - begin).select(others))
                     begin = i + 1
@@ -109,12 +127,12 @@ def pack(docs: DataFrame, block_bytes: int = 2 << 20) -> DataFrame:
             yield block()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[docs[c] for c in others])
-    return saved(rows.mapInArrow(run, "block long, size long, ids binary, texts binary, rest binary"), "text-blocks")
+    return saved(rows.mapInArrow(run, "block long, size long, ids binary, texts binary, rest binary"), "text-blocks", path)
 
 
 def _block(ids: bytes, texts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc_ids, ends of the documents, bytes)."""
-    doc_ids, lengths = _from_arrays(ids)
+    doc_ids, lengths, _ = _from_arrays(ids)
     return doc_ids, np.cumsum(lengths), np.frombuffer(zstandard.ZstdDecompressor().decompress(texts), dtype=np.uint8)
 
 
@@ -145,7 +163,7 @@ def _anchor_number(h: np.ndarray) -> np.ndarray:
 
 
 def runs(data: np.ndarray, ends: np.ndarray):
-    """(first windows, numbers of windows, anchors, documents) of all runs of windows with one anchor."""
+    """(first windows, numbers of windows, anchors, documents, signs) of all runs of windows with one anchor; equal segments have equal signs."""
     found = []
     for low in range(0, max(len(data) - LENGTH + 1, 0), _STEP):
         piece = data[low : low + _STEP + LENGTH - 1]
@@ -165,9 +183,11 @@ def runs(data: np.ndarray, ends: np.ndarray):
             continue
         anchor, doc = anchor[ok], doc[ok]
         first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (ok[1:] != ok[:-1] + 1)]))
-        found.append((ok[first] + low, np.diff(np.append(first, len(ok))), _anchor_number(h[anchor[first]]), doc[first]))
+        count = np.diff(np.append(first, len(ok)))
+        sign = h[ok[first]] ^ (h[ok[first] + count + LENGTH - 1 - GRAM] * np.uint64(0x9E3779B97F4A7C15)) ^ count.astype(np.uint64)
+        found.append((ok[first] + low, count, _anchor_number(h[anchor[first]]), doc[first], sign))
     if not found:
-        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -177,37 +197,54 @@ def _shard_edges(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted(keys, np.array(low[:-1], dtype=np.uint64)).tolist() + [len(keys)]
 
 
+def _changes(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns differ from the row before."""
+    new = np.ones(len(sorted_columns[0]), dtype=bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_columns])
+    return new
+
+
 def _anchor_keys(doc_ids, ends, data):
-    """The block's distinct anchors in order, and whether each is in two of its documents."""
-    _, _, keys, docs = runs(data, ends)
+    """The block's distinct anchors in order; of each, the number of documents (2: two or more) and of different segments (up to 65,535)."""
+    _, _, keys, docs, signs = runs(data, ends)
     order = np.argsort(keys, kind="stable")
-    keys, who = keys[order], doc_ids[docs[order]]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    keys, who, signs = keys[order], doc_ids[docs[order]], signs[order]
+    first = np.flatnonzero(_changes(keys))
     if not len(first):
-        return keys, np.zeros(0, dtype=bool)
-    return keys[first], np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
+        return keys, np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.uint16)
+    twice = np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
+    size = np.diff(np.append(first, len(keys)))
+    several = np.ones(len(first), dtype=np.int64)
+    at = np.flatnonzero(np.repeat(size > 1, size))
+    owner = np.repeat(np.arange(len(first)), size)[at]
+    order = np.lexsort((signs[at], owner))
+    new = _changes(owner[order], signs[at][order])
+    several[size > 1] = np.bincount(owner[order][new], minlength=len(first))[size > 1]
+    return keys[first], 1 + twice.astype(np.uint8), np.minimum(several, 65_535).astype(np.uint16)
 
 
-def shared_anchors(blocks: DataFrame, shards: int) -> DataFrame:
-    """(block, shard, data): per block and shard a bit for each of the block's distinct anchors."""
+def shared_anchors(blocks: DataFrame, shards: int, most: int = HOT) -> DataFrame:
+    """(block, shard, data): per block and shard, bits for each of the block's distinct anchors: shared, then hot."""
 
     def send(batches):
         for b in batches:
             for block, ids, texts in zip(*(b.column(i).to_pylist() for i in range(3))):
-                keys, twice = _anchor_keys(*_block(ids, texts))
+                keys, docs, several = _anchor_keys(*_block(ids, texts))
                 edges = _shard_edges(keys, shards)
                 some = [s for s in range(shards) if edges[s] < edges[s + 1]]
-                data = [_arrays(np.diff(keys[edges[s] : edges[s + 1]], prepend=np.uint64(0)), twice[edges[s] : edges[s + 1]].astype(np.uint8)) for s in some]
+                data = [_arrays(np.diff(keys[c], prepend=np.uint64(0)), docs[c], several[c]) for c in (slice(edges[s], edges[s + 1]) for s in some)]
                 yield pa.RecordBatch.from_arrays([pa.array(some, type=pa.int32()), pa.array([block] * len(some), type=pa.int64()), pa.array(data, type=pa.binary())], names=["shard", "block", "data"])
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         parts = [_from_arrays(d) for d in rows["data"]]
         keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
-        twice = np.concatenate([p[1] for p in parts]).astype(np.int64)
         _, at = np.unique(keys, return_inverse=True)
-        shared = (np.bincount(at) + np.bincount(at, weights=twice) > 1)[at]
+        shared = (np.bincount(at, weights=np.concatenate([p[1] for p in parts])) > 1)[at]
+        several, blocks = np.bincount(at, weights=np.concatenate([p[2] for p in parts])), np.bincount(at)
+        hot = ((several > most) & (several > 2 * blocks))[at]
         cuts = np.cumsum([0] + [len(p[0]) for p in parts])
-        return pd.DataFrame({"block": rows["block"], "shard": rows["shard"], "data": [np.packbits(shared[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]})
+        return pd.DataFrame({"block": rows["block"], "shard": rows["shard"], "data": [_arrays(np.packbits(shared[a:b]), np.packbits(hot[a:b])) for a, b in zip(cuts, cuts[1:])]})
 
     return blocks.select("block", "ids", "texts").mapInArrow(send, "shard int, block long, data binary").groupBy("shard").applyInPandas(meet, "block long, shard int, data binary")
 
@@ -218,61 +255,125 @@ def _with_texts(blocks: DataFrame, more: DataFrame) -> DataFrame:
     return own.unionByName(more, allowMissingColumns=True)
 
 
+def _window_keys(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 48-bit hash of the ``LENGTH`` bytes from each start."""
+    factors = np.random.default_rng(7).integers(1, 1 << 63, LENGTH, dtype=np.uint64) | np.uint64(1)
+    view, out = np.lib.stride_tricks.sliding_window_view(data, LENGTH), np.zeros(len(starts), dtype=np.uint64)
+    for low in range(0, len(starts), 1 << 16):
+        out[low : low + (1 << 16)] = (view[starts[low : low + (1 << 16)]] * factors).sum(axis=1, dtype=np.uint64)
+    return _anchor_number(out)
+
+
+def _distinct(text: bytes, starts: np.ndarray, counts: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each segment, the segment that stands for each class: of its smallest document, the first)."""
+    number: dict[bytes, int] = {}
+    at = np.fromiter((number.setdefault(text[s : s + n + LENGTH - 1], len(number)) for s, n in zip(starts.tolist(), counts.tolist())), dtype=np.int64, count=len(starts))
+    order = np.lexsort((starts, docs, at))
+    return at, order[_changes(at[order])]
+
+
 def segments(blocks: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
-    """(block, shard, data, places): distinct segments with their smallest doc_id, and the places of each in the block."""
+    """(block, shard, data): distinct segments with the smallest doc_id that has them and their first place there."""
 
     def send(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows["shard"] == -1
         doc_ids, ends, data = _block(rows.loc[own, "extra"].iloc[0], rows.loc[own, "data"].iloc[0])
-        starts, counts, keys, docs = runs(data, ends)
-        order = np.argsort(keys, kind="stable")
-        sorted_keys = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-        edges = _shard_edges(sorted_keys[first], shards)
-        first = np.append(first, len(order))
-        text, out = data.tobytes(), []
-        for shard, bits in zip(rows.loc[~own, "shard"], rows.loc[~own, "data"]):
+        starts, counts, keys, docs, _ = runs(data, ends)
+        who, order = doc_ids[docs], np.argsort(keys, kind="stable")
+        first = np.flatnonzero(_changes(keys[order]))
+        edges = _shard_edges(keys[order][first], shards)
+        bits = np.zeros((2, len(first)), dtype=bool)
+        for shard, d in zip(rows.loc[~own, "shard"], rows.loc[~own, "data"]):
             a, b = edges[shard], edges[shard + 1]
-            chosen = np.flatnonzero(np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=b - a)) + a
-            take = order[ragged(np.arange(len(order)), first[chosen], first[chosen + 1] - first[chosen])]
-            number: dict[bytes, int] = {}
-            at = np.fromiter((number.setdefault(text[s : s + n + LENGTH - 1], len(number)) for s, n in zip(starts[take].tolist(), counts[take].tolist())), dtype=np.int32, count=len(take))
-            if not len(at):
-                continue
-            least = np.full(len(number), LAST)
-            np.minimum.at(least, at, doc_ids[docs[take]])
-            lengths = np.fromiter(map(len, number), dtype=np.int32, count=len(number))
-            part = (keys[take[np.unique(at, return_index=True)[1]]] >> np.uint64(8) & np.uint64(PARTS - 1)).astype(np.uint8)
-            out.append((rows["block"].iloc[0], shard, _arrays(lengths, least, np.frombuffer(b"".join(number), dtype=np.uint8), part), _arrays(at, starts[take].astype(np.int64), (doc_ids[docs[take]] > least[at]).astype(np.uint8))))
-        return pd.DataFrame(out, columns=["block", "shard", "data", "places"])
+            bits[:, a:b] = [np.unpackbits(x, count=b - a) for x in _from_arrays(d)]
+        size = np.diff(np.append(first, len(order)))
+        taken = order[np.repeat(bits[0] & ~bits[1], size)]
+        _, of = _distinct(data.tobytes(), starts[taken], counts[taken], who[taken])
+        take = taken[of]
+        starts_of, counts_of, keys_of, least = [starts[take]], [counts[take]], [keys[take]], [who[take]]
+        hot = order[np.repeat(bits[0] & bits[1], size)]
+        for w, n in _window_parts(data, starts[hot], counts[hot], who[hot]):
+            _, of = _distinct(data.tobytes(), w, np.ones(len(w), dtype=np.int64), n)
+            starts_of.append(w[of]), counts_of.append(np.ones(len(of), dtype=np.int64)), keys_of.append(_window_keys(data, w[of])), least.append(n[of])
+        begin, counts, keys, least = (np.concatenate(x) for x in (starts_of, counts_of, keys_of, least))
+        order = np.argsort(keys, kind="stable")
+        begin, counts, keys, least = begin[order], counts[order], keys[order], least[order]
+        part = (keys >> np.uint64(8) & np.uint64(PARTS - 1)).astype(np.uint8)
+        edges, lengths, out = _shard_edges(keys, shards), counts + LENGTH - 1, []
+        for shard in range(shards):
+            c = slice(edges[shard], edges[shard + 1])
+            if c.start < c.stop:
+                out.append((rows["block"].iloc[0], shard, _arrays(lengths[c].astype(np.int32), least[c], ragged(data, begin[c], lengths[c]), part[c], begin[c].astype(np.int32))))
+        return pd.DataFrame(out, columns=["block", "shard", "data"])
+
+    return _with_texts(blocks, shared).groupBy("block").applyInPandas(send, "block long, shard int, data binary")
+
+
+def _window_parts(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, who: np.ndarray):
+    """The windows of segments one by one, (starts, doc_ids), in parts of about ``_WINDOWS``; equal windows are in one part."""
+    if not len(starts):
+        return
+    windows, who = ragged(np.arange(len(data)), starts, counts), np.repeat(who, counts)
+    parts = -(-len(windows) // _WINDOWS)
+    part = _window_keys(data, windows) % np.uint64(parts) if parts > 1 else np.zeros(len(windows), dtype=np.uint64)
+    for p in range(parts):
+        mine = np.flatnonzero(part == p)
+        yield windows[mine], who[mine]
 
-    return _with_texts(blocks, shared).groupBy("block").applyInPandas(send, "block long, shard int, data binary, places binary")
 
+def refine(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, at_once: int = 1 << 18) -> np.ndarray:
+    """Numbers of the suffixes of segments (``ends``: each position's segment end) that are equal in their first ``length`` bytes; -1 where fewer are left.
 
-def refine(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Bucket numbers, by their first ``length`` bytes, of the suffixes of segments (``ends``: each position's segment end); -1 where fewer are left."""
+    A suffix's pointer is the last place of its bucket in the sorted order, so
+    a refined bucket has pointers of its own and no other bucket's change.
+    """
     n, q = len(data), 6
+    if not n:
+        return np.zeros(0, dtype=np.int64)
     room = ends - np.arange(n)
     code = np.zeros(n, dtype=np.uint64)
-    for i in range(q):
-        code[: n - i] |= data[i:].astype(np.uint64) << np.uint64(8 * (q - 1 - i))
-    bucket = np.full(n, -1, dtype=np.int64)
-    some = np.flatnonzero(room >= q)
-    bucket[some] = np.unique(code[some], return_inverse=True)[1]
+    for i in range(q):  # a suffix that ends is followed by zeros
+        code[: n - i] |= np.where(room[: n - i] > i, data[i:], 0).astype(np.uint64) << np.uint64(8 * (q - 1 - i))
+    order = np.argsort(code, kind="stable")
+    begin = np.flatnonzero(_changes(code[order]))
+    size = np.diff(np.append(begin, n))
+    pointer = np.empty(n, dtype=np.int64)
+    pointer[order] = np.repeat(begin + size - 1, size)
     depth = q
     while depth < length:
-        shift = min(depth, length - depth)
-        some = np.flatnonzero(room >= depth + shift)
-        sizes = np.bincount(bucket[bucket >= 0]) if n else np.zeros(0)
-        more = some[sizes[bucket[some]] > 1]
-        alone = some[sizes[bucket[some]] == 1]
-        pairs = (bucket[more].astype(np.uint64) << np.uint64(32)) | bucket[more + shift].astype(np.uint64)
-        refined = np.full(n, -1, dtype=np.int64)
-        distinct, at = np.unique(pairs, return_inverse=True)
-        refined[more] = at
-        refined[alone] = len(distinct) + np.arange(len(alone))
-        bucket, depth = refined, depth + shift
-    return bucket
+        shift, many = min(depth, length - depth), size > 1
+        begin, size = begin[many], size[many]
+        next_begin, next_size = [], []
+        total = np.cumsum(size)
+        cuts = np.unique(np.searchsorted(total, np.arange(at_once, total[-1] if len(total) else 0, at_once)))
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(begin)]):
+            b, k = begin[low:high], size[low:high]
+            if not len(b):
+                continue
+            place = np.repeat(b - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+            suffix, bucket = order[place], np.repeat(b, k)
+            # pointers of buckets before these may have moved in this pass already
+            ahead = np.where(room[suffix] > shift, pointer[np.minimum(suffix + shift, n - 1)], -1)
+            rank = np.argsort((bucket.astype(np.uint64) << np.uint64(32)) | (ahead + 1).astype(np.uint64), kind="stable")
+            order[place], ahead = suffix[rank], ahead[rank]
+            new = np.flatnonzero(_changes(bucket, ahead))
+            many_now = np.diff(np.append(new, len(place)))
+            pointer[order[place]] = np.repeat(place[new] + many_now - 1, many_now)
+            next_begin.append(place[new]), next_size.append(many_now)
+        begin, size = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (next_begin, next_size))
+        depth += shift
+    # Pointers that moved in time have parted some suffixes further on than ``length``; neighbours tell.
+    whole = order[room[order] >= length]
+    result = np.full(n, -1, dtype=np.int64)
+    if len(whole):
+        view, new = np.lib.stride_tricks.sliding_window_view(data, length), np.ones(len(whole), dtype=bool)
+        apart = np.flatnonzero(pointer[whole[1:]] != pointer[whole[:-1]])
+        new[1:] = False
+        for low in range(0, len(apart), 1 << 17):
+            a = apart[low : low + (1 << 17)]
+            new[a + 1] = (view[whole[a]] != view[whole[a + 1]]).any(axis=1)
+        result[whole] = np.cumsum(new) - 1
+    return result
 
 
 def judge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -280,14 +381,15 @@ def judge(rows: pd.DataFrame) -> pd.DataFrame:
     parts = [_from_arrays(d) for d in rows["data"]]
     number: dict[bytes, int] = {}
     own = []
-    for lengths, _, data, _ in parts:
+    for lengths, _, data, _, _ in parts:
         text, cuts = data.tobytes(), np.cumsum(lengths).tolist()
         own.append(np.fromiter((number.setdefault(text[a:b], len(number)) for a, b in zip([0, *cuts], cuts)), dtype=np.int64, count=len(cuts)))
     least, part = np.full(len(number), LAST), np.zeros(len(number), dtype=np.uint8)
-    for o, (_, docs, _, p) in zip(own, parts):
+    for o, (_, docs, _, p, _) in zip(own, parts):
         np.minimum.at(least, o, docs)
         part[o] = p
     texts = list(number)
+    del number
     counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) - LENGTH + 1
     begins = np.cumsum(counts) - counts
     earliest = np.full(int(counts.sum()), LAST)  # per window, in order of segment and place: the smallest doc_id that has it
@@ -303,48 +405,78 @@ def judge(rows: pd.DataFrame) -> pd.DataFrame:
         at = np.repeat(begins[mine] - (np.cumsum(counts[mine]) - counts[mine]), counts[mine]) + np.arange(len(window))
         earliest[at] = first_doc[bucket[window]]
     out = []
-    for block, o, (lengths, docs, _, _), places in zip(rows["block"], own, parts, rows["places"]):
+    for block, o, (_, docs, _, _, start) in zip(rows["block"], own, parts):
         n = counts[o]
         hit = np.flatnonzero(ragged(earliest, begins[o], n) < np.repeat(docs, n))
-        item, place = np.repeat(np.arange(len(o)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        new = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (item[hit[1:]] != item[hit[:-1]])])) if len(hit) else hit
-        item, place, size = item[hit[new]], place[hit[new]], np.diff(np.append(new, len(hit)))
-        at, start, later = _from_arrays(places)
-        later = later.astype(bool)  # an earlier document of this block has the whole segment
-        order = np.flatnonzero(~later)[np.argsort(at[~later], kind="stable")]
-        low, high = np.searchsorted(at[order], item, side="left"), np.searchsorted(at[order], item, side="right")
-        begin = np.concatenate([start[later], start[order[ragged(np.arange(len(order)), low, high - low)]] + np.repeat(place, high - low)])
-        size = np.concatenate([counts[o][at[later]], np.repeat(size, high - low)])
-        if len(begin):
-            order = np.argsort(begin, kind="stable")
-            out.append((block, _arrays(np.diff(begin[order], prepend=0), size[order].astype(np.int32))))
+        if not len(hit):
+            continue
+        window = (np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))[hit]
+        window.sort()
+        new = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1] + 1]))
+        out.append((block, _arrays(np.diff(window[new], prepend=0), np.diff(np.append(new, len(window))).astype(np.int32))))
     return pd.DataFrame(out, columns=["block", "data"])
 
 
+def _own_repeats(doc_ids, ends, data, repeated: np.ndarray) -> None:
+    """Adds to ``repeated``, which has the windows that other blocks' documents have, those of the block's own.
+
+    ``repeated`` is set at the place that stands for equal segments or windows;
+    places in the same document follow it, places in later documents go.
+    """
+    starts, counts, keys, docs, signs = runs(data, ends)
+    order = np.argsort(keys, kind="stable")
+    size = np.diff(np.append(np.flatnonzero(_changes(keys[order])), len(keys)))
+    order, size = order[np.repeat(size > 1, size)], size[size > 1]
+    if not len(order):
+        return
+    owner, who = np.repeat(np.arange(len(size)), size), doc_ids[docs]
+    by_sign = order[np.lexsort((signs[order], owner))]
+    many = np.bincount(owner[_changes(owner, signs[by_sign])], minlength=len(size)) > 1  # of different segments; the rest may still differ
+    same = order[np.repeat(~many, size)]
+    text = data.tobytes()
+    at, of = _distinct(text, starts[same], counts[same], who[same])
+    stands = same[of][at]
+    later = who[same] > who[stands]
+    many |= np.bincount(np.repeat(np.flatnonzero(~many), size[~many])[of], minlength=len(size)) > 1
+    n = counts[same]
+    place, source = ragged(np.arange(len(data)), starts[same], n), ragged(np.arange(len(data)), starts[stands], n)
+    repeated[place] |= np.repeat(later, n) | repeated[source]
+    hot = order[np.repeat(many, size)]
+    for w, whose in _window_parts(data, starts[hot], counts[hot], who[hot]):
+        at, of = _distinct(text, w, np.ones(len(w), dtype=np.int64), whose)
+        least = whose[of][at]
+        known = np.zeros(len(of), dtype=bool)
+        known[at[repeated[w] & (whose == least)]] = True
+        repeated[w] |= known[at] | (whose > least)
+
+
 def _removed(rows: pd.DataFrame):
     """(doc_ids, ends, bytes, flags of the removed bytes) of a block."""
     own = rows["extra"].notna()
     doc_ids, ends, data = _block(rows.loc[own, "extra"].iloc[0], rows.loc[own, "data"].iloc[0])
-    change = np.zeros(len(data) + 1, dtype=np.int32)
+    repeated = np.zeros(len(data) + 1, dtype=bool)
     for d in rows.loc[~own, "data"]:
         begin, size = _from_arrays(d)
-        begin = np.cumsum(begin)
-        np.add.at(change, begin, 1)
-        np.add.at(change, begin + size + LENGTH - 1, -1)
-    return doc_ids, ends, data, np.cumsum(change[:-1]) > 0
-
-
-def _judged(docs: DataFrame, rest: bool) -> DataFrame:
-    """Rows to group by block: its texts, and the windows to remove."""
-    blocks = pack(docs)
+        repeated[ragged(np.arange(len(data)), np.cumsum(begin), size.astype(np.int64))] = True
+    _own_repeats(doc_ids, ends, data, repeated)
+    edge = np.diff(repeated.astype(np.int8), prepend=0)
+    change = np.zeros(len(data) + LENGTH + 1, dtype=np.int32)
+    change[np.flatnonzero(edge > 0)] += 1
+    np.subtract.at(change, np.flatnonzero(edge < 0) + LENGTH - 1, 1)
+    return doc_ids, ends, data, np.cumsum(change[: len(data)]) > 0
+
+
+def _judged(docs: DataFrame, rest: bool, path: str, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+    """Rows to group by block: its texts, and the windows to remove.  ``path``: for the table of blocks."""
+    blocks = pack(docs, path, block_bytes)
     size = blocks.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-size // (4 << 20)))
-    verdicts = segments(blocks, shared_anchors(blocks, shards), shards).groupBy("shard").applyInPandas(judge, "block long, data binary")
+    shards = max(1, -(-size // shard_bytes))
+    verdicts = segments(blocks, shared_anchors(blocks, shards, hot), shards).groupBy("shard").applyInPandas(judge, "block long, data binary")
     own = blocks.select("block", F.col("texts").alias("data"), F.col("ids").alias("extra"), *(["rest"] if rest else []))
     return own.unionByName(verdicts, allowMissingColumns=True)
 
 
-def repeat_report(docs: DataFrame) -> DataFrame:
+def repeat_report(docs: DataFrame, **sizes) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs`` (doc_id, text)."""
 
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
@@ -356,28 +488,31 @@ def repeat_report(docs: DataFrame) -> DataFrame:
             begin = end
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
 
-    return _judged(docs.select("doc_id", "text"), rest=False).groupBy("block").applyInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    path = fresh_path(docs.sparkSession, "text-blocks")
+    return _judged(docs.select("doc_id", "text"), rest=False, path=path, **sizes).groupBy("block").applyInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, **sizes) -> DataFrame:
     """The rows of ``docs`` with the repeated bytes cut from their texts; a character that a cut leaves incomplete goes too.
 
     All columns stay; a null text stays null.
     """
     schema, names = docs.schema, docs.columns
     others = [c for c in names if c not in ("doc_id", "text")]
-    flagged = docs.withColumn("_no_text", F.col("text").isNull())
+    path = fresh_path(docs.sparkSession, "text-blocks")
 
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
         doc_ids, ends, data, gone = _removed(rows)
-        rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rows.loc[rows["extra"].notna(), "rest"].iloc[0])).read_all()
         texts, begin = [], 0
         for end in ends.tolist():
             texts.append(data[begin:end][~gone[begin:end]].tobytes().decode("utf-8", "ignore"))
             begin = end
+        if others:
+            rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rows.loc[rows["extra"].notna(), "rest"].iloc[0])).read_all()
         out = rest.select(others).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype(), pa.bool_(): pd.BooleanDtype()}.get) if others else pd.DataFrame(index=range(len(texts)))
         out["doc_id"] = pd.array([None if k == LAST else k for k in doc_ids.tolist()], dtype="Int64")
-        out["text"] = [None if n else t for n, t in zip(rest.column("_no_text").to_pylist(), texts)]
+        no_text = _from_arrays(rows.loc[rows["extra"].notna(), "extra"].iloc[0])[2]
+        out["text"] = [None if n else t for n, t in zip(no_text.tolist(), texts)]
         return out[names]
 
-    return _judged(flagged, rest=True).groupBy("block").applyInPandas(cut, schema)
+    return _judged(docs, rest=True, path=path, **sizes).groupBy("block").applyInPandas(cut, schema)

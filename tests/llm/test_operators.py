@@ -319,6 +319,16 @@ class TestRepeats:
         got = sorted(tuple(x) for x in suffix_dedup.repeat_report(table).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
         assert got == sorted(self.brute([(i, (t or "").encode()) for i, t in rows]))
         assert suffix_dedup.repeat_report(empty).count() == 0
+        # many blocks and shards, and windows dealt one by one wherever an anchor has over two segments
+        for sizes in ({"block_bytes": 700, "shard_bytes": 900, "hot": 2}, {"block_bytes": 3000, "shard_bytes": 500, "hot": 0}, {"hot": 1}):
+            small = suffix_dedup.repeat_report(table, **sizes).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+            assert sorted(tuple(x) for x in small) == got
+
+    def test_clashing_columns(self, spark, docs):
+        clash = docs.selectExpr("doc_id", "text", "lang as _no_text", "source as block", "n_chars as shard", "lang as data", "source as extra", "n_chars as rest")
+        kept = suffix_dedup.drop_repeats(clash)
+        plain = {(r["doc_id"], r["text"]) for r in suffix_dedup.drop_repeats(docs).collect()}
+        assert kept.columns == clash.columns and {(r["doc_id"], r["text"]) for r in kept.collect()} == plain
 
     def test_columns_stay(self, spark, docs):
         kept = suffix_dedup.drop_repeats(docs.withColumnRenamed("n_chars", "block"))
