@@ -125,13 +125,14 @@ def mix_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, max_ep
     its source's row of the cuts decide alone.
     """
     _, cuts = mixed_sizes(docs, weights, share, max_epochs, id_col, source_col, text_col, seed)
-    cuts = cuts.select(F.col("_source").alias("_mix_source"), F.col("_epochs").alias("_mix_epochs"), F.col("_cut").alias("_mix_cut"), F.col("_left").alias("_mix_left"))
-    key = mix_key(F.col(id_col), seed)
-    once_more = F.when((key < F.col("_mix_cut")) | ((key == F.col("_mix_cut")) & (F.col("_mix_left") > 0)), 1).otherwise(0)
-    times = (F.col("_mix_epochs") + once_more).cast("int")
+    # the document is one column here, so that no name of its own can clash
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("document"))
+    key, source = mix_key(F.col(f"document.`{id_col}`"), seed), F.col(f"document.`{source_col}`")
+    once_more = F.when((key < F.col("_cut")) | ((key == F.col("_cut")) & (F.col("_left") > 0)), 1).otherwise(0)
+    times = (F.col("_epochs") + once_more).cast("int")
     return (
-        docs.join(cuts, F.col(source_col).eqNullSafe(F.col("_mix_source")))
-        .withColumn("_mix_times", times).where("_mix_times > 0")
-        .withColumn("_mix_epoch", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
-        .select(*[docs[c] for c in docs.columns])
+        whole.join(cuts, source.eqNullSafe(F.col("_source")))
+        .withColumn("times", times).where("times > 0")
+        .withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("times"))))
+        .select("document.*")
     )
