@@ -3,7 +3,8 @@
 A text is a vector of TF-IDF weights of character 1- to 3-grams (lower-cased,
 anything but letters as a blank, hashed to ``BUCKETS`` buckets), at length 1.
 Each language has several centroids, found by spherical k-means on a bounded
-sample of labelled rows (``sample_per_language``).  The weights' document
+sample of labelled rows (about ``sample_per_language`` of each of at most
+``languages`` languages, drawn by a hash; rows that repeat count once).  The weights' document
 frequencies are counted over all labelled training rows; a task sends one row
 of counts, whose size is the number of buckets.
 
@@ -15,7 +16,7 @@ rejected: ``rejected`` is set and the score falls with the distance; with
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so
 is every text if there is no labelled row; texts of any length are read whole;
 repeated rows are predicted each; an empty table gives an empty result; other
-columns are ignored.
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -68,8 +69,8 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return centres.astype(np.float32)
 
 
-def train(labelled: DataFrame, centroids: int = 4, sample_per_language: int = 200, quantile: float = 0.01) -> dict | None:
-    """The model from (doc_id, text, lang) rows without nulls in text and lang."""
+def train(labelled: DataFrame, centroids: int = 4, sample_per_language: int = 200, quantile: float = 0.01, languages: int = 1000) -> dict | None:
+    """The model from (doc_id, text, lang) rows without nulls in text and lang; the ``languages`` of most rows are learned."""
 
     def frequencies(batches):
         letters, df, n = letter_table(), np.zeros(BUCKETS, dtype=np.int64), 0
@@ -91,11 +92,13 @@ def train(labelled: DataFrame, centroids: int = 4, sample_per_language: int = 20
         return None
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32)
 
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # texts are not shuffled: the drawn identifiers, about sample_per_language a language, are broadcast to them
-    ids = labelled.select("doc_id", "lang").join(sizes, "lang").where(draw < F.lit(float(sample_per_language)) / F.col("n")).select(F.col("doc_id").alias("_id")).distinct()
-    sample = labelled.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "lang", "text")
+    # a row per language, of at most so many languages: safe to broadcast whatever the input
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    draw = F.xxhash64(F.lit("sample"), "doc_id", "text")
+    share = F.pmod(draw, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = labelled.join(F.broadcast(sizes), "lang").where(share < F.lit(float(sample_per_language)) / F.col("n"))
+    # rows that repeat are drawn alike; one of them is enough, so that about sample_per_language rows a language reach the driver
+    sample = drawn.groupBy("lang", "doc_id", draw.alias("draw")).agg(F.min("text").alias("text")).select("draw", "lang", "text")
 
     def sparse(batches):
         letters = letter_table()
@@ -105,12 +108,12 @@ def train(labelled: DataFrame, centroids: int = 4, sample_per_language: int = 20
                 counts = gram_counts(t, letters)
                 if counts is not None:
                     keys.append(k), langs.append(lang), at.append(np.flatnonzero(counts).astype(np.int32)), value.append(counts[counts > 0].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.int64()), pa.array(langs, type=pa.string()), pa.array(at, type=pa.list_(pa.int32())), pa.array(value, type=pa.list_(pa.int32()))], names=["doc_id", "lang", "at", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.int64()), pa.array(langs, type=pa.string()), pa.array(at, type=pa.list_(pa.int32())), pa.array(value, type=pa.list_(pa.int32()))], names=["draw", "lang", "at", "value"])
 
-    rows = sample.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(sparse, "doc_id long, lang string, at array<int>, value array<int>").toPandas()
+    rows = sample.mapInArrow(sparse, "draw long, lang string, at array<int>, value array<int>").toPandas()
     centres, langs, limits = [], [], []
     for lang, group in sorted(rows.groupby("lang"), key=lambda g: g[0]):
-        group = group.sort_values("doc_id").head(2 * sample_per_language)
+        group = group.sort_values("draw").head(2 * sample_per_language)
         counts = np.zeros((len(group), BUCKETS), dtype=np.float32)
         for i, (at, value) in enumerate(zip(group["at"], group["value"])):
             counts[i, at] = value
