@@ -10,14 +10,18 @@ half, are scored; the text's score is the highest.
 Training (on the driver) uses a bounded sample of labelled rows, at most
 ``positives`` and ``negatives`` of them, the same at every size of input: rows
 with the smallest hash of their identifier.  Labels are for texts, so each round
-trains on the window of each text that scores highest so far.  Scoring is a map
-over partitions.
+trains on the window of each text that scores highest so far.  The schedule is
+one formula: a batch is a 24th of the sample, 16 to ``batch`` windows, and there
+are as many rounds as make ``steps`` steps, ``rounds`` to four times that.
+Scoring is a map over partitions.
 
 Defined cases: null and empty texts are one window without tokens and get the
 network's score for that; labels that are null are no labels; of labels that
 repeat a doc_id the highest counts; without labels of both kinds the score is
 the share of toxic labels (0 if none); an empty table gives an empty result;
-repeated rows are scored each; other columns are ignored.
+repeated rows are scored each; of texts that repeat a labelled doc_id the smallest
+is learned; other columns, whatever their names, are ignored by ``toxicity`` and
+kept by ``drop_toxic``.
 """
 
 from __future__ import annotations
@@ -221,7 +225,7 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 8, batch: in
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items() if k not in ("Ew", "Ec")}
     square = {k: np.full(net.p[k].shape, 1e-2, dtype=np.float32) for k in ("Ew", "Ec")}
     step = 0
-    batch = min(batch, max(16, len(y) // 24))  # a small sample gets smaller batches and more rounds
+    batch = min(batch, max(16, len(y) // 24))
     rounds = max(rounds, min(4 * rounds, -(-steps * batch // max(len(y), 1))))
     for _ in range(rounds):
         best = np.array([s + int(np.argmax(scores[s:e])) for s, e, b in zip(starts, starts[1:], back) if not b])
@@ -319,7 +323,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, positives: int = 1500, n
     marks = marks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("draw", F.xxhash64(F.lit("toxicity"), "doc_id"))
     ids = marks.where("toxic = 1").orderBy("draw").limit(positives).unionByName(marks.where("toxic = 0").orderBy("draw").limit(negatives))
     # at most positives + negatives rows: safe to broadcast whatever the input
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids.select(F.col("doc_id").alias("_id"), "toxic")), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids.select(F.col("doc_id").alias("_id"), "toxic")), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
