@@ -21,13 +21,14 @@ white space and control characters in URLs are percent-encoded; a null page_id
 is kept as null and never the target of a revisit while another page_id exists
 (if a payload has null page_ids only, all of them are responses); rows that
 repeat the smallest page_id are all responses; an empty table writes an archive
-without records.
+without records; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -146,21 +147,21 @@ def warc_from_arc(record: dict, refers_to: int | None = None) -> bytes:
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of WARC bytes, by declared lengths."""
+    """(headers, block) of each record of WARC bytes, by declared lengths; a compressed archive is unpacked record by record."""
+    stream = io.BytesIO(data)
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines[1:])
-        begin, length = end + 4, int(head["Content-Length"])
-        if data[begin + length : begin + length + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} does not end where it declares")
-        yield head, data[begin : begin + length]
-        at = begin + length + 4
+        stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 20)
+    while version := stream.readline():
+        if not version.startswith(b"WARC/"):
+            raise ValueError("no WARC record where one must begin")
+        head = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            name, _, value = line[:-2].decode("utf-8", "replace").partition(": ")
+            head[name] = value
+        block = stream.read(int(head["Content-Length"]))
+        if len(block) != int(head["Content-Length"]) or stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"the record {head.get('WARC-Record-ID')} does not end where it declares")
+        yield head, block
 
 
 def _page_block(page_id, html: bytes) -> bytes:
@@ -168,8 +169,8 @@ def _page_block(page_id, html: bytes) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{key}Content-Length: {len(html)}\r\n\r\n".encode() + html
 
 
-def write_warc(pages: DataFrame, path: str, min_revisit: int = 100, date: str = "20000101000000", compression: str = "gzip") -> None:
-    """Writes a WARC record per row of ``pages`` (page_id, url, html), through ARC blocks of a batch each."""
+def write_warc(pages: DataFrame, path: str, min_revisit: int = 100, date: str = "20000101000000", compression: str = "gzip", archive_records: int = 10_000) -> None:
+    """Writes a WARC record per row of ``pages`` (page_id, url, html), through ARC blocks of a batch each; an archive holds ``archive_records`` at most."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"), F.sha2(payload, 256).alias("digest"))
     shared = pages.where(F.octet_length("html") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
@@ -183,7 +184,7 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = 100, date: str =
 
     # the cast keeps the bytes as they are; the writer's separator is the record's last byte
     records = marked.mapInArrow(convert, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", "\n").option("compression", compression).text(path)
+    records.write.option("maxRecordsPerFile", archive_records).option("lineSep", "\n").option("compression", compression).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
