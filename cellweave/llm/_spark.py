@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import uuid
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +17,24 @@ TEST_FOLDER = "file:///tmp/checkpoints/cellweave"
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 
+#: Paths of the tables that :func:`saved` has written in this process.
+_written: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only if unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(TEST_FOLDER)
-    return (named or TEST_FOLDER).rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    With neither, a local session (as in tests) gets one; a cluster raises, since
+    no folder of the driver's machine would do.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(TEST_FOLDER)
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -32,6 +45,7 @@ def saved(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -40,3 +54,14 @@ def drop_table(spark: SparkSession, path: str) -> None:
     """Removes a table that nothing will read again."""
     table = spark._jvm.org.apache.hadoop.fs.Path(path)
     table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(table, True)
+    if path in _written:
+        _written.remove(path)
+
+
+@contextmanager
+def dropping_tables(spark: SparkSession, keep: list[str]):
+    """Removes, at the end, the tables that were saved within but for those in ``keep``; results that still read them must have been written by then."""
+    before = set(_written)
+    yield
+    for path in [p for p in _written if p not in before and p not in keep]:
+        drop_table(spark, path)

@@ -12,7 +12,8 @@ are kept for the rest of the partition, up to a stated number.
 Defined cases: null and empty texts have no tokens; texts are encoded whole,
 whatever their length; the special token's string in a text is the special
 token, as in the library that the vocabulary file is for; rows that repeat are
-encoded each; an empty table gives an empty result; other columns are ignored.
+encoded each; an empty table gives an empty result; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations

@@ -3,7 +3,8 @@
 Each step is an aggregate (one minimum per node, partly computed before the
 shuffle) and a join; every round ends in a table in the shared folder, so
 lineage stays short.  Edges never reach the driver, only their number and a
-checksum.
+checksum.  The centre of a large star is one key of the join, with one row on
+the other side: adaptive execution splits such a key (``spark.sql.adaptive.skewJoin``).
 """
 
 from __future__ import annotations

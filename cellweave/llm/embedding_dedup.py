@@ -17,7 +17,7 @@ Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors meet only vectors of their own length; rows that
 repeat a vector, with or without its vec_id, are vectors of their own; rows with
 a null vec_id link with nothing and have a null component; an empty table gives
-an empty result; other columns are ignored.
+an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -19,7 +19,9 @@ trees go, by shuffle, just to where its fingerprints are.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like
 any other; a text of fewer words than a shingle is one shingle; rows that repeat a
-doc_id are compared as rows; an empty table gives an empty result.
+doc_id are compared as rows; rows with a null doc_id are fingerprinted and linked
+with nothing; an empty table gives an empty result; other columns, whatever their
+names, are ignored by ``simhash_components`` and kept by ``drop_near_copies``.
 """
 
 from __future__ import annotations
@@ -181,5 +183,5 @@ def drop_near_copies(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
 
     Rows that repeat a kept doc_id stay as they are; rows with a null doc_id stay.
     """
-    gone = simhash_components(docs, shingle, radius, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = simhash_components(docs, shingle, radius, id_col, text_col).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.alias("d").join(gone.alias("g"), F.col(f"d.`{id_col}`") == F.col("g.doc_id"), "left_anti")

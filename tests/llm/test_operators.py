@@ -427,7 +427,7 @@ class TestArchives:
     PAGES = [(5, "http://a/x y", "p" * 200), (3, "http://b", "p" * 200), (9, None, "p" * 200), (1, "http://c", "tiny"), (2, "http://d", "tiny"), (4, "http://e", None), (6, "http://f", "é\r\n\r\nWARC/1.1\r\n\r\n" * 30), (6, "http://f", "é\r\n\r\nWARC/1.1\r\n\r\n" * 30), (None, "http://g", "p" * 200)]
 
     def test_round_trip(self, spark):
-        pages = spark.createDataFrame(self.PAGES, "page_id long, url string, html string").withColumnRenamed("html", "html")
+        pages = spark.createDataFrame(self.PAGES, "page_id long, url string, html string")
         rows = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.archive_pages(pages).collect()]
         want = []
         for k, _, h in self.PAGES:
@@ -478,3 +478,53 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() > 0 and {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns)
     assert pd.Series(out.columns).is_unique
+
+
+def test_clashing_columns(spark, docs):
+    """Columns named like the operators' own helpers change nothing and are kept where rows are kept."""
+    helpers = ["_id", "_source", "_key", "_size", "_cut", "_left", "_epochs", "times", "epoch", "_mix_times", "_mix_source", "document", "d", "g", "rep", "fp", "_c", "keys", "digest", "component_id", "_gone", "draw", "part", "check", "payload", "row", "v", "vector", "score", "score_text"]
+    wide = docs.select("*", *[F.lit(i).alias(h) for i, h in enumerate(helpers)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(14)], "doc_id long, quality int, toxic int").withColumn("draw", F.lit(1)).withColumn("text", F.lit("x"))
+    for report in (mixing.mix_report, simhash.simhash_components, near_copies.similar_components, lambda d: bpe.token_digests(d, BYTE), language.identify, suffix_dedup.repeat_report):
+        assert sorted(map(tuple, report(wide).collect()), key=str) == sorted(map(tuple, report(docs).collect()), key=str)
+    assert sorted(map(tuple, token_records.token_files(wide, WORD).select("doc_id", "start", "ids_crc32").collect())) == sorted(map(tuple, token_records.token_files(docs, WORD).select("doc_id", "start", "ids_crc32").collect()))
+    for stage in (mixing.mix_documents, simhash.drop_near_copies, near_copies.drop_similar, suffix_dedup.drop_repeats, lambda d: toxicity.drop_toxic(d, labels)):
+        kept = stage(wide)
+        assert kept.columns == wide.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in stage(docs).collect())
+    rows = vectors(spark, [(i, [float(i), 1.0], 0) for i in range(50)])
+    more = rows.select("*", *[F.lit(i).alias(h) for i, h in enumerate(["rep", "n", "vector", "_v", "others", "node", "row", "v", "dim", "shard"])])
+    assert sorted(map(tuple, embedding_dedup.embedding_components(more).collect())) == sorted(map(tuple, embedding_dedup.embedding_components(rows).collect()))
+    for a, b in [(topk.whole_vectors(more), topk.whole_vectors(rows))]:
+        assert sorted(map(tuple, topk.top_k(a, a).collect())) == sorted(map(tuple, topk.top_k(b, b).collect()))
+    pages = spark.createDataFrame([(1, "u", "x" * 200), (2, "w", "x" * 200), (None, None, None)], "page_id long, url string, html string")
+    report = lambda p: sorted((tuple(x) for x in warc.archive_pages(p).select("page_id", "record_type", "payload_digest", "refers_to").collect()), key=str)
+    assert report(pages.select("*", F.lit("d").alias("digest"), F.lit(1).alias("first"), F.lit("r").alias("record"))) == report(pages)
+
+
+def test_repeated_vectors_are_rows(spark):
+    """Each row of a repeated vec_id is a query and a candidate of its own."""
+    rows = [(20, [1.0, 0.0]), (20, [0.5, 0.5]), (1, [1.0, 1.0]), (2, [0.0, 1.0])]
+    whole = topk.whole_vectors(vectors(spark, [(i, v, 0) for i, v in rows]))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(whole, whole.where("vec_id % 20 = 0"), k=2).collect())
+    scaled = [[int(64 * c) for c in v] for _, v in rows]
+    want = []
+    for q in (0, 1):
+        best = sorted((-sum(a * b for a, b in zip(scaled[q], scaled[c])), rows[c][0]) for c in range(4) if c != q)[:2]
+        want += [(20, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_shared_folder(spark, tmp_path):
+    from cellweave.llm import _spark
+
+    held = spark.sparkContext.getCheckpointDir()
+    folder = _spark.shared_folder(spark)
+    assert folder == (spark.sparkContext.getConf().get("spark.checkpoint.dir") or held or spark.sparkContext.getCheckpointDir()).rstrip("/")
+    kept = _spark.fresh_path(spark, "kept")
+    with _spark.dropping_tables(spark, [kept]):
+        _spark.saved(spark.range(3), "x", kept)
+        gone = _spark.fresh_path(spark, "gone")
+        _spark.saved(spark.range(3), "x", gone)
+    assert spark.read.parquet(kept).count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(gone).count()
