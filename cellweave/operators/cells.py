@@ -39,29 +39,31 @@ def diagnostics(cells: DataFrame, highest: int = 26, limit: float = 0.60) -> Dat
     return cells.groupBy("puzzle").agg(F.count(F.lit(1)).alias("total"), F.count("number").alias("recognised"), F.count_if(valid).alias("valid"), F.count_if(F.col("number").isNotNull() & ~valid).alias("invalid"), (F.count_if(valid) - F.count_if(low & valid)).alias("truly_valid")).withColumns({"true_accuracy": F.col("truly_valid") * 100 / F.col("total"), "coverage": F.col("recognised") * 100 / F.col("total")})
 
 
-def neighbours(cells: DataFrame) -> DataFrame:
-    """KEY, value: the known numbers of each cell's eight neighbours."""
+def neighbours(asked: DataFrame, cells: DataFrame) -> DataFrame:
+    """KEY, value: the known numbers of the eight neighbours of each cell of ``asked``, which is what gets expanded."""
     around = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c])
-    given = cells.where("number is not null").select("puzzle", F.explode(around).alias("d"), "row", "col", F.col("number").alias("value"))
-    return given.select("puzzle", (F.col("row") + F.col("d.r")).alias("row"), (F.col("col") + F.col("d.c")).alias("col"), "value")
+    places = asked.select(*KEY, F.explode(around).alias("d")).select(*KEY, (F.col("row") + F.col("d.r")).alias("_row"), (F.col("col") + F.col("d.c")).alias("_col"))
+    given = cells.where("number is not null").select("puzzle", F.col("row").alias("_row"), F.col("col").alias("_col"), F.col("number").alias("value"))
+    return places.join(given, ["puzzle", "_row", "_col"]).select(*KEY, "value")
 
 
 def drop_outliers(cells: DataFrame, confidence: float = 0.30, least: int = 3, distance: float = 12) -> DataFrame:
     """Unsure cells far from the median of at least ``least`` neighbours lose number and confidence; all read the grid as it was."""
     unsure = cells.where((F.col("confidence") < confidence) & F.col("number").isNotNull()).select(*KEY)
-    medians = neighbours(cells).join(unsure, KEY, "left_semi").groupBy(*KEY).agg(F.median("value").alias("_median"), F.count(F.lit(1)).alias("_n"))
+    medians = neighbours(unsure, cells).groupBy(*KEY).agg(F.median("value").alias("_median"), F.count(F.lit(1)).alias("_n"))
     out = F.coalesce((F.col("_n") >= least) & (F.abs(F.col("number") - F.col("_median")) > distance), F.lit(False))
     return cells.join(medians, KEY, "left").withColumn("outlier", out).withColumn("number", F.when(~out, F.col("number"))).withColumn("confidence", F.when(out, F.lit(0.0)).otherwise(F.col("confidence"))).drop("_median", "_n")
 
 
 def cap_frequencies(cells: DataFrame, share: float = 0.20, confidence: float = 0.60, total: Column | None = None) -> DataFrame:
-    """Of a number in more than ``share`` of a puzzle's cells, the surplus with the least confidence is nulled, where below ``confidence``."""
+    """Of a number in more than ``share`` of a puzzle's cells, the surplus with the least confidence is nulled, where below ``confidence``; its confidence becomes 0."""
     puzzle, value = Window.partitionBy("puzzle"), Window.partitionBy("puzzle", "number")
     total = F.count(F.lit(1)).over(puzzle) if total is None else total
     surplus = F.count(F.lit(1)).over(value) - F.floor(share * total)
     place = F.row_number().over(value.orderBy("confidence", "row", "col"))
     capped = F.col("number").isNotNull() & (place <= surplus) & (F.col("confidence") < confidence)
-    return cells.withColumn("capped", F.coalesce(capped, F.lit(False))).withColumn("number", F.when(~F.col("capped"), F.col("number")))
+    marked = cells.withColumn("capped", F.coalesce(capped, F.lit(False)))
+    return marked.withColumns({"number": F.when(~F.col("capped"), F.col("number")), "confidence": F.when(F.col("capped"), F.lit(0.0)).otherwise(F.col("confidence"))})
 
 
 def frequency(cells: DataFrame) -> DataFrame:
@@ -98,10 +100,57 @@ def early_abort(cells: DataFrame, chunk: int = 16, least: int = 10, share: float
     return running.groupBy("puzzle").agg(F.max("total").alias("total"), F.min(F.when(stops, F.col("read"))).alias("stopped_at"), F.count("number").alias("recognized")).withColumns({"aborted": F.col("stopped_at").isNotNull()}).withColumn("recognized", F.when(F.col("aborted"), F.lit(0)).otherwise(F.col("recognized")))
 
 
+def images_at(cells: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """``image`` of each cell: of those at its place the first by ``ord``, null without one.  occurrences: KEY, ord, image."""
+    first = occurrences.groupBy(*KEY).agg(F.min_by("image", "ord").alias("image"))
+    return cells.join(first, KEY, "left")
+
+
+def status_counts(images: DataFrame, key: str) -> DataFrame:
+    """Per batch: images by status and the share that is done, in percent."""
+    by = {s: F.count_if(F.col("status") == s).alias(s) for s in ("pending", "processing", "done", "error")}
+    return images.groupBy(key).agg(*by.values(), F.count(F.lit(1)).alias("total")).withColumn("percent", F.floor(F.col("done") * 100 / F.col("total") + 0.5).cast("int"))
+
+
+def least_sure(cells: DataFrame, limit: float = 0.60) -> DataFrame:
+    """Recognised cells below ``limit``, the least sure first."""
+    return cells.where(F.col("number").isNotNull() & (F.col("confidence") < limit)).orderBy("confidence", *KEY)
+
+
+def micro_batches(cells: DataFrame, size: int = 16) -> DataFrame:
+    """``batch``: the cells of a puzzle in order, ``size`` at a time."""
+    return cells.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("puzzle").orderBy("row", "col")) - 1) / size).cast("int"))
+
+
+def append_chunks(chunks: list[DataFrame]) -> DataFrame:
+    """The results of chunks one after the other, all rows."""
+    out = chunks[0]
+    for c in chunks[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def with_progress(cells: DataFrame, observation) -> DataFrame:
+    """``cells``, whose rows and recognised rows ``observation`` (``pyspark.sql.Observation``) has when an action has run."""
+    return cells.observe(observation, F.count(F.lit(1)).alias("processed"), F.count("number").alias("recognized"))
+
+
+def combine_paths(chosen: DataFrame, numbers: DataFrame, visual: DataFrame) -> DataFrame:
+    """Symbols of each puzzle by the path chosen for it: those of ``numbers`` or those of ``visual`` (same columns, puzzle among them)."""
+    of = lambda path: chosen.where(F.col("path") == path).select("puzzle")
+    return numbers.join(of("numbers"), "puzzle", "left_semi").unionByName(visual.join(of("visual"), "puzzle", "left_semi"))
+
+
+def words(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Letters of upper-cased words as cells: key, place, letter, and a repeatable random number of 1 to 28."""
+    letters = texts.select(key, F.posexplode(F.split(F.upper(text), "")).alias("place", "letter")).where("letter <> ''")
+    return letters.withColumn("number", (F.pmod(F.xxhash64(key, "place"), F.lit(28)) + 1).cast("int"))
+
+
 def next_cells(cells: DataFrame) -> DataFrame:
-    """The next and previous cell that can be edited, along rows and along columns."""
+    """The next and previous cell that can be edited, (row, col), along rows and along columns."""
     rows, cols = Window.partitionBy("puzzle").orderBy("row", "col"), Window.partitionBy("puzzle", "col").orderBy("row")
-    place = F.when(F.col("editable"), F.col("row") * 1000 + F.col("col"))
+    place = F.when(F.col("editable"), F.struct("row", "col"))
     after = lambda w: F.first(place, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
     before = lambda w: F.last(place, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return cells.withColumns({"next_across": after(rows), "previous_across": before(rows), "next_down": after(cols), "previous_down": before(cols)})

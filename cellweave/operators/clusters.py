@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import feature_distance
@@ -54,21 +54,33 @@ def nearest_centroid(symbols: DataFrame, centroids: DataFrame, key: str) -> Data
 
 
 def cluster_symbols(symbols: DataFrame, similarity: float = 0.85) -> DataFrame:
-    """Leader pass, one reassignment to the means before it, then means again: (puzzle, cluster, members, representative, area, aspect_ratio, moments)."""
+    """Leader pass, one reassignment to the means before it, then means again; empty clusters drop and the others close up: (puzzle, cluster, members, representative, area, aspect_ratio, moments)."""
     led = leader_pass(symbols, similarity).join(symbols, ["puzzle", "ord"])
     old = cluster_means(led, ["puzzle", "cluster"])
     placed = nearest_centroid(symbols, old, "puzzle").join(symbols, ["puzzle", "ord"])
+    numbers = placed.select("puzzle", F.col("cluster").alias("_old")).distinct().withColumn("_new", F.row_number().over(Window.partitionBy("puzzle").orderBy("_old")) - 1)
     means = cluster_means(placed, ["puzzle", "cluster"])
     near = placed.join(old.select("puzzle", "cluster", F.struct("area", "aspect_ratio", "moments").alias("_c")), ["puzzle", "cluster"])
     representative = near.groupBy("puzzle", "cluster").agg(F.min_by("ord", F.struct(feature_distance(F.struct("area", "aspect_ratio", "moments"), F.col("_c")), "ord")).alias("representative"))
-    return means.join(representative, ["puzzle", "cluster"])
+    found = means.join(representative, ["puzzle", "cluster"]).withColumnRenamed("cluster", "_old").join(numbers, ["puzzle", "_old"])
+    return found.withColumn("cluster", F.col("_new").cast("int")).drop("_old", "_new")
 
 
 def merge_clusters(clusters: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Clusters whose id is in ``mapping`` (cluster -> into) become one: sizes add, the first letter that is set stays."""
+    """Clusters whose id is in ``mapping`` (cluster -> into) become one: sizes add, the first letter that is set, by cluster, stays."""
     m = mapping.select("puzzle", F.col("cluster").alias("_from"), F.col("into"))
-    moved = clusters.join(m, (clusters["puzzle"] == m["puzzle"]) & (clusters["cluster"] == m["_from"]), "left").select(clusters["puzzle"], F.coalesce("into", "cluster").alias("cluster"), "cluster_letter", "members", F.col("_from").isNotNull().alias("merged"))
-    return moved.groupBy("puzzle", "cluster").agg(F.sum("members").alias("members"), F.min_by("cluster_letter", F.when(F.col("cluster_letter").isNotNull(), 0)).alias("letter"), F.bool_or("merged").alias("merged"))
+    pairs = clusters.alias("c").join(m.alias("m"), (F.col("c.puzzle") == F.col("m.puzzle")) & (F.col("c.cluster") == F.col("m._from")), "left")
+    moved = pairs.select(F.col("c.puzzle"), F.coalesce("into", "cluster").alias("cluster"), F.col("cluster").alias("_was"), "cluster_letter", "members", F.col("_from").isNotNull().alias("merged"))
+    return moved.groupBy("puzzle", "cluster").agg(F.sum("members").alias("members"), F.min_by("cluster_letter", F.when(F.col("cluster_letter").isNotNull(), F.col("_was"))).alias("letter"), F.bool_or("merged").alias("merged"))
+
+
+def split_cluster(members: DataFrame, puzzle: int, cluster: int, similarity: float = 0.85) -> DataFrame:
+    """``members`` (puzzle, ord, cluster, features) with one cluster led again: its parts take new numbers after the puzzle's last, the others stay."""
+    mine = (F.col("puzzle") == puzzle) & (F.col("cluster") == cluster)
+    parts = leader_pass(members.where(mine).withColumn("hash", F.col("ord").cast("string")), similarity).select("puzzle", "ord", F.col("cluster").alias("_part"))
+    last = members.where(F.col("puzzle") == puzzle).groupBy("puzzle").agg(F.max("cluster").alias("_last"))
+    moved = members.where(mine).join(parts, ["puzzle", "ord"]).join(last, "puzzle").withColumn("cluster", (F.col("_last") + 1 + F.col("_part")).cast("int")).drop("_part", "_last")
+    return members.where(~mine).unionByName(moved)
 
 
 def merge_by_features(clusters: DataFrame, similarity: float = 0.85) -> DataFrame:

@@ -76,9 +76,9 @@ def stratified_split(items: DataFrame, stratum: str, id_col: str, share: float =
     """``split``: 'train' for the first max(1, floor(share n)) of each stratum, one less if that is all of two or more; else 'val'.
 
     A stratum may hold a third of all rows, so places are counted in two steps:
-    within ranges of the shuffle's first hex digits, and ranges by prefix sum.
+    within ranges of the shuffle's first three hex digits, and ranges by prefix sum.
     """
-    marked = items.withColumn("_order", seeded_order(seed, id_col)).withColumn("_range", F.substring("_order", 1, 2))
+    marked = items.withColumn("_order", seeded_order(seed, id_col)).withColumn("_range", F.substring("_order", 1, 3))
     ranges = marked.groupBy(stratum, "_range").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(stratum).orderBy("_range")
     ranges = ranges.withColumns({"_before": F.sum("_n").over(w) - F.col("_n"), "_all": F.sum("_n").over(Window.partitionBy(stratum))}).withColumnRenamed(stratum, "_stratum").withColumnRenamed("_range", "_r")
@@ -108,10 +108,21 @@ def label_counts(parts: dict[str, DataFrame], label: str) -> DataFrame:
     return rows.groupBy("label").agg(*[F.count_if(F.col("part") == n).alias(n) for n in parts])
 
 
-def output_names(items: DataFrame, prefix: str, order: list[str]) -> DataFrame:
-    """``name``: prefix, running number, digit.  A window over all rows of one prefix: for file lists, not for corpora."""
-    n = F.row_number().over(Window.orderBy(*order)) - 1
-    return items.withColumn("name", F.format_string("%s%05d_d%d.png", F.lit(prefix), n, F.col("digit")))
+def output_names(items: DataFrame, prefix: str, order: str) -> DataFrame:
+    """``name``: prefix, running number in order of the number ``order`` (null first), digit.
+
+    Places are counted within about sqrt(n) ranges of one width, and ranges by
+    prefix sum, so that no task sorts all rows.
+    """
+    value = F.col(order).cast("double")
+    span = items.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.ceil(F.sqrt(F.count(F.lit(1)))).alias("_ranges"))
+    at = F.when(value.isNull(), -1).when(F.col("_hi") > F.col("_lo"), F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_ranges"))).otherwise(0)
+    marked = items.join(F.broadcast(span), F.lit(True)).withColumn("_range", at).drop("_lo", "_hi", "_ranges")  # one row
+    counts = marked.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.col("_range").alias("_r"), (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row per range
+    n = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
+    placed = marked.join(before, F.col("_range") == F.col("_r"))
+    return placed.withColumn("name", F.format_string("%s%05d_d%d.png", F.lit(prefix), n, F.col("digit"))).select(*items.columns, "name")
 
 
 def violations(truth: DataFrame) -> DataFrame:

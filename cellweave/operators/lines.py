@@ -101,3 +101,14 @@ def table_structure(grid: DataFrame) -> DataFrame:
 
 def confidence_band(percent: Column) -> Column:
     return F.when(percent >= 80, "High").when(percent >= 50, "Medium").otherwise("Low")
+
+
+def lines_of_rows(keys: DataFrame, rows: DataFrame, lines: DataFrame, key: str) -> DataFrame:
+    """(key, row, line): each key's lines by the row in which their middle lies; a row without lines has one with null.
+
+    rows: row, top, bottom, a few for all keys and broadcast; lines: key, middle, line.
+    """
+    row = F.broadcast(rows)
+    placed = lines.join(row, (F.col("middle") >= F.col("top")) & (F.col("middle") < F.col("bottom"))).select(key, "row", "line")
+    grid = keys.distinct().join(row.select("row"), F.lit(True))
+    return grid.join(placed, [key, "row"], "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,25 @@ def letter_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(LETTER_FREQUENCY.items()), "letter string, pct double")
 
 
+def letter_counts(texts: DataFrame, group: str, text: str) -> DataFrame:
+    """(group, symbol_id, n): how often each of the letters a to z is in a group's lower-cased texts; one pass, at most 26 rows of a batch's groups."""
+    kind = dict(texts.dtypes)[group]
+
+    def count(batches):
+        for b in batches:
+            codes, totals = b.column(0).dictionary_encode(), {}
+            for k, t in zip(codes.indices.to_pylist(), b.column(1)):
+                if t.is_valid:
+                    n = np.bincount(np.frombuffer(t.as_buffer(), dtype=np.uint8), minlength=256)[97:123]
+                    totals[k] = totals[k] + n if k in totals else n
+            rows = [(k, chr(97 + i), int(n)) for k, counts in totals.items() for i, n in enumerate(counts) if n]
+            at = pa.array([r[0] for r in rows], type=codes.indices.type)
+            yield pa.RecordBatch.from_arrays([codes.dictionary.take(at), pa.array([r[1] for r in rows], type=pa.string()), pa.array([r[2] for r in rows], type=pa.int64())], names=["group", "symbol_id", "n"])
+
+    parts = texts.select(F.col(group), F.lower(text)).mapInArrow(count, f"group {kind}, symbol_id string, n long")
+    return parts.groupBy(F.col("group").alias(group), "symbol_id").agg(F.sum("n").alias("n"))
+
+
 def suggest(symbols: DataFrame, letters: DataFrame, group: str) -> DataFrame:
     """The nth most frequent symbol of a group gets the nth letter.
 
@@ -59,14 +80,18 @@ def unmapped(symbols: DataFrame, mapping: DataFrame, group: str) -> DataFrame:
 
 
 def validate(symbols: DataFrame, mapping: DataFrame, group: str) -> DataFrame:
-    """Per group: duplicate letters, values that are no letters, symbols without one, and whether the mapping is valid and complete."""
+    """Per group: duplicate letters, values that are no letters, symbols without one, and whether the mapping is valid and complete.
+
+    An empty letter leaves a symbol unmapped, but its mapping is there: it does not make the whole incomplete.
+    """
     bad = mapping.where(~F.col("letter").rlike("(?iu)^[A-ZÀ-Ü]$") & (F.col("letter") != "")).groupBy(group).agg(F.count(F.lit(1)).alias("_bad"))
     twice = duplicates(mapping, group).groupBy(group).agg(F.count(F.lit(1)).alias("_twice"))
     missing = unmapped(symbols, mapping, group).groupBy(group).agg(F.count(F.lit(1)).alias("_missing"))
+    absent = symbols.join(mapping.where("letter is not null"), [group, "symbol_id"], "left_anti").groupBy(group).agg(F.count(F.lit(1)).alias("_absent"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     return (
-        symbols.select(group).distinct().join(bad, group, "left").join(twice, group, "left").join(missing, group, "left")
-        .select(group, zero("_twice").alias("duplicates"), zero("_bad").alias("invalid"), zero("_missing").alias("unmapped"), ((zero("_twice") + zero("_bad")) == 0).alias("valid"), (zero("_missing") == 0).alias("complete"))
+        symbols.select(group).distinct().join(bad, group, "left").join(twice, group, "left").join(missing, group, "left").join(absent, group, "left")
+        .select(group, zero("_twice").alias("duplicates"), zero("_bad").alias("invalid"), zero("_missing").alias("unmapped"), ((zero("_twice") + zero("_bad")) == 0).alias("valid"), (zero("_absent") == 0).alias("complete"))
     )
 
 

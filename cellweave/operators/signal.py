@@ -6,6 +6,8 @@ row kept is a fold over the key's sorted array, inside the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +88,27 @@ def clue_column(positions: DataFrame, key: str) -> DataFrame:
     return g.groupBy(key).agg(F.max(F.struct("gap", (-F.col("ord")).alias("o"))).alias("m"), upper_median(F.collect_list("gap")).alias("median_gap")).select(key, F.when(F.col("m.gap") > 2 * F.col("median_gap"), -F.col("m.o")).alias("split_at"))
 
 
+def order_statistics(values: DataFrame, key: str, value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Per key the values at places of the sorted order (from 0, as functions of the number of values); nulls do not count.
+
+    A key may hold a third of all rows: its values fall into about sqrt(n)
+    ranges of one width, whose counts' prefix sums tell the range of each place;
+    only those ranges are sorted, and equal values are one row.
+    """
+    v = values.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    span = v.groupBy(key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
+    ranges = F.ceil(F.sqrt("_all"))
+    at = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * ranges)).otherwise(0)
+    ranged = v.join(span, key).withColumn("_range", at)
+    by_range = Window.partitionBy(key).orderBy("_range")
+    counts = ranged.groupBy(key, "_range").agg(F.sum("_n").alias("_in")).withColumn("_before", F.sum("_in").over(by_range) - F.col("_in"))
+    asked = span.select(key, F.explode(F.array(*[F.struct(F.lit(name).alias("name"), f(F.col("_all")).cast("long").alias("place")) for name, f in places.items()])).alias("a")).select(key, "a.*")
+    hit = counts.join(asked, key).where("place >= _before and place < _before + _in").select(key, "_range", "name", "place", "_before")
+    inside = ranged.join(hit, [key, "_range"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy(key, "_range", "name").orderBy("_v")))
+    found = inside.where("_upto > place").groupBy(key, "name").agg(F.min("_v").alias("_at"))
+    return found.groupBy(key).agg(*[F.max(F.when(F.col("name") == name, F.col("_at"))).alias(name) for name in places])
+
+
 def modal_value(values: DataFrame, key: str, value: str, buckets: int = 10) -> DataFrame:
     """Middle of the fullest of equally wide buckets, the first of equals; the minimum if all values are equal."""
     span = values.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
@@ -165,10 +188,22 @@ def kmeans_1d(values: DataFrame, key: str, value: str, k: int, rounds: int = 10,
 
 
 def regularize_positions(positions: DataFrame, key: str, radius: float = 6, deviation: float = 0.45, most: int = 3) -> DataFrame:
-    """Chain clusters, gaps, 2-means of the gaps; gaps near neither mean are filled by the larger mean's step."""
+    """Chain clusters, gaps, 2-means of the gaps; a gap that is off its own mean is filled by that mean's step, 1 to ``most`` times.
+
+    A gap's label is from the last round's start, its mean from that round's end.
+    """
     peaks = cluster_peaks(positions, key, radius).select(key, F.col("centre").alias("pos"))
-    means = kmeans_1d(gaps(peaks, key).where("gap is not null"), key, "gap", 2).select(key, F.array_max("centroids").alias("_step"))
-    return regularize(peaks.join(means, key), key, F.col("_step"), most=most, gate=1 + deviation)
+    between = gaps(peaks, key).where("gap is not null")
+    labels = kmeans_1d(between, key, "gap", 2, rounds=9).select(key, F.col("centroids").alias("_last"))
+    means = kmeans_1d(between, key, "gap", 2, rounds=10).select(key, F.col("centroids").alias("_means"))
+    off = F.transform("_last", lambda c: F.abs(c - F.col("gap")))
+    own = F.element_at("_means", F.array_position(off, F.array_min(off)).cast("int"))
+    step = between.join(labels, key).join(means, key).withColumn("_step", own)
+    n = js_round(F.col("gap") / F.col("_step")) - 1
+    missing = step.where(F.abs(F.col("gap") - F.col("_step")) / F.col("_step") > deviation).withColumn("_n", n).where(F.col("_n").between(1, most))
+    added = missing.select(key, (F.col("pos") - F.col("gap")).alias("pos"), "_step", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("m"))
+    added = added.select(key, js_round(F.col("pos") + F.col("_step") * F.col("m")).cast("long").alias("pos"), F.lit(True).alias("inserted"))
+    return peaks.select(key, F.col("pos").cast("long").alias("pos"), F.lit(False).alias("inserted")).unionByName(added)
 
 
 def vote_accumulator(points: DataFrame, key: str, x: Column, y: Column, size: int = 8, least: int = 3) -> DataFrame:
@@ -196,6 +231,20 @@ def phase(positions: DataFrame, key: str, period: float) -> DataFrame:
     return positions.groupBy(key).agg((F.pmod(F.atan2(F.avg(F.sin(turn)), F.avg(F.cos(turn))), F.lit(2 * 3.141592653589793)) * period / (2 * 3.141592653589793)).alias("phase"))
 
 
+def distinct_positions(positions: DataFrame, key: str) -> DataFrame:
+    """Each key's positions once, as a sorted array."""
+    return positions.groupBy(key).agg(F.array_sort(F.collect_set("pos")).alias("positions"))
+
+
+def first_detection(results: list[DataFrame], key: str) -> DataFrame:
+    """Of detectors in order (key, grid, error), the first result of each key that has no error."""
+    tried = None
+    for n, r in enumerate(results):
+        part = r.where("error is null").select(key, F.lit(n).alias("detector"), "grid")
+        tried = part if tried is None else tried.unionByName(part)
+    return tried.groupBy(key).agg(F.min(F.struct("detector", "grid")).alias("r")).select(key, "r.detector", "r.grid")
+
+
 def grid_lines(spark_positions: DataFrame, key: str, period: int) -> DataFrame:
     """Evenly spaced positions over each key's extent."""
     return spark_positions.groupBy(key).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).select(key, F.explode(F.sequence("lo", "hi", F.lit(period).cast("long"))).alias("pos"))

@@ -69,15 +69,21 @@ ORACLE_SQL["quality_gate"] = "SELECT CASE WHEN p_size = 13 THEN 'empty_image' WH
 
 @_query
 def strategy_select(spark, sf_dir):
-    """The first three lines of an order are its strategies."""
-    r = raw_cells(spark, sf_dir).where("col <= 3")
-    one = last_by_key(r, ["puzzle", "row", "col"], ["price", "part", "confidence"]).select("puzzle", "row", F.col("col").alias("strategy"), F.when(F.col("number") <= 24, F.col("number")).alias("number"), "confidence")
+    """An order's lines are read by three strategies in turn; of one strategy's lines the dearest counts."""
+    r = raw_cells(spark, sf_dir).withColumn("strategy", (F.col("col") - 1) % 3 + 1)
+    one = last_by_key(r, ["puzzle", "row", "strategy"], ["price", "part", "confidence", "col"]).select("puzzle", "row", "strategy", F.when(F.col("number") <= 24, F.col("number")).alias("number"), "confidence")
     return ops.choose_strategy(one, ["puzzle", "row"])
 
 
 ORACLE_SQL["strategy_select"] = f"""
-WITH {CELLS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY puzzle, row ORDER BY CASE WHEN confidence > 0.95 THEN 0 ELSE 1 END, CASE WHEN confidence > 0.95 THEN 0 ELSE -confidence END, col) AS i FROM cells WHERE col <= 3 AND number <= 24)
-SELECT puzzle, row, col AS strategy, number, confidence FROM r WHERE i = 1
+WITH s AS (
+  SELECT CAST(floor(l_orderkey / 12) AS BIGINT) AS puzzle, CAST(l_orderkey % 12 AS INT) AS row, CAST((l_linenumber - 1) % 3 + 1 AS INT) AS strategy, CAST(1 + l_partkey % 27 AS INT) AS number, l_discount * 10 AS confidence,
+         row_number() OVER (PARTITION BY l_orderkey, (l_linenumber - 1) % 3 ORDER BY l_extendedprice DESC, l_partkey DESC, l_discount DESC, l_linenumber DESC) AS nth
+  FROM lineitem),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY puzzle, row ORDER BY CASE WHEN confidence > 0.95 THEN 0 ELSE 1 END, CASE WHEN confidence > 0.95 THEN 0 ELSE -confidence END, strategy) AS i
+  FROM s WHERE nth = 1 AND number <= 24)
+SELECT puzzle, row, strategy, number, confidence FROM r WHERE i = 1
 """
 
 
@@ -134,7 +140,7 @@ ORACLE_SQL["existing_files"] = "SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN
 def output_names(spark, sf_dir):
     """K7, on the benchmark's items."""
     items = table(spark, sf_dir, "benchmark").select("item_id", (F.length("text") % 27 + 1).cast("int").alias("digit"))
-    return ops.output_names(items, "cell_", ["item_id"]).select("item_id", "name")
+    return ops.output_names(items, "cell_", "item_id").select("item_id", "name")
 
 
 ORACLE_SQL["output_names"] = "SELECT item_id, printf('cell_%05d_d%d.png', row_number() OVER (ORDER BY item_id) - 1, length(text) % 27 + 1) AS name FROM benchmark"

@@ -33,14 +33,14 @@ WHERE a.confidence < 0.30 GROUP BY a.puzzle, a.row, a.col, a.number HAVING count
 @_query
 def frequency_cap(spark, sf_dir):
     """W7, with a cap of 4 % so that it acts on these grids."""
-    return ops.cap_frequencies(cells(spark, sf_dir), share=0.04).where("capped").select("puzzle", "row", "col", "confidence")
+    return ops.cap_frequencies(cells(spark, sf_dir), share=0.04).where("capped").select("puzzle", "row", "col", "number", "confidence")
 
 
 ORACLE_SQL["frequency_cap"] = f"""
 WITH {CELLS_SQL}, r AS (
   SELECT *, count(*) OVER (PARTITION BY puzzle, number) - floor(0.04 * count(*) OVER (PARTITION BY puzzle)) AS surplus,
          row_number() OVER (PARTITION BY puzzle, number ORDER BY confidence, row, col) AS place FROM cells)
-SELECT puzzle, row, col, confidence FROM r WHERE place <= surplus AND confidence < 0.6
+SELECT puzzle, row, col, CAST(NULL AS INT) AS number, 0.0::DOUBLE AS confidence FROM r WHERE place <= surplus AND confidence < 0.6
 """
 
 
@@ -93,11 +93,13 @@ SELECT puzzle, count(*) FILTER (overridden) AS overridden, count(*) FILTER (effe
 @_query
 def next_cell(spark, sf_dir):
     """Cells with an odd number can be edited."""
-    return ops.next_cells(cells(spark, sf_dir).withColumn("editable", F.col("number") % 2 == 1)).select("puzzle", "row", "col", "next_across", "previous_across", "next_down", "previous_down")
+    shown = lambda c: F.when(F.col(c).isNotNull(), F.concat_ws(":", F.col(c)["row"], F.col(c)["col"])).alias(c)
+    found = ops.next_cells(cells(spark, sf_dir).withColumn("editable", F.col("number") % 2 == 1))
+    return found.select("puzzle", "row", "col", *map(shown, ("next_across", "previous_across", "next_down", "previous_down")))
 
 
 ORACLE_SQL["next_cell"] = f"""
-WITH {CELLS_SQL}, c AS (SELECT *, CASE WHEN number % 2 = 1 THEN row * 1000 + col END AS place FROM cells)
+WITH {CELLS_SQL}, c AS (SELECT *, CASE WHEN number % 2 = 1 THEN row || ':' || col END AS place FROM cells)
 SELECT puzzle, row, col,
   first_value(place IGNORE NULLS) OVER (PARTITION BY puzzle ORDER BY row, col ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_across,
   last_value(place IGNORE NULLS) OVER (PARTITION BY puzzle ORDER BY row, col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_across,
@@ -127,6 +129,92 @@ def path_choice(spark, sf_dir):
 ORACLE_SQL["path_choice"] = f"WITH {CELLS_SQL} SELECT puzzle, count(*) FILTER (confidence >= 0.2) AS recognized, count(*) AS total, CASE WHEN count(*) FILTER (confidence >= 0.2) / count(*) >= 0.7 THEN 'numbers' ELSE 'visual' END AS path FROM cells GROUP BY puzzle"
 
 
+@_query
+def combined_paths(spark, sf_dir):
+    """The symbols of each puzzle, by numbers or, where too few are recognised, by shape (here the confidence's tenth)."""
+    c = cells(spark, sf_dir)
+    seen = c.withColumn("number", F.when(F.col("confidence") >= 0.3, F.col("number")))
+    count = F.count(F.lit(1)).alias("n")
+    numbers = seen.where("number is not null").groupBy("puzzle", F.format_string("num_%03d", "number").alias("symbol")).agg(count)
+    visual = c.groupBy("puzzle", F.format_string("shape_%d", F.floor("confidence").cast("int")).alias("symbol")).agg(count)
+    return ops.combine_paths(ops.choose_path(seen), numbers, visual)
+
+
+ORACLE_SQL["combined_paths"] = f"""
+WITH {CELLS_SQL}, p AS (SELECT puzzle, count(*) FILTER (confidence >= 0.3) / count(*) >= 0.7 AS by_number FROM cells GROUP BY puzzle)
+SELECT c.puzzle, CASE WHEN by_number THEN printf('num_%03d', number) ELSE printf('shape_%d', CAST(floor(confidence) AS INT)) END AS symbol, count(*) AS n
+FROM cells c JOIN p ON p.puzzle = c.puzzle WHERE NOT by_number OR confidence >= 0.3 GROUP BY ALL
+"""
+
+
+@_query
+def image_lookup(spark, sf_dir):
+    """The order lines at a cell's place are its images; the first by date counts."""
+    seen = table(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 12).cast("long").alias("puzzle"), (F.col("l_orderkey") % 12).cast("int").alias("row"), F.col("l_linenumber").cast("int").alias("col"),
+        F.struct("l_shipdate", "l_suppkey", "l_partkey").alias("ord"), F.col("l_suppkey").alias("image")).where("image % 3 > 0")
+    return ops.images_at(cells(spark, sf_dir), seen).select("puzzle", "row", "col", "image")
+
+
+ORACLE_SQL["image_lookup"] = f"""
+WITH {CELLS_SQL}, s AS (
+  SELECT CAST(floor(l_orderkey / 12) AS BIGINT) AS puzzle, CAST(l_orderkey % 12 AS INT) AS row, CAST(l_linenumber AS INT) AS col, l_suppkey AS image,
+         row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_suppkey, l_partkey) AS nth
+  FROM lineitem WHERE l_suppkey % 3 > 0)
+SELECT c.puzzle, c.row, c.col, s.image FROM cells c LEFT JOIN s ON s.nth = 1 AND s.puzzle = c.puzzle AND s.row = c.row AND s.col = c.col
+"""
+
+
+@_query
+def batch_status(spark, sf_dir):
+    """orders of a customer are images, their status the image's."""
+    o = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "pending").otherwise("error")
+    return ops.status_counts(o.select(F.col("o_custkey").alias("batch"), status.alias("status")), "batch")
+
+
+ORACLE_SQL["batch_status"] = """
+SELECT o_custkey AS batch, count(*) FILTER (o_orderstatus = 'O') AS pending, CAST(0 AS BIGINT) AS processing, count(*) FILTER (o_orderstatus = 'F') AS done,
+  count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS error, count(*) AS total, CAST(floor(count(*) FILTER (o_orderstatus = 'F') * 100 / count(*) + 0.5) AS INT) AS percent
+FROM orders GROUP BY o_custkey
+"""
+
+
+@_query
+def least_sure_cells(spark, sf_dir):
+    """T7."""
+    return ops.least_sure(cells(spark, sf_dir), 0.2).select("puzzle", "row", "col", "number", "confidence")
+
+
+ORACLE_SQL["least_sure_cells"] = f"WITH {CELLS_SQL} SELECT puzzle, row, col, number, confidence FROM cells WHERE confidence < 0.2 ORDER BY confidence, puzzle, row, col"
+
+
+@_query
+def chunked_cells(spark, sf_dir):
+    """Batches of 16, odd and even ones read apart and appended."""
+    b = ops.micro_batches(cells(spark, sf_dir))
+    both = ops.append_chunks([b.where("batch % 2 = 0"), b.where("batch % 2 = 1")])
+    return both.groupBy("puzzle", "batch").agg(F.count(F.lit(1)).alias("cells"), F.sum("number").alias("numbers"))
+
+
+ORACLE_SQL["chunked_cells"] = f"""
+WITH {CELLS_SQL}, b AS (SELECT *, CAST((row_number() OVER (PARTITION BY puzzle ORDER BY row, col) - 1) // 16 AS INT) AS batch FROM cells)
+SELECT puzzle, batch, count(*) AS cells, CAST(sum(number) AS BIGINT) AS numbers FROM b GROUP BY puzzle, batch
+"""
+
+
+@_query
+def word_cells(spark, sf_dir):
+    """Letters of the benchmark's texts; DuckDB keeps a sharp s, so its SQL spells it out."""
+    return ops.words(table(spark, sf_dir, "benchmark"), "item_id", "text").groupBy("item_id", "letter").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+
+
+ORACLE_SQL["word_cells"] = """
+WITH l AS (SELECT item_id, string_split(upper(replace(text, 'ß', 'SS')), '') AS l FROM benchmark), u AS (SELECT item_id, unnest(l) AS letter, CAST(generate_subscripts(l, 1) - 1 AS INT) AS place FROM l)
+SELECT item_id, letter, count(*) AS n, min(place) AS first FROM u WHERE letter <> '' GROUP BY item_id, letter
+"""
+
+
 @_query
 def early_abort(spark, sf_dir):
     """R2 in batch: a user's events in order of time; purchases and signups are recognised."""

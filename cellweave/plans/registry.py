@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curating, grids, scoring, shapes, signals, symbols, texts
+from . import curating, files, grids, scoring, shapes, signals, symbols, templating, texts
 
-_MODULES = (scoring, grids, signals, curating, symbols, texts, shapes)
+_MODULES = (scoring, grids, signals, curating, symbols, texts, shapes, files, templating)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

@@ -63,6 +63,7 @@ ORACLE_SQL["score_cells"] = f"WITH {_SCORES} x AS (SELECT 1) SELECT doc_id, expe
 
 @_query
 def score_by_source(spark, sf_dir):
+    """J1, A1 by source."""
     return compare.metrics(_document_scores(spark, sf_dir), ["source"])
 
 
@@ -133,15 +134,15 @@ SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0)
 
 @_query
 def edit_distance_by_key(spark, sf_dir):
-    """A4: a user's event types in order of time against the same without the first."""
-    events = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.ascii("event_type").alias("t")))).alias("e"))
-    seq = events.select("user_id", text.sequence_string(F.transform("e", lambda x: x["t"] - 64)).alias("a"))
-    return compare.edit_distances(seq.withColumn("b", F.expr("substring(a, 2)")), "user_id", "a", "b")
+    """A4: the event types of a user's day in order of time against the same without the first."""
+    events = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.ascii("event_type").alias("t")))).alias("e"))
+    seq = events.select(F.concat_ws("#", "user_id", "day").alias("user_day"), text.sequence_string(F.transform("e", lambda x: x["t"] - 64)).alias("a"))
+    return compare.edit_distances(seq.withColumn("b", F.expr("substring(a, 2)")), "user_day", "a", "b")
 
 
 ORACLE_SQL["edit_distance_by_key"] = """
-WITH s AS (SELECT user_id, string_agg(event_type[1], '' ORDER BY ts, event_id) AS a FROM events GROUP BY user_id)
-SELECT user_id, CAST(levenshtein(a, a[2:]) AS INT) AS edit_distance, levenshtein(a, a[2:]) / CAST(len(a) AS DOUBLE) AS normalized FROM s
+WITH s AS (SELECT user_id || '#' || CAST(ts AS DATE) AS user_day, string_agg(event_type[1], '' ORDER BY ts, event_id) AS a FROM events GROUP BY ALL)
+SELECT user_day, CAST(levenshtein(a, a[2:]) AS INT) AS edit_distance, levenshtein(a, a[2:]) / CAST(len(a) AS DOUBLE) AS normalized FROM s
 """
 
 

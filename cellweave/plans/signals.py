@@ -159,10 +159,10 @@ SELECT o_orderpriority, round(lo + (b + 0.5) * (hi - lo) / 10, 6) AS modal FROM
 
 @_query
 def medians(spark, sf_dir):
-    """Per user, whose events are few."""
-    v = table(spark, sf_dir, "events").groupBy("user_id")
-    x = F.collect_list("value")
-    return v.agg(F.median("value").alias("middle"), ops.upper_median(x).alias("upper"), ops.by_index(x, 0.1).alias("tenth"), ops.by_index(x, 0.9).alias("ninetieth"))
+    """A10, A11, A12, per user."""
+    places = {"low": lambda n: F.floor((n - 1) / 2), "upper": lambda n: F.floor(n / 2), "tenth": lambda n: F.floor(n * 0.1), "ninetieth": lambda n: F.floor(n * 0.9)}
+    s = ops.order_statistics(table(spark, sf_dir, "events"), "user_id", "value", places)
+    return s.select("user_id", ((F.col("low") + F.col("upper")) / 2).alias("middle"), "upper", "tenth", "ninetieth")
 
 
 ORACLE_SQL["medians"] = """
@@ -195,10 +195,62 @@ SELECT k AS l_returnflag, list_transform(c, lambda x: round(x, 6)) AS centroids
 
 @_query
 def regular_positions(spark, sf_dir):
-    """Rows only, a chain of W3, W1, D2 and W8."""
+    """W10, a chain of W3, W1, D2 and W8."""
     return ops.regularize_positions(hours(spark, sf_dir), "user_id")
 
 
+ORACLE_SQL["regular_positions"] = f"""
+WITH RECURSIVE {HOURS_SQL}, {_CHAIN.format(n=6)},
+p AS (SELECT user_id, CAST(floor(avg(pos) + 0.5) AS BIGINT) AS pos FROM c GROUP BY user_id, grp),
+g AS (SELECT * FROM (SELECT *, pos - lag(pos) OVER (PARTITION BY user_id ORDER BY pos) AS gap FROM p) WHERE gap IS NOT NULL),
+q AS (SELECT user_id AS k, CAST(gap AS DOUBLE) AS v, count(*) AS n FROM g GROUP BY user_id, gap),
+v AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY v) AS upto FROM q),
+t AS (SELECT k, max(upto) AS total, sum(v * n) / sum(n) AS mean FROM v GROUP BY k),
+r(step, k, c) AS (
+  SELECT 0, t.k, CASE WHEN total < 2 THEN [mean] ELSE [(SELECT min(v.v) FROM v WHERE v.k = t.k), (SELECT min(v.v) FROM v WHERE v.k = t.k AND v.upto > floor(t.total / 2))] END FROM t
+  UNION ALL
+  SELECT step + 1, k, CASE WHEN len(any_value(c)) = 1 THEN any_value(c) ELSE [coalesce(sum(vn) FILTER (i = 1) / sum(n) FILTER (i = 1), any_value(c)[1]), coalesce(sum(vn) FILTER (i = 2) / sum(n) FILTER (i = 2), any_value(c)[2])] END
+  FROM (
+    SELECT r.step, r.k, r.c, v.v * v.n AS vn, v.n, list_position(list_transform(r.c, lambda y: abs(y - v.v)), list_min(list_transform(r.c, lambda y: abs(y - v.v)))) AS i
+    FROM r JOIN v ON v.k = r.k WHERE r.step < 10)
+  GROUP BY step, k),
+s AS (
+  SELECT g.user_id, pos - gap AS before, gap, b.c[list_position(list_transform(a.c, lambda y: abs(y - gap)), list_min(list_transform(a.c, lambda y: abs(y - gap))))] AS step
+  FROM g JOIN r a ON a.k = g.user_id AND a.step = 9 JOIN r b ON b.k = g.user_id AND b.step = 10),
+m AS (SELECT *, CAST(floor(gap / step + 0.5) - 1 AS BIGINT) AS n FROM s WHERE abs(gap - step) / step > 0.45)
+SELECT user_id, pos, false AS inserted FROM p
+UNION ALL SELECT user_id, CAST(floor(before + step * k + 0.5) AS BIGINT), true FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM m WHERE n BETWEEN 1 AND 3)
+"""
+
+
+@_query
+def distinct_positions(spark, sf_dir):
+    """U4: the hours of day of a user's events."""
+    h = hours(spark, sf_dir).select("user_id", (F.col("pos") % 24).alias("pos"))
+    return ops.distinct_positions(h, "user_id").select("user_id", F.array_join(F.transform("positions", lambda p: p.cast("string")), " ").alias("positions"))
+
+
+ORACLE_SQL["distinct_positions"] = f"WITH {HOURS_SQL} SELECT user_id, array_to_string(list_sort(list_distinct(list(pos % 24))), ' ') AS positions FROM hours GROUP BY user_id"
+
+
+@_query
+def detector_cascade(spark, sf_dir):
+    """D3: three detectors over a user's hours: peaks, chains, the span; each fails where it finds too little."""
+    h = hours(spark, sf_dir)
+    as_result = lambda df, least: df.select("user_id", F.col("n").alias("grid"), F.when(F.col("n") < least, "too few").alias("error"))
+    count = lambda df: df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    found = [as_result(count(ops.peak_runs(h.where("amplitude > 1"), "user_id")), 2), as_result(count(ops.cluster_peaks(h, "user_id", 6)), 20), as_result(count(h), 1)]
+    return ops.first_detection(found, "user_id")
+
+
+ORACLE_SQL["detector_cascade"] = f"""
+WITH {HOURS_SQL}, {_CHAIN.format(n=6)},
+h AS (SELECT *, pos - row_number() OVER (PARTITION BY user_id ORDER BY pos) AS run FROM (SELECT *, max(amplitude) OVER (PARTITION BY user_id) AS top FROM hours WHERE amplitude > 1) WHERE amplitude > 0.4 * top),
+a AS (SELECT user_id, count(DISTINCT run) AS n FROM h GROUP BY user_id), b AS (SELECT user_id, count(DISTINCT grp) AS n FROM c GROUP BY user_id), d AS (SELECT user_id, count(*) AS n FROM hours GROUP BY user_id)
+SELECT d.user_id, CASE WHEN a.n >= 2 THEN 0 WHEN b.n >= 20 THEN 1 ELSE 2 END AS detector, CASE WHEN a.n >= 2 THEN a.n WHEN b.n >= 20 THEN b.n ELSE d.n END AS grid FROM d LEFT JOIN a USING (user_id) LEFT JOIN b USING (user_id)
+"""
+
+
 @_query
 def vote_accumulator(spark, sf_dir):
     """A31."""

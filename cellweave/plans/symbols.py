@@ -10,7 +10,6 @@ from .tables import table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-_ALPHABET = [chr(c) for c in range(ord("a"), ord("z") + 1)]
 
 
 def _query(fn):
@@ -19,23 +18,19 @@ def _query(fn):
 
 
 def _letters(spark, sf_dir):
-    """Per language the number of each letter; one pass, counts inside the scan's stage, 26 sums a language shuffled."""
-    count = lambda c: F.sum(F.length("low") - F.length(F.replace("low", F.lit(c), F.lit(""))))
-    wide = table(spark, sf_dir, "documents").select("lang", F.lower("text").alias("low")).groupBy("lang").agg(*[count(c).alias(c) for c in _ALPHABET])
-    long = wide.select("lang", F.explode(F.array(*[F.struct(F.lit(c).alias("symbol_id"), F.col(c).alias("n")) for c in _ALPHABET])).alias("x")).select("lang", "x.*")
-    return long.where("n > 0")
+    """Per language the number of each letter."""
+    return mapping.letter_counts(table(spark, sf_dir, "documents"), "lang", "text")
 
 
 _LETTERS = """
 letters AS (
   SELECT lang, c AS symbol_id, CAST(sum(length(lower(text)) - length(replace(lower(text), c, ''))) AS BIGINT) AS n
   FROM documents, (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz', '')) AS c) GROUP BY lang, c HAVING n > 0),
-known AS (SELECT unnest(['A','E','O','S','R','I','N','D','M','U','T','C','L','P','V','G','H','Q','B','F','Z','J','X','K','W','Y']) AS letter,
-  unnest([14.63, 12.57, 10.73, 7.81, 6.53, 6.18, 5.05, 4.99, 4.74, 4.63, 4.34, 3.88, 2.78, 2.52, 1.67, 1.30, 1.28, 1.20, 1.04, 1.02, 0.47, 0.40, 0.21, 0.02, 0.01, 0.01]) AS pct),
+known AS (SELECT unnest(%s) AS letter, unnest(%s) AS pct),
 ranked AS (SELECT *, CAST(n AS DOUBLE) * 100 / sum(n) OVER (PARTITION BY lang) AS share, row_number() OVER (PARTITION BY lang ORDER BY n DESC, symbol_id) AS rank FROM letters),
 given AS (SELECT letter, CAST(pct AS DOUBLE) AS pct, row_number() OVER (ORDER BY pct DESC, letter) AS rank FROM known),
 suggested AS (SELECT lang, symbol_id, letter, rank, 1 - least(abs(share - pct) / greatest(share, pct), 1.0) AS confidence FROM ranked JOIN given USING (rank))
-"""
+""" % (list(mapping.LETTER_FREQUENCY), list(mapping.LETTER_FREQUENCY.values()))
 
 
 def _suggested(spark, sf_dir):
@@ -81,14 +76,17 @@ FROM g LEFT JOIN d USING (lang) LEFT JOIN b USING (lang) LEFT JOIN u USING (lang
 
 @_query
 def applied_mapping(spark, sf_dir):
-    """A user's events are a row of symbols; each type's first letter is mapped, but clicks have none."""
-    events = table(spark, sf_dir, "events").select(F.lit(1).alias("k"), F.col("user_id").alias("row"), F.struct("ts", "event_id").alias("col"), F.col("event_type").alias("symbol_id"), (F.col("value") > 90).alias("is_clue"), F.lit("?").alias("user_value"))
+    """The events of a user's day are a row of symbols; each type's first letter is mapped, but clicks have none.
+
+    A mapping has at most an entry for each event type, so it is far below any broadcast threshold.
+    """
+    events = table(spark, sf_dir, "events").select(F.lit(1).alias("k"), F.concat_ws("#", "user_id", F.to_date("ts")).alias("row"), F.struct("ts", "event_id").alias("col"), F.col("event_type").alias("symbol_id"), (F.col("value") > 90).alias("is_clue"), F.lit("?").alias("user_value"))
     m = table(spark, sf_dir, "events").select(F.lit(1).alias("k"), F.col("event_type").alias("symbol_id"), F.upper(F.substring("event_type", 1, 1)).alias("letter")).distinct().where("symbol_id <> 'click'")
     done = mapping.apply_mapping(events, m, "k").withColumn("letter", F.col("user_value"))
     return mapping.row_text(done, "k").select("row", "text")
 
 
-ORACLE_SQL["applied_mapping"] = "SELECT user_id AS row, string_agg(CASE WHEN event_type = 'click' THEN '_' ELSE upper(event_type[1]) END, '' ORDER BY ts, event_id) AS text FROM events WHERE NOT value > 90 GROUP BY user_id"
+ORACLE_SQL["applied_mapping"] = "SELECT user_id || '#' || CAST(ts AS DATE) AS row, string_agg(CASE WHEN event_type = 'click' THEN '_' ELSE upper(event_type[1]) END, '' ORDER BY ts, event_id) AS text FROM events WHERE NOT value > 90 GROUP BY ALL"
 
 
 def _symbols(spark, sf_dir):
@@ -126,8 +124,44 @@ SELECT ord, CAST(cluster AS INT) AS cluster FROM (SELECT *, row_number() OVER (P
 
 @_query
 def leader_cluster(spark, sf_dir):
-    """Rows only, the leader pass depends on order; tested against a plain loop."""
-    return clusters.cluster_symbols(_symbols(spark, sf_dir)).select("puzzle", "cluster", "members", "representative")
+    """64 vectors are a puzzle."""
+    puzzles = _symbols(spark, sf_dir).withColumn("puzzle", F.floor(F.col("ord") / 64).cast("long"))
+    return clusters.cluster_symbols(puzzles).select("puzzle", "cluster", "members", "representative")
+
+
+_D = "0.2 * coalesce(abs({a}.area - {b}.area) / nullif(greatest({a}.area, {b}.area), 0), 0) + 0.3 * abs({a}.ar - {b}.ar) + 0.5 * list_sum(list_transform(list_zip({a}.m, {b}.m), lambda p: abs(p[1] - p[2]))) / 7"
+ORACLE_SQL["leader_cluster"] = f"""
+WITH {_SYMBOLS}, x AS (SELECT * REPLACE (ord // 64 AS puzzle) FROM s),
+l AS (SELECT puzzle, list({{'ord': ord, 'area': area, 'ar': ar, 'm': m}} ORDER BY ord) AS r FROM x GROUP BY puzzle),
+f AS (SELECT puzzle, list_reduce(list_transform(r, lambda x: [x]), lambda k, x: CASE WHEN len(list_filter(k, lambda t: 1 / (1 + {_D.format(a='t', b='x[1]')}) >= 0.85)) > 0 THEN k ELSE k || x END) AS seeds FROM l),
+seed AS (SELECT puzzle, cluster - 1 AS cluster, t.ord AS ord, t.area AS area, t.ar AS ar, t.m AS m FROM (SELECT puzzle, unnest(seeds) AS t, generate_subscripts(seeds, 1) AS cluster FROM f)),
+led AS (SELECT x.puzzle, x.ord, min(t.cluster) AS cluster FROM x JOIN seed t ON t.puzzle = x.puzzle AND t.ord <= x.ord AND 1 / (1 + {_D.format(a='t', b='x')}) >= 0.85 GROUP BY x.puzzle, x.ord),
+old AS (
+  SELECT led.puzzle, cluster, avg(area) AS area, avg(ar) AS ar, [avg(m[1]), avg(m[2]), avg(m[3]), avg(m[4]), avg(m[5]), avg(m[6]), avg(m[7])] AS m
+  FROM led JOIN x ON x.puzzle = led.puzzle AND x.ord = led.ord GROUP BY led.puzzle, cluster),
+d AS (SELECT x.puzzle, x.ord, old.cluster, {_D.format(a='x', b='old')} AS d FROM x JOIN old ON old.puzzle = x.puzzle),
+placed AS (SELECT puzzle, ord, arg_min(cluster, {{'d': d, 'c': cluster}}) AS cluster, min(d) AS d FROM d GROUP BY puzzle, ord),
+g AS (SELECT puzzle, cluster, count(*) AS members, arg_min(ord, {{'d': d, 'o': ord}}) AS representative FROM placed GROUP BY puzzle, cluster)
+SELECT puzzle, CAST(row_number() OVER (PARTITION BY puzzle ORDER BY cluster) - 1 AS INT) AS cluster, members, representative FROM g
+"""
+
+
+@_query
+def merged_clusters(spark, sf_dir):
+    """Labels are clusters of 64-vector puzzles, odd ones merge into the one before; the first letter that is set stays."""
+    s = _symbols(spark, sf_dir).select(F.floor(F.col("ord") / 64).cast("long").alias("puzzle"), F.col("puzzle").cast("int").alias("cluster"))
+    c = s.groupBy("puzzle", "cluster").agg(F.count(F.lit(1)).alias("members")).withColumn("cluster_letter", F.when(F.col("cluster") % 4 > 0, F.char(65 + F.col("cluster"))))
+    into = c.where("cluster % 2 = 1").select("puzzle", "cluster", (F.col("cluster") - 1).alias("into"))
+    return clusters.merge_clusters(c, into.unionByName(into.select("puzzle", F.col("into").alias("cluster"), "into")))
+
+
+ORACLE_SQL["merged_clusters"] = """
+WITH c AS (SELECT vec_id // 64 AS puzzle, CAST(label AS INT) AS cluster, count(*) AS members FROM embeddings WHERE embedding IS NOT NULL GROUP BY ALL),
+odd AS (SELECT DISTINCT puzzle, cluster - 1 AS cluster FROM c WHERE cluster % 2 = 1)
+SELECT c.puzzle, CAST(c.cluster - c.cluster % 2 AS INT) AS cluster, CAST(sum(members) AS BIGINT) AS members,
+  arg_min(CASE WHEN c.cluster % 4 > 0 THEN chr(65 + c.cluster) END, c.cluster) FILTER (c.cluster % 4 > 0) AS letter, bool_or(odd.cluster IS NOT NULL) AS merged
+FROM c LEFT JOIN odd ON odd.puzzle = c.puzzle AND odd.cluster = c.cluster - c.cluster % 2 GROUP BY c.puzzle, c.cluster - c.cluster % 2
+"""
 
 
 @_query

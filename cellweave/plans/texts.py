@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import digits, text
+from ..operators.lines import lines_of_rows
 from .tables import table
 
 QUERIES: dict = {}
@@ -48,18 +49,20 @@ FROM conversations
 
 @_query
 def text_rows(spark, sf_dir):
-    """Lines of a document are spread over four equal rows of a 1000-pixel image; text of each row by its lines' middles."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l")).select("doc_id", F.size("l").alias("n"), F.posexplode("l").alias("i", "line"))
+    """Lines of a document are spread over four equal rows of a 1000-pixel image; text of each row by its lines' middles, none where no line is."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l"))
+    lines = docs.select("doc_id", F.size("l").alias("n"), F.posexplode("l").alias("i", "line")).select("doc_id", ((F.col("i") + 0.5) * (1000.0 / F.col("n"))).alias("middle"), "line")
     rows = spark.range(4).select(F.col("id").cast("int").alias("row"), (F.col("id") * 250.0).alias("top"), (F.col("id") * 250.0 + 250).alias("bottom"))
-    middle = (F.col("i") + 0.5) * (1000.0 / F.col("n"))
-    placed = lines.join(F.broadcast(rows), (middle >= F.col("top")) & (middle < F.col("bottom")))  # four rows
-    return placed.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
+    found = lines_of_rows(docs.select("doc_id"), rows, lines, "doc_id")
+    return found.groupBy("doc_id", "row").agg(F.count("line").alias("lines"), F.coalesce(F.sum(F.length("line")), F.lit(0)).alias("chars"))
 
 
 ORACLE_SQL["text_rows"] = """
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-u AS (SELECT doc_id, len(l) AS n, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM l)
-SELECT doc_id, r AS row, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM u JOIN (SELECT CAST(unnest(range(4)) AS INT) AS r) ON (i + 0.5) * (1000.0 / n) >= r * 250.0 AND (i + 0.5) * (1000.0 / n) < r * 250.0 + 250 GROUP BY doc_id, r
+u AS (SELECT doc_id, len(l) AS n, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM l),
+p AS (SELECT DISTINCT doc_id, r AS row FROM documents, (SELECT CAST(unnest(range(4)) AS INT) AS r))
+SELECT p.doc_id, p.row, count(line) AS lines, CAST(coalesce(sum(length(line)), 0) AS BIGINT) AS chars
+FROM p LEFT JOIN u ON u.doc_id = p.doc_id AND (i + 0.5) * (1000.0 / n) >= p.row * 250.0 AND (i + 0.5) * (1000.0 / n) < p.row * 250.0 + 250 GROUP BY p.doc_id, p.row
 """
 
 
@@ -97,29 +100,37 @@ SELECT page_id, count(*) AS words, CAST(max(i * 10 + 8) AS INT) AS bottom, round
 
 @_query
 def ctc_decode(spark, sf_dir):
-    """A user's event types as raw symbols, views are blanks; equal neighbours count once."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", F.lag("event_type").over(w).alias("before"))
+    """The event types of a user's day as raw symbols, views are blanks; equal neighbours count once."""
+    day = F.to_date("ts")
+    w = Window.partitionBy("user_id", "day").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").select("user_id", day.alias("day"), "ts", "event_id", "event_type").withColumn("before", F.lag("event_type").over(w))
     kept = e.where("event_type <> 'view' and (before is null or before <> event_type)")
-    return kept.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.substring("event_type", 1, 1).alias("c")))), lambda x: x["c"]), "").alias("decoded"))
+    symbols = F.array_sort(F.collect_list(F.struct("ts", "event_id", F.substring("event_type", 1, 1).alias("c"))))
+    return kept.groupBy("user_id", "day").agg(F.array_join(F.transform(symbols, lambda x: x["c"]), "").alias("decoded"))
 
 
-ORACLE_SQL["ctc_decode"] = "SELECT user_id, string_agg(event_type[1], '' ORDER BY ts, event_id) AS decoded FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE event_type <> 'view' AND (before IS NULL OR before <> event_type) GROUP BY user_id"
+ORACLE_SQL["ctc_decode"] = """
+SELECT user_id, day, string_agg(event_type[1], '' ORDER BY ts, event_id) AS decoded
+FROM (SELECT *, CAST(ts AS DATE) AS day, lag(event_type) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS before FROM events)
+WHERE event_type <> 'view' AND (before IS NULL OR before <> event_type) GROUP BY user_id, day
+"""
 
 
 @_query
 def clue_lookup(spark, sf_dir):
-    """Turns by their place; the last of a place wins; missing places are empty."""
+    """Turns by their place, from 0 to the conversation's last; of texts of one place the longest counts; missing places are empty."""
     c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("row"), (F.length("text") % 100 / 100).alias("confidence"), F.length("text").alias("size"))
-    last = c.groupBy("conv_id", "row").agg(F.max(F.struct("size", "confidence")).alias("m"))
-    places = c.select("conv_id").distinct().select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("row"))
-    return places.join(last, ["conv_id", "row"], "left").select("conv_id", "row", F.coalesce("m.size", F.lit(0)).alias("size"), F.coalesce(F.col("m.confidence") < 0.6, F.lit(False)).alias("warn"), text.elapsed(F.coalesce("m.size", F.lit(0))).alias("elapsed"))
+    found = c.groupBy("conv_id", "row").agg(F.max(F.struct("size", "confidence")).alias("m"))
+    places = c.groupBy("conv_id").agg(F.max("row").alias("last")).select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).alias("row"))
+    size = F.coalesce("m.size", F.lit(0))
+    return places.join(found, ["conv_id", "row"], "left").select("conv_id", "row", size.alias("size"), F.coalesce(F.col("m.confidence") < 0.6, F.lit(False)).alias("warn"), text.elapsed(size).alias("elapsed"))
 
 
 ORACLE_SQL["clue_lookup"] = """
 WITH l AS (SELECT conv_id, turn AS row, max(length(text)) AS size FROM conversations GROUP BY ALL),
-p AS (SELECT DISTINCT conv_id, CAST(r AS BIGINT) AS row FROM conversations, (SELECT unnest(range(4)) AS r))
-SELECT p.conv_id, p.row, CAST(coalesce(size, 0) AS INT) AS size, coalesce(size % 100 / 100 < 0.6, false) AS warn, printf('%02d:%02d', coalesce(size, 0) // 60, coalesce(size, 0) % 60) AS elapsed FROM p LEFT JOIN l ON l.conv_id = p.conv_id AND l.row = p.row
+p AS (SELECT conv_id, CAST(unnest(range(0, max(turn) + 1)) AS BIGINT) AS row FROM conversations GROUP BY conv_id)
+SELECT p.conv_id, p.row, CAST(coalesce(size, 0) AS INT) AS size, coalesce(size % 100 / 100 < 0.6, false) AS warn, printf('%02d:%02d', coalesce(size, 0) // 60, coalesce(size, 0) % 60) AS elapsed
+FROM p LEFT JOIN l ON l.conv_id = p.conv_id AND l.row = p.row
 """
 
 

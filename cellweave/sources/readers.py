@@ -15,13 +15,13 @@ PSEUDO_LABELS = "cell string, status string, error string, number int, confidenc
 PHOTOS = "photo string, status string, error string, rows int, cols int, cells_total int, cells_valid int, cells_rejected int, rejection_reasons map<string,int>, perspective_corrected boolean, processing_time_s double"
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON files of one object or one list each, with the file's name."""
-    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_name"))
+def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """JSON files of one object or one list each (or of an object a line), with the file's name."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path).withColumn("file", F.col("_metadata.file_name"))
 
 
-def read_truth(spark: SparkSession, path: str, puzzle_id: str | None = None) -> DataFrame:
-    df = read_json(spark, path, TRUTH)
+def read_truth(spark: SparkSession, path: str, puzzle_id: str | None = None, lines: bool = False) -> DataFrame:
+    df = read_json(spark, path, TRUTH, lines)
     return df if puzzle_id is None else df.where(F.col("puzzleId") == puzzle_id)
 
 
@@ -41,9 +41,9 @@ def recognised_cells(maps: DataFrame, puzzle_id) -> DataFrame:
     return maps.select(puzzle_id.alias("puzzle_id"), F.posexplode("cells").alias("ord", "c")).select("puzzle_id", "ord", "c.row", "c.col", F.col("c.number").alias("actual"), "c.confidence")
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Stored runs in order of time; files that do not parse are left out."""
-    return spark.read.schema(RUN).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).orderBy("timestamp")
+def read_history(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Stored runs in order of time.  Files that do not parse are left out, on purpose: one bad file does not hide a puzzle's other runs."""
+    return spark.read.schema(RUN).option("multiLine", not lines).option("mode", "DROPMALFORMED").json(path).orderBy("timestamp")
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -51,6 +51,13 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(label_line(F.col("value")).alias("x")).where("x is not null").select("x.*")
 
 
+def read_dataset(spark: SparkSession, path: str, alphabet: str = "0123456789", most: int = 2) -> DataFrame:
+    """file, label of ``name,label`` lines cut at the first comma only; labels of letters outside the alphabet, or too long, are left out."""
+    cut = F.split("value", ",", 2)
+    rows = spark.read.text(path).where(F.size(cut) == 2).select(F.trim(cut[0]).alias("file"), F.trim(cut[1]).alias("label"))
+    return rows.where((F.length("label") > 0) & (F.length("label") <= most) & (F.translate("label", alphabet, "") == ""))
+
+
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Paths below a folder; the content column is not read unless asked for."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "length", F.element_at(F.split("path", "/"), -1).alias("name"))

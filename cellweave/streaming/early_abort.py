@@ -2,7 +2,10 @@
 
 State per puzzle is three numbers.  After every ``chunk`` cells, once ``least``
 are read, a puzzle whose share of recognised cells is below ``share`` stops:
-one row is emitted and its later cells are ignored.
+one row is emitted and its later cells are ignored.  Cells that carry the
+puzzle's ``total`` are also checked after the last one, as in batch.  With
+``idle_minutes``, state of a puzzle without new cells for so long goes, so that it
+does not grow for ever; a query that should end by itself goes without.
 """
 
 from __future__ import annotations
@@ -14,21 +17,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def early_abort_stream(cells: DataFrame, chunk: int = 16, least: int = 10, share: float = 0.25) -> DataFrame:
-    """cells: puzzle, ord, recognised (boolean).  Emits (puzzle, stopped_at, recognized) for puzzles that stop."""
+def early_abort_stream(cells: DataFrame, chunk: int = 16, least: int = 10, share: float = 0.25, idle_minutes: int | None = None) -> DataFrame:
+    """cells: puzzle, ord, recognised (boolean), and total where it is known.  Emits (puzzle, stopped_at, recognized) for puzzles that stop."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         read, known, stopped = state.get if state.exists else (0, 0, False)
         out = []
         for f in frames:
-            for hit in f.sort_values("ord")["recognised"]:
+            f = f.sort_values("ord")
+            for hit, total in zip(f["recognised"], f["total"] if "total" in f else [None] * len(f)):
                 if stopped:
                     break
                 read, known = read + 1, known + bool(hit)
-                if read % chunk == 0 and read >= least and known / read < share:
+                if (read % chunk == 0 or read == total) and read >= least and known / read < share:
                     stopped = True
                     out.append((key[0], read, known))
         state.update((read, known, stopped))
+        if idle_minutes is not None:
+            state.setTimeoutDuration(idle_minutes * 60_000)
         yield pd.DataFrame(out, columns=["puzzle", "stopped_at", "recognized"])
 
-    return cells.groupBy("puzzle").applyInPandasWithState(step, "puzzle long, stopped_at long, recognized long", "read long, known long, stopped boolean", "append", GroupStateTimeout.NoTimeout)
+    return cells.groupBy("puzzle").applyInPandasWithState(step, "puzzle long, stopped_at long, recognized long", "read long, known long, stopped boolean", "append", GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout)
