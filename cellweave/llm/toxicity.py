@@ -97,25 +97,30 @@ class Network:
         for d in "fb":
             self.p |= {f"W{d}": norm(3 * SIZE, 3 * HIDDEN), f"U{d}": norm(HIDDEN, 3 * HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, dtype=np.float32)}
 
-    def words(self, inputs) -> np.ndarray:
-        """The input vector of each word."""
-        bucket, grams, counts = inputs
-        out = np.zeros((len(bucket), 3 * SIZE), dtype=np.float32)
+    def word_blocks(self, bucket: np.ndarray, grams: np.ndarray, counts: np.ndarray, at_once: int = 20_000):
+        """The input vectors of words, so many at a time."""
         ends = np.cumsum(counts)
-        for low in range(0, len(bucket), 20_000):
-            high = min(low + 20_000, len(bucket))
+        for low in range(0, len(bucket), at_once):
+            high = min(low + at_once, len(bucket))
             begin = ends[low] - counts[low]
             e = self.p["Ec"][grams[begin : ends[high - 1]]]
-            at = ends[low:high] - counts[low:high] - begin
-            out[low:high, :SIZE] = self.p["Ew"][bucket[low:high]]
-            out[low:high, SIZE : 2 * SIZE] = np.add.reduceat(e, at, axis=0) / counts[low:high, None]
-            out[low:high, 2 * SIZE :] = np.maximum.reduceat(e, at, axis=0)
-        return out
+            at, out = ends[low:high] - counts[low:high] - begin, np.empty((high - low, 3 * SIZE), dtype=np.float32)
+            out[:, :SIZE] = self.p["Ew"][bucket[low:high]]
+            out[:, SIZE : 2 * SIZE] = np.add.reduceat(e, at, axis=0) / counts[low:high, None]
+            out[:, 2 * SIZE :] = np.maximum.reduceat(e, at, axis=0)
+            yield out
+
+    def words(self, inputs) -> np.ndarray:
+        """The input vector of each word."""
+        return np.concatenate([np.zeros((0, 3 * SIZE), dtype=np.float32), *self.word_blocks(*inputs)])
 
-    def gates(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Input parts of both directions' gates, by word number; number 0 is no word."""
-        none = np.zeros((1, 3 * HIDDEN), dtype=np.float32)
-        return tuple(np.concatenate([none, x @ self.p[f"W{d}"] + self.p[f"b{d}"]]) for d in "fb")
+    def gates(self, blocks) -> tuple[np.ndarray, np.ndarray]:
+        """Input parts of both directions' gates, by word number, from blocks of input vectors; number 0 is no word."""
+        parts = {d: [np.zeros((1, 3 * HIDDEN), dtype=np.float32)] for d in "fb"}
+        for x in blocks:
+            for d in "fb":
+                parts[d].append(x @ self.p[f"W{d}"] + self.p[f"b{d}"])
+        return tuple(np.concatenate(parts[d]) for d in "fb")
 
     def forward(self, gates, idx: np.ndarray, keep: bool = False):
         """Logits of windows; with ``keep`` also what backward() needs."""
@@ -216,12 +221,13 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 8, batch: in
     net.p["Ew"][:, 0] = log_odds(some, y[filled], bucket.__getitem__, WORD_BUCKETS) / 2
     every = [windows(t) for t in tokens]
     starts = np.cumsum([0] + [len(e) for e in every])
-    idx = np.concatenate(every)
-    with_empty = np.concatenate([idx, np.zeros((1, WINDOW), dtype=idx.dtype)])
-    x = net.words((bucket, grams, counts))
-    hint = np.concatenate([[-3], x[:, 2 * SIZE] + x[:, 0]])  # the first round takes the windows with the most telling words
+    with_empty = np.concatenate([*every, np.zeros((1, WINDOW), dtype=np.int32)])
+    idx = with_empty[:-1]
+    del every, tokens, numbers, distinct, some
+    blocks = lambda: net.word_blocks(bucket, grams, counts)
+    hint = np.concatenate([[-3], *(x[:, 2 * SIZE] + x[:, 0] for x in blocks())])  # the first round takes the windows with the most telling words
     scores = np.concatenate([np.sort(hint[idx[a : a + 8192]], axis=1)[:, -3:].sum(axis=1) for a in range(0, len(idx), 8192)])
-    del x, hint
+    del hint
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items() if k not in ("Ew", "Ec")}
     square = {k: np.full(net.p[k].shape, 1e-2, dtype=np.float32) for k in ("Ew", "Ec")}
     step = 0
@@ -247,7 +253,7 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 8, batch: in
             from_gram = of_words(w)
             mine = (bucket[w], from_gram, spans)
             xin = net.words(mine)
-            logits, kept = net.forward(net.gates(xin), local, keep=True)
+            logits, kept = net.forward(net.gates([xin]), local, keep=True)
             dlogit = ((sigmoid(logits) - goal[take]) * weight[take] / len(take)).astype(np.float32)
             grads, tables = net.backward(local, kept, dlogit, len(w) + 1)
             dx = np.zeros_like(xin)
@@ -272,7 +278,7 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 8, batch: in
                     total = np.add.reduceat(grad[order_of], np.searchsorted(inverse[order_of], np.arange(len(own))), axis=0)
                     square[key][own] += total * total
                     net.p[key][own] -= 0.05 * total / np.sqrt(square[key][own])
-        gates = net.gates(net.words((bucket, grams, counts)))
+        gates = net.gates(blocks())
         scores = np.concatenate([net.forward(gates, idx[a : a + 4096]) for a in range(0, len(idx), 4096)])
     text_scores = np.maximum.reduceat(scores, starts[:-1])
     cuts = np.unique(text_scores)
@@ -309,7 +315,7 @@ class Scorer:
         number, known = self.numbers.__getitem__, len(self.numbers)
         every = [windows(np.array(list(map(number, TOKEN.findall(t.lower()))) if t else [], dtype=np.int64)) for t in texts]
         if len(self.numbers) > known:
-            more = self.net.gates(self.net.words(word_inputs(list(self.numbers)[known:])))
+            more = self.net.gates(self.net.word_blocks(*word_inputs(list(self.numbers)[known:])))
             self.gates = tuple(np.concatenate([old, new[1:]]) for old, new in zip(self.gates, more))
         starts = np.cumsum([0] + [len(e) for e in every])
         idx = np.concatenate(every)
