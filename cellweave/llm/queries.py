@@ -152,3 +152,18 @@ n AS (SELECT u, count(*) AS n FROM pairs GROUP BY u)
 SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e LEFT JOIN c ON c.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id
 """
+
+# A 50-byte string starts at p; runs of such starts at most 50 apart remove one span.
+ORACLE_SQL["op7_repeats"] = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, b[p:p + 49] AS s FROM (SELECT doc_id, b, unnest(range(1, n - 48)) AS p FROM d WHERE n >= 50)),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT w.doc_id, w.p FROM w JOIN m ON m.s = w.s WHERE w.doc_id > m.first),
+i AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS fresh FROM h)),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 49 AS z FROM i GROUP BY doc_id, run),
+k AS (SELECT doc_id, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, count(*) AS n_spans, sum(z - a + 1) AS n_removed FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN b ELSE
+    list_reduce(list_transform(range(0, n_spans + 1), lambda j: b[(CASE WHEN j = 0 THEN 1 ELSE z[j] + 1 END):(CASE WHEN j = n_spans THEN n ELSE a[j + 1] - 1 END)]), lambda x, y: x || y) END) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""

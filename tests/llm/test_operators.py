@@ -528,3 +528,61 @@ def test_shared_folder(spark, tmp_path):
     assert spark.read.parquet(kept).count() == 3
     with pytest.raises(Exception):
         spark.read.parquet(gone).count()
+
+
+def test_scorer_is_the_plain_network():
+    """Scores against a loop over windows, tokens and gates, one at a time, with the parameters of a trained network."""
+    texts = [t for _, t, _, _, _ in corpus(120)]
+    params = toxicity.train(texts, [y for *_, y in corpus(120)], rounds=1, steps=10)
+    p, size, hidden = {k: v.astype(np.float64) for k, v in params.items()}, toxicity.SIZE, toxicity.HIDDEN
+    squash = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        bucket, grams, _ = toxicity.word_inputs([word])
+        rows = p["Ec"][grams]
+        return np.concatenate([p["Ew"][bucket[0]], rows.mean(axis=0), rows.max(axis=0)])
+
+    def window(words):
+        states = []
+        for d, order in (("f", range(len(words))), ("b", range(len(words) - 1, -1, -1))):
+            h, out = np.zeros(hidden), [None] * len(words)
+            for t in order:
+                x, u = vector(words[t]) @ p[f"W{d}"] + p[f"b{d}"], h @ p[f"U{d}"]
+                z, r = squash(x[:hidden] + u[:hidden]), squash(x[hidden : 2 * hidden] + u[hidden : 2 * hidden])
+                h = z * h + (1 - z) * np.tanh(x[2 * hidden :] + r * u[2 * hidden :])
+                out[t] = h
+            states.append(out)
+        if not words:
+            return float(p["bo"][0])
+        s = np.array([np.concatenate([a, b]) for a, b in zip(*states)])
+        e = np.tanh(s @ p["Wa"]) @ p["va"]
+        w = np.exp(e - e.max())
+        return float((w / w.sum()) @ s @ p["wo"] + p["bo"][0])
+
+    some = [None, "", texts[0], " ".join(texts[:6]), "!!", " ".join(texts[:2])]
+    got = toxicity.Scorer(params).score(some)
+    for text, score in zip(some, got):
+        words = toxicity.TOKEN.findall((text or "").lower())
+        starts = range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP) if len(words) > toxicity.WINDOW else [0]
+        assert abs(score - squash(max(window(words[a : a + toxicity.WINDOW]) for a in starts))) < 1e-3
+
+
+def test_prediction_is_the_nearest_centroid(spark):
+    """Predictions against cosines of dictionaries of weights, one centroid at a time."""
+    rows = [(i, t, lang) for i, t, lang, _, _ in corpus(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, letters = language.train(docs), language.letter_table()
+    got = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in language.predict(docs, model).collect()}
+    for i, text, _ in rows:
+        counts = language.gram_counts(text, letters)
+        if counts is None:
+            assert got[i][0] == "und"
+            continue
+        weights = {g: np.log1p(float(n)) * float(model["idf"][g]) for g, n in enumerate(counts) if n}
+        length = sum(w * w for w in weights.values()) ** 0.5
+        cosines = [sum(w * float(c[g]) for g, w in weights.items()) / length for c in model["centres"]]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        close = [model["names"][model["of"][k]] for k, c in enumerate(cosines) if c > cosines[best] - 1e-5]
+        assert got[i][0] in close
+        if abs(cosines[best] - model["limits"][best]) > 1e-4 and len(close) == 1:
+            assert got[i][1] == (cosines[best] < model["limits"][best])
