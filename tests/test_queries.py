@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cellweave.functions import digits, geometry, kernels, text
+from cellweave.functions import chains, digits, geometry, kernels, text
 from cellweave.operators import cells, clusters, compare, curation, mapping, signal, templates
 from cellweave.plans import registry
 from cellweave.sources import readers, writers
@@ -306,3 +306,67 @@ class TestKernels:
 
     def test_hamming(self, spark):
         assert frame(spark, [(5, 6)], "a long, b long").select(geometry.hamming(F.col("a"), F.col("b"))).first()[0] == 2
+
+    def test_chains(self, spark, tmp_path):
+        r = np.random.default_rng(4)
+        page = np.full((60, 80), 200.0)
+        page[::15] = page[:, ::20] = 20
+        assert set(np.unique(chains.preprocess(page + r.normal(0, 3, page.shape)))) <= {0.0, 255.0}
+        faint = 100 + r.uniform(0, 10, (64, 64))
+        assert np.ptp(chains.equalise(faint, 3.0)) > 3 * np.ptp(faint) and chains.equalise(np.zeros((9, 5))).shape == (9, 5)
+        noisy = page + r.normal(0, 8, page.shape)
+        assert np.abs(chains.denoise(noisy) - page).mean() < np.abs(noisy - page).mean()
+        assert np.allclose(chains.rotate(chains.rotate(page, 90)[10:50, 20:60], -90)[5:-5, 5:-5], chains.rotate(chains.rotate(page, 90)[10:50, 20:60], 270)[5:-5, 5:-5])
+        tilted = np.zeros((80, 80))
+        tilted[38:42, 10:70] = 255
+        for angle in (7, -7):
+            assert abs(kernels.skew_angle(chains.deskew(chains.rotate(tilted, angle)))) < 1
+        for prepared in chains.STRATEGIES.values():
+            out = prepared(page[:30, :20])
+            assert out.shape == (128 + 2 * 38, 85 + 2 * 25) and out[0].max() == 0
+        assert chains.dark_background(np.full((3, 3), 255.0)).max() == 0
+        marks = np.zeros((20, 20))
+        marks[2:4, 2:4] = marks[8:17, 10:15] = 255
+        assert chains.symbol_box(marks) == (8, 10, 9, 5) and chains.symbol_box(marks * 0) is None
+        assert chains.crop_symbol(marks, (8, 10, 9, 5)).shape == (17, 15) and chains.normalise_symbol(marks[8:17, 10:15]).sum() == pytest.approx(255 * 64 * 36)
+        assert [c.shape[1] for c in chains.columns(page, [0, 20, 50])] == [20, 30] and chains.symbol_of(np.full((20, 20), 255.0)) is None
+        image = spark.createDataFrame([(("a", 20, 40, 1, 0, bytes(np.hstack([255 - marks, np.full((20, 20), 255.0)]).astype(np.uint8).tobytes())),)], "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+        assert [(x["row"], x["col"]) for x in chains.cell_symbols(image, 1, 2, first_col=0).collect()] == [(0, 0)]
+
+    def test_peaks_and_periods(self):
+        line = np.zeros(200)
+        line[[10, 30, 50, 110, 130, 150]] = 10
+        assert chains.fill_by_median_gap(chains.local_peaks(line, 5)) == [10, 30, 50, 70, 90, 110, 130, 150]
+        assert chains.borders_by_period(line, 20) == [10, 30, 50, 70, 90, 110, 130, 150] and chains.borders_by_period(line * 0, 20) == []
+        assert chains.positions_by_peaks(line, 10) == [0, 10, 30, 50, 110, 130, 150, 200] and chains.positions_by_peaks(line[:40], 30) == []
+        wave = np.sin(np.arange(400) * 2 * np.pi / 23)
+        assert chains.dominant_period(wave, 10, 40)[0] == pytest.approx(23, abs=0.5)
+        assert chains.dominant_period(wave, 10, 40, least_snr=1e9)[0] == pytest.approx(23, abs=0.7)
+        with pytest.raises(ValueError):
+            chains.dominant_period(wave, 500, 501, least_snr=1e9)
+
+    def test_bank_is_the_plain_loop(self, spark):
+        """The bank of templates against a loop over cells."""
+        r = np.random.default_rng(6)
+        looks = {n: r.uniform(0, 1, 12) for n in (2, 12, 26, 7)}
+        rows = [(1, i, n, float(r.uniform(0, 1)), np.clip(looks[26 if n in (2, 12) and i % 2 else n] + r.normal(0, 0.05, 12), 0, 1).tolist()) for i, n in enumerate(r.choice([2, 12, 26, 7], 60).tolist())]
+        got = {x["ord"]: (x["number"], round(x["confidence"], 9), x["template"]) for x in templates.build_bank(frame(spark, rows, "puzzle long, ord long, number int, confidence double, pixels array<double>")).collect()}
+        bank, alike = {}, lambda a, b: 1 - np.abs(np.subtract(a, b)).mean()
+        for _, i, n, conf, pixels in rows:
+            if n in (2, 12) and conf < 0.4 and len(bank.get(26, [])) >= 2 and max(alike(pixels, t) for t in bank[26]) > 0.8:
+                n, conf = 26, max(alike(pixels, t) for t in bank[26])
+            own = bank.setdefault(n, [])
+            keep = conf >= 0.5 and len(own) < 3 and not any(alike(pixels, t) >= 0.85 for t in own)
+            if keep:
+                own.append(pixels)
+            assert got[i] == (n, round(conf, 9), keep)
+
+    def test_helpers_of_cells(self, spark):
+        from pyspark.sql import Observation
+
+        c = frame(spark, [(1, 0, i, i if i % 2 else None, 0.5) for i in range(20)], "puzzle long, row int, col int, number int, confidence double")
+        seen = Observation("progress")
+        assert cells.with_progress(c, seen).count() == 20 and seen.get == {"processed": 20, "recognized": 10}
+        m = frame(spark, [(1, i, 0 if i < 4 else 1, float(10 + 90 * (i == 3)), 1.0, [0.0] * 7) for i in range(6)], "puzzle long, ord long, cluster int, area double, aspect_ratio double, moments array<double>")
+        parts = {x["ord"]: x["cluster"] for x in clusters.split_cluster(m, 1, 0).collect()}
+        assert parts == {0: 2, 1: 2, 2: 2, 3: 3, 4: 1, 5: 1}
