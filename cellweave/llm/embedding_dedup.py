@@ -1,8 +1,8 @@
 """Embedding near-dedup: int8 tile products with rigorous error bounds.
 
 Equal vectors form a class first, so a group of exact copies, however large,
-costs one vector.  Class vectors are normalised and dealt to blocks by a hash;
-a task holds two blocks and multiplies them as int8 matrices (each vector has a
+costs one vector.  Class vectors are dealt to blocks by a hash, a row per block;
+a task holds two blocks, normalises them and multiplies them as int8 matrices (each vector has a
 scale of its own).  If e is the length of a vector's quantisation error, then
 the product of two quantised vectors is off by at most e1 + (1 + e1) e2, so a
 pair is surely linked, surely not, or recomputed in double precision.
@@ -71,28 +71,44 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: float, same: bool, rows:
         yield i[keep] + low, j[keep]
 
 
-def class_links(classes: DataFrame, threshold: float = 0.95, block_rows: int = 8192) -> DataFrame:
+def packed_blocks(classes: DataFrame, block_rows: int | None = None, block_bytes: int = 4 << 20) -> tuple[DataFrame, int]:
+    """(a table of one row per block of class vectors: dim, block, reps, sizes, vectors; the number of blocks).
+
+    A block has at most about ``block_bytes`` of doubles, whatever the vectors'
+    width, and there are enough blocks for four tiles a core, of 256 vectors or more.
+    """
+    n, width = classes.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    rows = block_rows or min(8192, max(64, block_bytes // (8 * max(width or 1, 1))))
+    cores = classes.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // rows), 0 if block_rows else min(int((8 * cores) ** 0.5) + 1, -(-n // 256)))
+
+    def pack(x: pd.DataFrame) -> pd.DataFrame:
+        vectors = np.stack(x["vector"].to_numpy()).astype(np.float64)
+        return pd.DataFrame({"dim": x["dim"].iloc[:1], "block": x["block"].iloc[:1], "reps": [x["rep"].to_numpy(dtype=np.int64).tobytes()], "sizes": [x["n"].to_numpy(dtype=np.int64).tobytes()], "vectors": [vectors.tobytes()]})
+
+    dealt = classes.select("rep", "n", "vector", F.size("vector").alias("dim"), F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block"))
+    return saved(dealt.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, reps binary, sizes binary, vectors binary"), "vector-blocks"), blocks
+
+
+def class_links(classes: DataFrame, threshold: float = 0.95, block_rows: int | None = None) -> DataFrame:
     """Rows (u, v, links): v set for an edge of a star, links set for a part of u's number of links.  ``classes``: rep, n, vector."""
-    blocks = max(1, -(-classes.count() // block_rows))
-    dealt = (
-        classes.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .select("rep", "n", "vector", "block", F.size("vector").alias("dim"), F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
-    )
+    packed, blocks = packed_blocks(classes, block_rows)
+    dealt = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"a": F.least("block", "other"), "b": F.greatest("block", "other")})
 
     def tile(x: pd.DataFrame) -> pd.DataFrame:
-        vectors = unit(np.stack(x["vector"].to_numpy()).astype(np.float64))
-        rep, n, block = x["rep"].to_numpy(), x["n"].to_numpy(), x["block"].to_numpy()
         first, second = int(x["a"].iloc[0]), int(x["b"].iloc[0])
+        rep, n = (np.concatenate([np.frombuffer(v, dtype=np.int64) for v in x[c]]) for c in ("reps", "sizes"))
+        block = np.repeat(x["block"].to_numpy(), [len(v) // 8 for v in x["reps"]])
+        vectors = unit(np.concatenate([np.frombuffer(v, dtype=np.float64) for v in x["vectors"]]).reshape(len(rep), -1))
         ia, ib = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        links = np.zeros(len(x), dtype=np.int64)
+        links = np.zeros(len(rep), dtype=np.int64)
         us, vs, held = [], [], 0
         if len(ia) and len(ib):
             for i, j in tile_links(vectors[ia], vectors[ib], threshold, first == second):
                 i, j = ia[i], ib[j]
-                links += np.bincount(i, weights=n[j], minlength=len(x)).astype(np.int64)
+                links += np.bincount(i, weights=n[j], minlength=len(rep)).astype(np.int64)
                 if first != second:
-                    links += np.bincount(j, weights=n[i], minlength=len(x)).astype(np.int64)
+                    links += np.bincount(j, weights=n[i], minlength=len(rep)).astype(np.int64)
                 us.append(rep[i])
                 vs.append(rep[j])
                 held += len(i)
@@ -101,7 +117,11 @@ def class_links(classes: DataFrame, threshold: float = 0.95, block_rows: int = 8
                     us, vs, held = [u], [v], len(u)
         u, v = local_stars(np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, dtype=np.int64),) * 2
         some = links > 0
-        return pd.DataFrame({"u": np.concatenate([u, rep[some]]), "v": pd.array([*v.tolist(), *[None] * int(some.sum())], dtype="Int64"), "links": pd.array([*[None] * len(u), *links[some].tolist()], dtype="Int64")})
+        return pd.DataFrame({
+            "u": np.concatenate([u, rep[some]]),
+            "v": pd.array([*v.tolist(), *[None] * int(some.sum())], dtype="Int64"),
+            "links": pd.array([*[None] * len(u), *links[some].tolist()], dtype="Int64"),
+        })
 
     return dealt.groupBy("dim", "a", "b").applyInPandas(tile, "u long, v long, links long")
 
