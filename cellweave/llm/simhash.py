@@ -115,8 +115,11 @@ def bk_search(query: np.ndarray, start: np.ndarray, fp: np.ndarray, keys: np.nda
             q = np.broadcast_to(q[:, None], found.shape)[found]
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = 2, blocks: int = 4, tree_size: int = 2048) -> DataFrame:
-    """Edges (u, v) of class representatives.  ``distinct``: (fp long, rep long), each fingerprint once."""
+def fingerprint_links(distinct: DataFrame, radius: int = 2, blocks: int = 4, tree_size: int = 2048, at_once: int = 500_000) -> DataFrame:
+    """Edges (u, v) of class representatives.  ``distinct``: (fp long, rep long), each fingerprint once.
+
+    A task takes whole groups, about ``at_once`` rows of them at a time.
+    """
     if not 0 <= radius < blocks or 64 % blocks:
         raise ValueError("radius must be below blocks, and blocks divide 64")
     width = 64 // blocks
@@ -134,15 +137,31 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, blocks: int = 4, tre
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
         .select("fp", "rep", "choice", "bits", "piece", F.least("piece", "other").alias("tree"), F.greatest("piece", "other").alias("walkers"))
         .repartition("choice", "bits", "tree", "walkers")
+        .sortWithinPartitions("choice", "bits", "tree", "walkers")
     )
+    group_of = ["choice", "bits", "tree", "walkers"]
+
+    def whole_groups(frames):
+        held, rows = [], 0
+        for f in frames:
+            held.append(f)
+            rows += len(f)
+            if rows >= at_once:
+                x = pd.concat(held, ignore_index=True)
+                ends = (x[group_of] == x[group_of].iloc[-1]).all(axis=1).to_numpy()
+                if not ends.all():
+                    yield x[~ends]
+                held, rows = [x[ends]], int(ends.sum())
+        if rows:
+            yield pd.concat(held, ignore_index=True)
 
     def run(frames):
-        rows = list(frames)  # a partition of bounded shards
-        if not rows:
-            return
-        x = pd.concat(rows, ignore_index=True)
+        for x in whole_groups(frames):
+            yield from links_of(x.reset_index(drop=True))
+
+    def links_of(x: pd.DataFrame):
         fp, rep = x["fp"].to_numpy().view(np.uint64), x["rep"].to_numpy()
-        group = x.groupby(["choice", "bits", "tree", "walkers"], sort=False).ngroup().to_numpy()
+        group = x.groupby(group_of, sort=False).ngroup().to_numpy()
         in_tree, walks = (x["piece"] == x["tree"]).to_numpy(), (x["piece"] == x["walkers"]).to_numpy()
         t, w = np.flatnonzero(in_tree), np.flatnonzero(walks)
         root, keys, children = bk_forest(fp[t], group[t])

@@ -114,7 +114,7 @@ class TestSimhash:
                 prints.add(int(b) ^ int(sum({1 << int(f) for f in flips})))
         prints = sorted(prints)
         want = components([(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2], range(len(prints)))
-        links = simhash.fingerprint_links(spark.createDataFrame([(p, i) for i, p in enumerate(prints)], "fp long, rep long"), tree_size=tree_size).collect()
+        links = simhash.fingerprint_links(spark.createDataFrame([(p, i) for i, p in enumerate(prints)], "fp long, rep long"), tree_size=tree_size, at_once=40 if tree_size == 7 else 500_000).collect()
         assert components([(x["u"], x["v"]) for x in links], range(len(prints))) == want
 
     def test_groups(self, docs, empty):
