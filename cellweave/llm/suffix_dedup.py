@@ -292,6 +292,7 @@ def segments(blocks: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
         take = taken[of]
         starts_of, counts_of, keys_of, least = [starts[take]], [counts[take]], [keys[take]], [who[take]]
         hot = order[np.repeat(bits[0] & bits[1], size)]
+        hot_keys = keys[order[first[bits[0] & bits[1]]]]
         for w, n in _window_parts(data, starts[hot], counts[hot], who[hot]):
             _, of = _distinct(data.tobytes(), w, np.ones(len(w), dtype=np.int64), n)
             starts_of.append(w[of]), counts_of.append(np.ones(len(of), dtype=np.int64)), keys_of.append(_window_keys(data, w[of])), least.append(n[of])
@@ -303,7 +304,9 @@ def segments(blocks: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
         for shard in range(shards):
             c = slice(edges[shard], edges[shard + 1])
             if c.start < c.stop:
-                out.append((rows["block"].iloc[0], shard, _arrays(lengths[c].astype(np.int32), least[c], ragged(data, begin[c], lengths[c]), part[c], begin[c].astype(np.int32))))
+                # the block's hot anchors travel with its first message and come back with the verdicts
+                message = (lengths[c].astype(np.int32), least[c], ragged(data, begin[c], lengths[c]), part[c], begin[c].astype(np.int32), hot_keys if not out else hot_keys[:0])
+                out.append((rows["block"].iloc[0], shard, _arrays(*message)))
         return pd.DataFrame(out, columns=["block", "shard", "data"])
 
     return _with_texts(blocks, shared).groupBy("block").applyInPandas(send, "block long, shard int, data binary")
@@ -377,15 +380,15 @@ def refine(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, at_once: in
 
 
 def judge(rows: pd.DataFrame) -> pd.DataFrame:
-    """For each block of a shard, the runs of its windows that an earlier document has too: (block, data)."""
+    """For each block of a shard, the runs of its windows that an earlier document has too: (block, data).  Hot anchors go back as they came."""
     parts = [_from_arrays(d) for d in rows["data"]]
     number: dict[bytes, int] = {}
     own = []
-    for lengths, _, data, _, _ in parts:
+    for lengths, _, data, _, _, _ in parts:
         text, cuts = data.tobytes(), np.cumsum(lengths).tolist()
         own.append(np.fromiter((number.setdefault(text[a:b], len(number)) for a, b in zip([0, *cuts], cuts)), dtype=np.int64, count=len(cuts)))
     least, part = np.full(len(number), LAST), np.zeros(len(number), dtype=np.uint8)
-    for o, (_, docs, _, p, _) in zip(own, parts):
+    for o, (_, docs, _, p, _, _) in zip(own, parts):
         np.minimum.at(least, o, docs)
         part[o] = p
     texts = list(number)
@@ -405,7 +408,9 @@ def judge(rows: pd.DataFrame) -> pd.DataFrame:
         at = np.repeat(begins[mine] - (np.cumsum(counts[mine]) - counts[mine]), counts[mine]) + np.arange(len(window))
         earliest[at] = first_doc[bucket[window]]
     out = []
-    for block, o, (_, docs, _, _, start) in zip(rows["block"], own, parts):
+    for block, o, (_, docs, _, _, start, hot_keys) in zip(rows["block"], own, parts):
+        if len(hot_keys):
+            out.append((block, _arrays(hot_keys)))
         n = counts[o]
         hit = np.flatnonzero(ragged(earliest, begins[o], n) < np.repeat(docs, n))
         if not len(hit):
@@ -417,32 +422,27 @@ def judge(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "data"])
 
 
-def _own_repeats(doc_ids, ends, data, repeated: np.ndarray) -> None:
-    """Adds to ``repeated``, which has the windows that other blocks' documents have, those of the block's own.
+def _own_repeats(doc_ids, ends, data, repeated: np.ndarray, hot_keys: np.ndarray) -> None:
+    """Adds to ``repeated``, which has the windows that earlier documents have by the shards' verdicts, those of equal segments of the block.
 
     ``repeated`` is set at the place that stands for equal segments or windows;
-    places in the same document follow it, places in later documents go.
+    places in the same document follow it, places in later documents go.  Of hot
+    anchors the windows were sent, not the segments, so equal windows count.
     """
-    starts, counts, keys, docs, signs = runs(data, ends)
+    starts, counts, keys, docs, _ = runs(data, ends)
     order = np.argsort(keys, kind="stable")
     size = np.diff(np.append(np.flatnonzero(_changes(keys[order])), len(keys)))
-    order, size = order[np.repeat(size > 1, size)], size[size > 1]
-    if not len(order):
-        return
-    owner, who = np.repeat(np.arange(len(size)), size), doc_ids[docs]
-    by_sign = order[np.lexsort((signs[order], owner))]
-    many = np.bincount(owner[_changes(owner, signs[by_sign])], minlength=len(size)) > 1  # of different segments; the rest may still differ
-    same = order[np.repeat(~many, size)]
-    text = data.tobytes()
+    order = order[np.repeat(size > 1, size)]
+    who, text, hot = doc_ids[docs], data.tobytes(), np.isin(keys[order], hot_keys)
+    same = order[~hot]
     at, of = _distinct(text, starts[same], counts[same], who[same])
     stands = same[of][at]
-    later = who[same] > who[stands]
-    many |= np.bincount(np.repeat(np.flatnonzero(~many), size[~many])[of], minlength=len(size)) > 1
+    several = stands != same
+    same, stands = same[several], stands[several]
     n = counts[same]
     place, source = ragged(np.arange(len(data)), starts[same], n), ragged(np.arange(len(data)), starts[stands], n)
-    repeated[place] |= np.repeat(later, n) | repeated[source]
-    hot = order[np.repeat(many, size)]
-    for w, whose in _window_parts(data, starts[hot], counts[hot], who[hot]):
+    repeated[place] |= np.repeat(who[same] > who[stands], n) | repeated[source]
+    for w, whose in _window_parts(data, starts[order[hot]], counts[order[hot]], who[order[hot]]):
         at, of = _distinct(text, w, np.ones(len(w), dtype=np.int64), whose)
         least = whose[of][at]
         known = np.zeros(len(of), dtype=bool)
@@ -455,10 +455,15 @@ def _removed(rows: pd.DataFrame):
     own = rows["extra"].notna()
     doc_ids, ends, data = _block(rows.loc[own, "extra"].iloc[0], rows.loc[own, "data"].iloc[0])
     repeated = np.zeros(len(data) + 1, dtype=bool)
+    hot_keys = np.zeros(0, dtype=np.uint64)
     for d in rows.loc[~own, "data"]:
-        begin, size = _from_arrays(d)
+        begin, *size = _from_arrays(d)
+        if not size:
+            hot_keys = begin
+            continue
+        size = size[0]
         repeated[ragged(np.arange(len(data)), np.cumsum(begin), size.astype(np.int64))] = True
-    _own_repeats(doc_ids, ends, data, repeated)
+    _own_repeats(doc_ids, ends, data, repeated, hot_keys)
     edge = np.diff(repeated.astype(np.int8), prepend=0)
     change = np.zeros(len(data) + LENGTH + 1, dtype=np.int32)
     change[np.flatnonzero(edge > 0)] += 1
