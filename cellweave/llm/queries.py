@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from . import bpe, embedding_dedup, language, mixing, simhash, suffix_dedup, token_records, topk, toxicity, warc
+from . import bpe, embedding_dedup, language, mixing, pieces, simhash, suffix_dedup, token_records, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=4, fold=2, threshold=0.3)
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text through the score-ordered agenda and back."""
+    return pieces.piece_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_embeddings": op2_embeddings,
@@ -69,6 +74,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
+    "op11_pieces": op11_pieces,
     "pipeline": corpus_pipeline.run,
 }
 
