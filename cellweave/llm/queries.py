@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from . import bpe, embedding_dedup, language, mixing, pieces, simhash, suffix_dedup, token_records, topk, toxicity, warc
+from . import bpe, embedding_dedup, language, mixing, periods, pieces, simhash, suffix_dedup, token_records, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every whole text, every tenth document's end made periodic first."""
+    return periods.run_report(_table(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_embeddings": op2_embeddings,
@@ -75,6 +80,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_toxicity": op10_toxicity,
     "op11_pieces": op11_pieces,
+    "op12_periods": op12_periods,
     "pipeline": corpus_pipeline.run,
 }
 
