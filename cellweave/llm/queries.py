@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from . import bpe, embedding_dedup, language, mixing, periods, pieces, simhash, suffix_dedup, token_records, topk, toxicity, warc
+from . import bpe, divergence, embedding_dedup, language, mixing, periods, pieces, simhash, suffix_dedup, token_records, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.run_report(_table(spark, sf_dir, "documents"), plant=True)
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each language's sources lie from each other, and each group's most telling terms."""
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"), least=10, top=10)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_embeddings": op2_embeddings,
@@ -81,6 +86,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_pieces": op11_pieces,
     "op12_periods": op12_periods,
+    "op13_divergence": op13_divergence,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -179,3 +185,36 @@ SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BI
     list_reduce(list_transform(range(0, n_spans + 1), lambda j: b[(CASE WHEN j = 0 THEN 1 ELSE z[j] + 1 END):(CASE WHEN j = n_spans THEN n ELSE a[j + 1] - 1 END)]), lambda x, y: x || y) END) AS kept_sha256
 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """
+
+ORACLE_SQL["op13_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+t AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+counts AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN kept k ON k.lang = t.lang AND k.term = t.term GROUP BY ALL),
+groups AS (
+  SELECT g.lang, g.source, coalesce(l.v, 0) AS v, coalesce(s.n, 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN langs l ON l.lang = g.lang
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL) s ON s.lang = g.lang AND s.source = g.source),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + CAST(1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (g.n + 2 * g.v) AS BIGINT) AS p,
+         1 + CAST(1000000000::HUGEINT * (k.n + 2) // (l.n + 2 * l.v) AS BIGINT) AS whole
+  FROM groups g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source
+  GROUP BY ALL),
+rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - whole) * (p - whole) // (p + whole) FROM shares WHERE n > 0 AND p > whole),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INT) AS rank FROM rows)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
