@@ -17,3 +17,10 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
         context.setCheckpointDir("file:///tmp/checkpoints/cellweave")
         named = context.getCheckpointDir()
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Hadoop's settings give it, so that readers outside Hadoop find the same folder."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(jvm).toString()
+    return f"file://{found.removeprefix('file:')}" if found.startswith("file:/") and not found.startswith("file://") else found
