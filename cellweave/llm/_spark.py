@@ -5,47 +5,33 @@ from __future__ import annotations
 import sys
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests.
-TEST_FOLDER = "file:///tmp/checkpoints/cellweave"
+from ..sources.folders import fresh_folder, qualified
 
 # Functions of this subpackage travel to the executors by value, so that an
 # executor needs no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 
-#: Paths of the tables that :func:`saved` has written in this process.
-_written: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
-
-    With neither, a local session (as in tests) gets one; a cluster raises, since
-    no folder of the driver's machine would do.
-    """
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if named is None:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(TEST_FOLDER)
-        named = context.getCheckpointDir()
-    return named.rstrip("/")
+#: Paths of the tables that :func:`saved` has written in the run at hand, one list for each nested :func:`dropping_tables`.
+_runs: ContextVar[tuple[list[str], ...]] = ContextVar("runs", default=())
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    return qualified(spark, fresh_folder(spark, name))
 
 
 def saved(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
-    _written.append(path)
+    for run in _runs.get()[-1:]:
+        run.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,14 +40,26 @@ def drop_table(spark: SparkSession, path: str) -> None:
     """Removes a table that nothing will read again."""
     table = spark._jvm.org.apache.hadoop.fs.Path(path)
     table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(table, True)
-    if path in _written:
-        _written.remove(path)
+    for run in _runs.get():
+        if path in run:
+            run.remove(path)
 
 
 @contextmanager
 def dropping_tables(spark: SparkSession, keep: list[str]):
-    """Removes, at the end, the tables that were saved within but for those in ``keep``; results that still read them must have been written by then."""
-    before = set(_written)
-    yield
-    for path in [p for p in _written if p not in before and p not in keep]:
-        drop_table(spark, path)
+    """Removes, at the end or when a step fails, the tables that were saved within but for those in ``keep``.
+
+    Results that still read them must have been written by then.  The tables of other
+    runs, in other threads or around this one, are not touched; those kept belong to the run around.
+    """
+    outer, own = _runs.get(), []
+    token = _runs.set((*outer, own))
+    try:
+        yield
+    finally:
+        _runs.reset(token)
+        for path in own:
+            if path not in keep:
+                drop_table(spark, path)
+            elif outer:
+                outer[-1].append(path)

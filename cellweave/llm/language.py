@@ -3,10 +3,12 @@
 A text is a vector of TF-IDF weights of character 1- to 3-grams (lower-cased,
 anything but letters as a blank, hashed to ``BUCKETS`` buckets), at length 1.
 Each language has several centroids, found by spherical k-means on a bounded
-sample of labelled rows (about ``sample_per_language`` of each of at most
-``languages`` languages, drawn by a hash; rows that repeat count once).  The weights' document
+sample of its labelled rows (about ``sample_per_language``, drawn by a hash; rows
+that repeat count once), each language by a task of its own.  The weights' document
 frequencies are counted over all labelled training rows; a task sends one row
-of counts, whose size is the number of buckets.
+of counts, whose size is the number of buckets.  Every labelled language is learned: the model
+is at most 130 kB a language (``BUCKETS`` weights for each centroid), and texts
+meet it in the tasks, so it grows with the languages and with nothing else.
 
 A prediction is the language of the centroid with the largest cosine.  A text
 that is farther from it than nearly all of its sample were (``quantile``) is
@@ -22,6 +24,7 @@ columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,8 +72,8 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     return centres.astype(np.float32)
 
 
-def train(labelled: DataFrame, centroids: int = 4, sample_per_language: int = 200, quantile: float = 0.01, languages: int = 1000) -> dict | None:
-    """The model from (doc_id, text, lang) rows without nulls in text and lang; the ``languages`` of most rows are learned."""
+def train(labelled: DataFrame, centroids: int = 4, sample_per_language: int = 200, quantile: float = 0.01) -> dict | None:
+    """The model from (doc_id, text, lang) rows without nulls in text and lang."""
 
     def frequencies(batches):
         letters, df, n = letter_table(), np.zeros(BUCKETS, dtype=np.int64), 0
@@ -92,12 +95,11 @@ def train(labelled: DataFrame, centroids: int = 4, sample_per_language: int = 20
         return None
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32)
 
-    # a row per language, of at most so many languages: safe to broadcast whatever the input
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     draw = F.xxhash64(F.lit("sample"), "doc_id", "text")
     share = F.pmod(draw, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = labelled.join(F.broadcast(sizes), "lang").where(share < F.lit(float(sample_per_language)) / F.col("n"))
-    # rows that repeat are drawn alike; one of them is enough, so that about sample_per_language rows a language reach the driver
+    drawn = labelled.join(sizes, "lang").where(share < F.lit(float(sample_per_language)) / F.col("n"))
+    # rows that repeat are drawn alike; one of them is enough, so that about sample_per_language rows a language meet in a task
     sample = drawn.groupBy("lang", "doc_id", draw.alias("draw")).agg(F.min("text").alias("text")).select("draw", "lang", "text")
 
     def sparse(batches):
@@ -110,24 +112,25 @@ def train(labelled: DataFrame, centroids: int = 4, sample_per_language: int = 20
                     keys.append(k), langs.append(lang), at.append(np.flatnonzero(counts).astype(np.int32)), value.append(counts[counts > 0].astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.int64()), pa.array(langs, type=pa.string()), pa.array(at, type=pa.list_(pa.int32())), pa.array(value, type=pa.list_(pa.int32()))], names=["draw", "lang", "at", "value"])
 
-    rows = sample.mapInArrow(sparse, "draw long, lang string, at array<int>, value array<int>").toPandas()
-    centres, langs, limits = [], [], []
-    for lang, group in sorted(rows.groupby("lang"), key=lambda g: g[0]):
-        group = group.sort_values("draw").head(2 * sample_per_language)
-        counts = np.zeros((len(group), BUCKETS), dtype=np.float32)
-        for i, (at, value) in enumerate(zip(group["at"], group["value"])):
+    def centres_of(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("draw").head(2 * sample_per_language)
+        counts = np.zeros((len(rows), BUCKETS), dtype=np.float32)
+        for i, (at, value) in enumerate(zip(rows["at"], rows["value"])):
             counts[i, at] = value
         x = weigh(counts, idf)
         own = spherical_kmeans(x, centroids)
         sims = x @ own.T
         nearest = np.argmax(sims, axis=1)
-        for c in range(len(own)):
-            mine = sims[nearest == c, c]
-            centres.append(own[c]), langs.append(lang), limits.append(float(np.quantile(mine, quantile)) if len(mine) else 0.0)
-    if not centres:
+        limits = [float(np.quantile(mine, quantile)) if len(mine := sims[nearest == c, c]) else 0.0 for c in range(len(own))]
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "n": range(len(own)), "centre": [c.tobytes() for c in own], "edge": limits})
+
+    drawn_counts = sample.mapInArrow(sparse, "draw long, lang string, at array<int>, value array<int>")
+    rows = sorted(drawn_counts.groupBy("lang").applyInPandas(centres_of, "lang string, n int, centre binary, edge double").collect())
+    if not rows:
         return None
-    names = sorted(set(langs))
-    return {"idf": idf, "centres": np.stack(centres), "names": names, "of": np.array([names.index(x) for x in langs]), "limits": np.array(limits)}
+    names = sorted({r["lang"] for r in rows})
+    number = {n: i for i, n in enumerate(names)}
+    return {"idf": idf, "centres": np.stack([np.frombuffer(r["centre"], dtype=np.float32) for r in rows]), "names": names, "of": np.array([number[r["lang"]] for r in rows]), "limits": np.array([r["edge"] for r in rows])}
 
 
 def predict(docs: DataFrame, model: dict | None, sharpness: float = 20.0, reject_as_und: bool = False) -> DataFrame:

@@ -33,7 +33,7 @@ is not sent, so their number is at most that of blocks times shards and at most
 that of the blocks' anchors.
 
 Defined cases: null and empty texts have no bytes and keep none; a null doc_id
-is later than all others; rows that repeat a doc_id do not count as each other's
+is later than all others (for which the two least numbers there are count as one); rows that repeat a doc_id do not count as each other's
 predecessors; texts below ``LENGTH`` bytes stay; an empty table gives an empty
 result; other columns, whatever their names, are kept by :func:`drop_repeats`
 and ignored otherwise.
@@ -55,7 +55,7 @@ from pyspark.sql import functions as F
 from ._spark import fresh_path, saved
 from .bpe import ragged
 
-LENGTH, GRAM, LAST = 50, 16, (1 << 63) - 1
+LENGTH, GRAM, LAST, LEAST = 50, 16, (1 << 63) - 1, -(1 << 63)
 BLOCK_BYTES, SHARD_BYTES = 6 << 20, 8 << 20
 #: Different segments of one anchor, over all blocks, beyond which its windows are dealt one by one.
 HOT = 4096
@@ -92,7 +92,7 @@ def _from_arrays(data: bytes) -> list[np.ndarray]:
 
 
 def pack(docs: DataFrame, path: str, block_bytes: int) -> DataFrame:
-    """(block, size, ids, texts, rest): a row per block of documents; ``ids`` has doc_ids, lengths and which texts are null, ``rest`` the other columns as Arrow."""
+    """(block, size, ids, texts, rest): a row per block of documents; ``ids`` has doc_ids, lengths, which texts and which doc_ids are null, ``rest`` the other columns as Arrow."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
 
     def run(batches):
@@ -107,7 +107,7 @@ def pack(docs: DataFrame, path: str, block_bytes: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([seq], type=pa.int64()), pa.array([size], type=pa.int64()),
-                    pa.array([_arrays(np.array(ids, dtype=np.int64), np.array([len(t or b"") for t in texts], dtype=np.int64), np.array([t is None for t in texts], dtype=np.uint8))], type=pa.binary()),
+                    pa.array([_arrays(np.array([i or 0 for i in ids], dtype=np.int64), np.array([len(t or b"") for t in texts], dtype=np.int64), *[np.array([x is None for x in c], dtype=np.uint8) for c in (texts, ids)])], type=pa.binary()),
                     pa.array([_squeeze(b"".join(t or b"" for t in texts))], type=pa.binary()), pa.array([_squeeze(sink.getvalue().to_pybytes())], type=pa.binary()),
                 ],
                 names=["block", "size", "ids", "texts", "rest"])
@@ -115,7 +115,7 @@ def pack(docs: DataFrame, path: str, block_bytes: int) -> DataFrame:
         for b in batches:
             begin = 0
             for i, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                ids.append(LAST if k is None else k), texts.append(None if t is None else t.encode())
+                ids.append(k), texts.append(None if t is None else t.encode())
                 size += len(t and texts[-1] or b"")
                 if size >= block_bytes or i + 1 == b.num_rows:
                     rest.append(b.slice(begin, i + 1 - begin).select(others))
@@ -131,9 +131,9 @@ def pack(docs: DataFrame, path: str, block_bytes: int) -> DataFrame:
 
 
 def _block(ids: bytes, texts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_ids, ends of the documents, bytes)."""
-    doc_ids, lengths, _ = _from_arrays(ids)
-    return doc_ids, np.cumsum(lengths), np.frombuffer(zstandard.ZstdDecompressor().decompress(texts), dtype=np.uint8)
+    """(numbers in the order of doc_id, nulls last; ends of the documents; bytes)."""
+    doc_ids, lengths, _, no_id = _from_arrays(ids)
+    return np.where(no_id, LAST, np.maximum(doc_ids, LEAST + 1) - 1), np.cumsum(lengths), np.frombuffer(zstandard.ZstdDecompressor().decompress(texts), dtype=np.uint8)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -451,9 +451,10 @@ def _own_repeats(doc_ids, ends, data, repeated: np.ndarray, hot_keys: np.ndarray
 
 
 def _removed(rows: pd.DataFrame):
-    """(doc_ids, ends, bytes, flags of the removed bytes) of a block."""
+    """(doc_ids, which texts are null, ends, bytes, flags of the removed bytes) of a block."""
     own = rows["extra"].notna()
-    doc_ids, ends, data = _block(rows.loc[own, "extra"].iloc[0], rows.loc[own, "data"].iloc[0])
+    ids = rows.loc[own, "extra"].iloc[0]
+    doc_ids, ends, data = _block(ids, rows.loc[own, "data"].iloc[0])
     repeated = np.zeros(len(data) + 1, dtype=bool)
     hot_keys = np.zeros(0, dtype=np.uint64)
     for d in rows.loc[~own, "data"]:
@@ -468,7 +469,8 @@ def _removed(rows: pd.DataFrame):
     change = np.zeros(len(data) + LENGTH + 1, dtype=np.int32)
     change[np.flatnonzero(edge > 0)] += 1
     np.subtract.at(change, np.flatnonzero(edge < 0) + LENGTH - 1, 1)
-    return doc_ids, ends, data, np.cumsum(change[: len(data)]) > 0
+    named, _, no_text, no_id = _from_arrays(ids)
+    return pa.array(named, mask=no_id.astype(bool)), no_text.astype(bool), ends, data, np.cumsum(change[: len(data)]) > 0
 
 
 def _judged(docs: DataFrame, rest: bool, path: str, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
@@ -485,13 +487,14 @@ def repeat_report(docs: DataFrame, **sizes) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs`` (doc_id, text)."""
 
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        doc_ids, ends, data, gone = _removed(rows)
+        doc_ids, _, ends, data, gone = _removed(rows)
         out, begin = [], 0
-        for k, end in zip(doc_ids.tolist(), ends.tolist()):
+        for k, end in zip(doc_ids.to_pylist(), ends.tolist()):
             g = gone[begin:end]
-            out.append((None if k == LAST else k, end - begin, int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), hashlib.sha256(data[begin:end][~g].tobytes()).hexdigest()))
+            out.append((k, end - begin, int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), hashlib.sha256(data[begin:end][~g].tobytes()).hexdigest()))
             begin = end
-        return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
+        found = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        return found.assign(doc_id=pd.array(doc_ids.to_pylist(), dtype="Int64"))
 
     path = fresh_path(docs.sparkSession, "text-blocks")
     return _judged(docs.select("doc_id", "text"), rest=False, path=path, **sizes).groupBy("block").applyInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -500,24 +503,23 @@ def repeat_report(docs: DataFrame, **sizes) -> DataFrame:
 def drop_repeats(docs: DataFrame, **sizes) -> DataFrame:
     """The rows of ``docs`` with the repeated bytes cut from their texts; a character that a cut leaves incomplete goes too.
 
-    All columns stay; a null text stays null.
+    All columns stay, of whatever types, and as they were: they are kept and given back as Arrow.  A null text stays null.
     """
     schema, names = docs.schema, docs.columns
     others = [c for c in names if c not in ("doc_id", "text")]
     path = fresh_path(docs.sparkSession, "text-blocks")
 
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        doc_ids, ends, data, gone = _removed(rows)
+    def cut(table: pa.Table) -> pa.Table:
+        doc_ids, no_text, ends, data, gone = _removed(table.select(["block", "data", "extra"]).to_pandas())
         texts, begin = [], 0
         for end in ends.tolist():
             texts.append(data[begin:end][~gone[begin:end]].tobytes().decode("utf-8", "ignore"))
             begin = end
+        columns = {"doc_id": doc_ids, "text": pa.array(texts, type=pa.string(), mask=no_text)}
         if others:
-            rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rows.loc[rows["extra"].notna(), "rest"].iloc[0])).read_all()
-        out = rest.select(others).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype(), pa.bool_(): pd.BooleanDtype()}.get) if others else pd.DataFrame(index=range(len(texts)))
-        out["doc_id"] = pd.array([None if k == LAST else k for k in doc_ids.tolist()], dtype="Int64")
-        no_text = _from_arrays(rows.loc[rows["extra"].notna(), "extra"].iloc[0])[2]
-        out["text"] = [None if n else t for n, t in zip(no_text.tolist(), texts)]
-        return out[names]
-
-    return _judged(docs, rest=True, path=path, **sizes).groupBy("block").applyInPandas(cut, schema)
+            rest = next(r for r in table.column("rest").to_pylist() if r is not None)
+            stream = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rest)).read_all()
+            columns |= {c: stream.column(c).combine_chunks() for c in others}
+        return pa.table([columns[c] for c in names], names=names)
+
+    return _judged(docs, rest=True, path=path, **sizes).groupBy("block").applyInArrow(cut, schema)

@@ -156,7 +156,7 @@ class TestNearCopies:
         assert got == want
         import corpus_pipeline
 
-        stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
+        stage = dict(corpus_pipeline.STAGES)["near-dedup"]
         assert {r["doc_id"] for r in stage(spark, docs, "").collect()} == set(want.values())
 
     @pytest.mark.parametrize("piece_size", [3, 1024])
@@ -259,6 +259,38 @@ class TestTokens:
         for at in range(0, len(texts), 50):
             assert [np.frombuffer(b, "<u4").tolist() for b in c.encode(texts[at : at + 50])] == [x.ids for x in w.encode_batch(texts[at : at + 50], add_special_tokens=False)]
 
+    def test_every_character_of_the_simple_kind(self):
+        """Alone and inside a word, controls and special strings too."""
+        t = Tokenizer.from_file(WORD)
+        texts = [w for c in range(0x250) for w in (chr(c), f"ab{chr(c)}cd", f"{chr(c)}1{chr(c)}.")]
+        texts += ["a\0b\x1bc\x7f", "<|endoftext|>", "x<|startoftext|>y <|STARTOFTEXT|>", "<| a", "İ ͅ \u0338<|endoftext|>\u0338"]
+        r = np.random.default_rng(12)
+        texts += ["".join(chr(c) for c in r.choice([*range(0x250), 32, 32, 32], 30)) for _ in range(3000)]
+        c = token_records.WordCache(open(WORD).read())
+        assert [np.frombuffer(b, "<u4").tolist() for b in c.encode(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+        with pytest.raises(ValueError, match="rules"):
+            token_records.special_pattern(open(BYTE).read())
+
+    def test_ranges_keep_the_order(self, spark):
+        """Nulls come before the least number, whatever many ranges either fills; ranges grow with the bytes."""
+        import pyarrow as pa
+
+        low = token_records.Ranges.LEAST
+        ids = [None] * 500 + [low] * 300 + [low + 1] * 3 + [7] * 400 + list(range(100)) + [(1 << 63) - 1]
+        ranges = token_records.Ranges(spark.createDataFrame([(i,) for i in ids], "doc_id long"), 13)
+        checks = np.random.default_rng(3).integers(0, 1 << 32, len(ids))
+        part = ranges.of(pa.array(ids, pa.int64()), checks).tolist()
+        order = sorted(zip(part, [(i is not None, i or 0, c) for i, c in zip(ids, checks.tolist())]))
+        assert [k for _, k in order] == sorted(k for _, k in order)
+        assert max(np.bincount(part)) < 200 and len(set(part)) == 13
+        payload = token_records.pack(low, np.array([1, 2], dtype="<u2"))
+        assert token_records.unpack(payload)[0] == low and token_records.unpack(token_records.pack(None, np.array([], dtype="<u4")))[0] is None
+
+    def test_more_ranges_for_more_bytes(self, spark, docs, monkeypatch):
+        assert token_records.range_count(docs) == token_records.range_count(spark.range(10_000)) == 4
+        monkeypatch.setattr(token_records, "RANGE_BYTES", 1000)
+        assert token_records.range_count(spark.range(10_000)) == 80 and token_records.range_count(docs) >= 4
+
     def test_frames(self):
         data = token_records.frame(b"abc") + token_records.frame(b"")
         payload, at = token_records.unframe(data)
@@ -336,6 +368,25 @@ class TestRepeats:
         assert kept.columns == ["doc_id", "text", "lang", "source", "block"] and kept.count() == docs.count()
         assert rows[0]["text"] is None and rows[11]["text"] != LONG + " tail" and rows[6]["text"] == TEXTS[6] and rows[8]["source"] == "s2" and rows[3]["block"] is None
 
+    def test_columns_of_any_type_stay(self, spark, docs):
+        typed = docs.where("doc_id > 2").selectExpr(
+            "doc_id", "text", "IF(doc_id = 5, double('NaN'), doc_id / 2) AS d", "IF(doc_id = 6, null, map('k', doc_id, 'n', null)) AS m", "named_struct('a', doc_id, 'b', array(text, null)) AS s",
+            "cast(doc_id AS smallint) AS h", "cast(doc_id AS decimal(20, 3)) AS dec", "encode(text, 'UTF-8') AS bin", "timestamp'2020-01-01 12:00:00' + make_interval(0, 0, 0, doc_id) AS ts",
+            "date'2021-02-03' AS day", "IF(doc_id = 7, null, doc_id = 8) AS flag", "cast(null AS float) AS f", "map(1, named_struct('x', 1.5f)) AS ms")
+        kept = suffix_dedup.drop_repeats(typed, block_bytes=9000)
+        rest = [c for c in typed.columns if c != "text"]
+        assert kept.schema.simpleString() == typed.schema.simpleString()
+        assert sorted(map(str, kept.select(rest).collect())) == sorted(map(str, typed.select(rest).collect()))
+
+    def test_greatest_and_least_numbers(self, spark):
+        text, low, high = "some text of a good many letters that is in all of these documents", -(1 << 63), (1 << 63) - 1
+        rows = [(None, text), (high, text), (high - 1, text), (None, "other " + text), (high, "b")]
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {(r["doc_id"], r["n_removed"]) for r in suffix_dedup.repeat_report(table).collect()}
+        assert got == {(high - 1, 0), (high, len(text)), (None, len(text)), (high, 0)}
+        table = spark.createDataFrame([(low, text), (high, text), (None, text)], "doc_id long, text string")
+        assert {(r["doc_id"], r["text"]) for r in suffix_dedup.drop_repeats(table).collect()} == {(low, text), (high, ""), (None, "")}
+
     def test_refine_is_a_suffix_sort(self):
         r = np.random.default_rng(10)
         data = r.integers(0, 2, 3000).astype(np.uint8)
@@ -460,12 +511,12 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
-    assert list(stages) == ["toxicity", "simhash near-dedup", "suffix-array dedup", "mixing", "bpe"]
+    assert list(stages) == ["toxicity", "near-dedup", "suffix-array dedup", "mixing", "bpe"]
     clean = stages["toxicity"](spark, docs, str(tmp_path))
     ids = {r["doc_id"] for r in clean.collect()}
     scores = toxicity.toxicity(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).where("predicted = 0").collect()
     assert ids == {r["doc_id"] for r in scores} and {2000, 2001} <= ids
-    one = stages["simhash near-dedup"](spark, docs, str(tmp_path))
+    one = stages["near-dedup"](spark, docs, str(tmp_path))
     assert {r["doc_id"] for r in one.collect()} & {r[0] for r in rows if 1000 <= r[0] < 2000} == set()
     cut = stages["suffix-array dedup"](spark, docs, str(tmp_path)).toPandas()
     assert (cut.loc[cut.doc_id.between(1000, 1999), "text"] == "").all() and (cut["n_chars"].dropna() == cut.loc[cut["n_chars"].notna(), "text"].str.len()).all()
@@ -518,9 +569,9 @@ def test_shared_folder(spark, tmp_path):
     from cellweave.llm import _spark
 
     held = spark.sparkContext.getCheckpointDir()
-    folder = _spark.shared_folder(spark)
-    assert folder == (spark.sparkContext.getConf().get("spark.checkpoint.dir") or held or spark.sparkContext.getCheckpointDir()).rstrip("/")
     kept = _spark.fresh_path(spark, "kept")
+    folder = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or held or spark.sparkContext.getCheckpointDir()).rstrip("/")
+    assert kept.startswith("file:///") and kept.removeprefix("file://").startswith(folder.removeprefix("file:").replace("///", "/"))
     with _spark.dropping_tables(spark, [kept]):
         _spark.saved(spark.range(3), "x", kept)
         gone = _spark.fresh_path(spark, "gone")
@@ -530,6 +581,42 @@ def test_shared_folder(spark, tmp_path):
         spark.read.parquet(gone).count()
 
 
+def test_tables_of_a_failing_step_and_of_two_runs(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from cellweave.llm import _spark
+
+    def there(path):
+        jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm)
+
+    paths = [_spark.fresh_path(spark, "run") for _ in range(5)]
+    with pytest.raises(ZeroDivisionError), _spark.dropping_tables(spark, [paths[0]]):
+        _spark.saved(spark.range(2), "x", paths[0])
+        with _spark.dropping_tables(spark, []):
+            _spark.saved(spark.range(2), "x", paths[1])
+            1 / 0
+    assert there(paths[0]) and not there(paths[1])
+    both = Barrier(2, timeout=60)
+
+    def run(path, other):
+        with _spark.dropping_tables(spark, [other]):
+            table = _spark.saved(spark.range(7), "x", path)
+            both.wait()  # the other run has written its table, and one of the two ends first
+        if path == paths[2]:
+            both.wait()
+            return not there(path)
+        alive = table.sparkSession.read.parquet(paths[4]).count() == 7
+        both.wait()
+        return alive
+
+    _spark.saved(spark.range(7), "x", paths[4])
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(run, paths[2:4], [paths[2] + "-no", paths[3] + "-no"])) == [True, True]
+    assert not there(paths[2]) and not there(paths[3]) and there(paths[4])
+
+
 def test_scorer_is_the_plain_network():
     """Scores against a loop over windows, tokens and gates, one at a time, with the parameters of a trained network."""
     texts = [t for _, t, _, _, _ in corpus(120)]
