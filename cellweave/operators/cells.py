@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running_sums
+
 KEY = ["puzzle", "row", "col"]
 
 
@@ -94,8 +96,9 @@ def early_abort(cells: DataFrame, chunk: int = 16, least: int = 10, share: float
 
     Checked after every full chunk, and after the last; cells in order of ``ord`` (0, 1, ...).
     """
-    w = Window.partitionBy("puzzle").orderBy("ord")
-    running = cells.withColumn("read", F.row_number().over(w)).withColumn("known", F.count("number").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("puzzle")))
+    sums = {"read": F.lit(1).cast("long"), "known": F.col("number").isNotNull().cast("long")}
+    totals = cells.groupBy("puzzle").agg(F.count(F.lit(1)).alias("total"))
+    running = running_sums(cells, "puzzle", ["ord"], sums).join(totals, "puzzle")
     stops = ((F.col("read") % chunk == 0) | (F.col("read") == F.col("total"))) & (F.col("read") >= least) & (F.col("known") / F.col("read") < share)
     return running.groupBy("puzzle").agg(F.max("total").alias("total"), F.min(F.when(stops, F.col("read"))).alias("stopped_at"), F.count("number").alias("recognized")).withColumns({"aborted": F.col("stopped_at").isNotNull()}).withColumn("recognized", F.when(F.col("aborted"), F.lit(0)).otherwise(F.col("recognized")))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import curation as ops
 from ..operators.compare import last_by_key
+from ..operators.running import running_sums
 from .tables import CELLS_SQL, cells, raw_cells, table
 
 QUERIES: dict = {}
@@ -149,10 +150,9 @@ ORACLE_SQL["output_names"] = "SELECT item_id, printf('cell_%05d_d%d.png', row_nu
 @_query
 def running_mean(spark, sf_dir):
     """The mean of a user's values so far."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "events").select("event_id", F.round(F.round(F.sum("value").over(w), 4) / F.count("value").over(w), 6).alias("mean"))
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    sums = running_sums(e, "user_id", ["ts", "event_id"], {"total": F.col("value"), "n": F.col("value").isNotNull().cast("long")})
+    return sums.select("event_id", F.round(F.round("total", 4) / F.col("n"), 6).alias("mean"))
 
 
 ORACLE_SQL["running_mean"] = "SELECT event_id, round(round(sum(value) OVER w, 4) / count(value) OVER w, 6) AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"

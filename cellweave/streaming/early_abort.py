@@ -1,11 +1,13 @@
-"""The stop rule on a stream of recognised cells.
-
-State per puzzle is three numbers.  After every ``chunk`` cells, once ``least``
-are read, a puzzle whose share of recognised cells is below ``share`` stops:
-one row is emitted and its later cells are ignored.  Cells that carry the
-puzzle's ``total`` are also checked after the last one, as in batch.  With
-``idle_minutes``, state of a puzzle without new cells for so long goes, so that it
-does not grow for ever; a query that should end by itself goes without.
+"""The stop rule on a stream of recognised cells, which may come in any order.
+
+A puzzle is judged after each full chunk of cells, in the order of its chunks.
+The cells of a chunk may be spread over micro-batches and may come before those
+of earlier chunks: state holds, for each chunk that is not judged yet, how many of its cells
+are there and how many are recognised, and three numbers for the chunks that are.  A
+puzzle that falls below the share is reported at once and its later cells are
+ignored.  A timer, moved on by each new cell, tells when no more will come: the last
+chunk, which need not be full, is judged then, the puzzle reported, and its
+state removed.
 """
 
 from __future__ import annotations
@@ -13,31 +15,108 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-
-def early_abort_stream(cells: DataFrame, chunk: int = 16, least: int = 10, share: float = 0.25, idle_minutes: int | None = None) -> DataFrame:
-    """cells: puzzle, ord, recognised (boolean), and total where it is known.  Emits (puzzle, stopped_at, recognized) for puzzles that stop."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        read, known, stopped = state.get if state.exists else (0, 0, False)
-        out = []
-        for f in frames:
-            f = f.sort_values("ord")
-            for hit, total in zip(f["recognised"], f["total"] if "total" in f else [None] * len(f)):
-                if stopped:
-                    break
-                read, known = read + 1, known + bool(hit)
-                if (read % chunk == 0 or read == total) and read >= least and known / read < share:
-                    stopped = True
-                    out.append((key[0], read, known))
-        state.update((read, known, stopped))
-        if idle_minutes is not None:
-            state.setTimeoutDuration(idle_minutes * 60_000)
-        yield pd.DataFrame(out, columns=["puzzle", "stopped_at", "recognized"])
-
-    return cells.groupBy("puzzle").applyInPandasWithState(step, "puzzle long, stopped_at long, recognized long", "read long, known long, stopped boolean", "append", GroupStateTimeout.NoTimeout if idle_minutes is None else GroupStateTimeout.ProcessingTimeTimeout)
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..sources.folders import fresh_folder
+
+#: What state in a RocksDB store needs, which :class:`StopRule` uses.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+RESULT = "puzzle long, stopped_at long, recognized long, aborted boolean"
+
+
+class StopRule(StatefulProcessor):
+    """Cells (puzzle, nth from 1, recognised, at) to (puzzle, stopped_at, recognized, aborted), one row a puzzle."""
+
+    def __init__(self, chunk: int, least: int, share: float, idle_ms: int):
+        self.chunk, self.least, self.share, self.idle_ms = chunk, least, share, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.judged = handle.getValueState("judged", "chunks long, read long, known long, stopped boolean, timer long")
+        self.waiting = handle.getMapState("waiting", "chunk long", "read long, known long")
+
+    def _judge(self, key, chunks: int, read: int, known: int, last: bool) -> tuple[int, int, int, pd.DataFrame | None]:
+        """Judges the chunks that are whole, or, at the end, all there are."""
+        while self.waiting.exists() and self.waiting.containsKey((chunks,)):
+            more, hits = self.waiting.getValue((chunks,))
+            if more < self.chunk and not last:
+                break
+            self.waiting.removeKey((chunks,))
+            chunks, read, known = chunks + 1, read + more, known + hits
+            if read >= self.least and known / read < self.share:
+                return chunks, read, known, pd.DataFrame({"puzzle": [key[0]], "stopped_at": [read], "recognized": [0], "aborted": [True]})
+        return chunks, read, known, None
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        chunks, read, known, stopped, timer = self.judged.get() if self.judged.exists() else (0, 0, 0, False, 0)
+        newest = 0
+        for frame in rows:
+            newest = max(newest, int(frame["at"].max().timestamp() * 1000))
+            if stopped:
+                continue
+            for number, group in frame.groupby((frame["nth"] - 1) // self.chunk):
+                held = self.waiting.getValue((int(number),)) if self.waiting.exists() and self.waiting.containsKey((int(number),)) else (0, 0)
+                self.waiting.updateValue((int(number),), (held[0] + len(group), held[1] + int(group["recognised"].sum())))
+        result = None
+        if not stopped:
+            chunks, read, known, result = self._judge(key, chunks, read, known, last=False)
+            if result is not None:
+                stopped = True
+                self.waiting.clear()
+        if newest + self.idle_ms > timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            timer = newest + self.idle_ms
+            self.handle.registerTimer(timer)
+        self.judged.update((chunks, read, known, stopped, timer))
+        if result is not None:
+            yield result
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        chunks, read, known, stopped, _ = self.judged.get()
+        if not stopped:
+            _, _, known, result = self._judge(key, chunks, read, known, last=True)
+            yield result if result is not None else pd.DataFrame({"puzzle": [key[0]], "stopped_at": pd.array([None], dtype="Int64"), "recognized": [known], "aborted": [False]})
+        self.judged.clear()
+        self.waiting.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def early_abort_stream(cells: DataFrame, chunk: int = 16, least: int = 10, share: float = 0.25, idle_minutes: int = 30) -> DataFrame:
+    """cells: puzzle, nth (from 1, in the puzzle's order), recognised (boolean), at (when it came, with a watermark).  The session needs :data:`STATE_STORE`."""
+    rule = StopRule(chunk, least, share, idle_minutes * 60_000)
+    return cells.groupBy("puzzle").transformWithStateInPandas(statefulProcessor=rule, outputStructType=RESULT, outputMode="append", timeMode="eventtime")
+
+
+def replayed(cells: DataFrame, files: int = 6, files_a_batch: int = 2, **rule) -> DataFrame:
+    """The stop rule over ``cells`` (puzzle, nth, recognised) as a stream: files arrive out of order, a few a micro-batch; the results go to files, and are read back.
+
+    A last row, of no puzzle, comes so late that all timers run out.
+    """
+    spark: SparkSession = cells.sparkSession
+    source, sink, log = (fresh_folder(spark, f"stream-{n}") for n in ("in", "out", "log"))
+    idle = rule.pop("idle_minutes", 30)
+    # a cell's file is drawn by a hash, so a puzzle's cells, and a chunk's, are spread over files and micro-batches
+    dealt = cells.withColumn("file", F.pmod(F.xxhash64("puzzle", "nth"), F.lit(files)).cast("int"))
+    begun = F.timestamp_seconds(F.lit(86_400))
+    arrivals = dealt.select("puzzle", F.col("nth").cast("long").alias("nth"), "recognised", begun.alias("at"), "file")
+    arrivals.repartition(files, "file").write.partitionBy("file").parquet(source)
+    end = spark.range(1).select(F.lit(None).cast("long").alias("puzzle"), F.lit(1).cast("long").alias("nth"), F.lit(True).alias("recognised"), (begun + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(2 * idle))).alias("at"), F.lit(files).alias("file"))
+    end.coalesce(1).write.mode("append").partitionBy("file").parquet(source)
+    held = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        schema = "puzzle long, nth long, recognised boolean, at timestamp, file int"
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source).withWatermark("at", "1 minute")  # cells that come as late as the mark itself would be left out
+        result = early_abort_stream(stream, idle_minutes=idle, **rule)
+        query = result.writeStream.format("parquet").option("path", sink).option("checkpointLocation", log).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    return spark.read.schema(RESULT).parquet(sink).where("puzzle IS NOT NULL")

@@ -1,6 +1,8 @@
 """Each query against its SQL on the smallest tables, and golden cases of the operators."""
 
+import itertools
 import math
+import random
 
 import duckdb
 import numpy as np
@@ -9,11 +11,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cellweave.functions import chains, digits, geometry, kernels, text
-from cellweave.operators import cells, clusters, compare, curation, mapping, signal, templates
+from cellweave.functions import chains, digits, geometry, hashes, kernels, text
+from cellweave.operators import cells, clusters, compare, curation, mapping, progress, running, signal, spectrum, templates
 from cellweave.plans import registry
 from cellweave.sources import readers, writers
-from cellweave.streaming.early_abort import early_abort_stream
+from cellweave.streaming.early_abort import replayed
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -161,13 +163,107 @@ class TestCells:
         df = frame(spark, [(p, i, 1 if (p == 1 or i < 3) else None) for p in (1, 2) for i in range(40)], "puzzle long, ord int, number int")
         assert {r["puzzle"]: (r["aborted"], r["stopped_at"]) for r in cells.early_abort(df).collect()} == {1: (False, None), 2: (True, 16)}
 
-    def test_early_abort_stream(self, spark, tmp_path):
-        rows = [(p, i, bool(p == 1 or i < 3)) for p in (1, 2) for i in range(40)]
-        frame(spark, rows, "puzzle long, ord int, recognised boolean").coalesce(1).write.parquet(f"{tmp_path}/in")
-        stream = early_abort_stream(spark.readStream.schema("puzzle long, ord int, recognised boolean").parquet(f"{tmp_path}/in"))
-        query = stream.writeStream.format("memory").queryName("stopped").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-        query.awaitTermination()
-        assert [tuple(r) for r in spark.table("stopped").collect()] == [(2, 16, 3)]
+    def test_early_abort_stream(self, spark):
+        """Cells out of order and spread over micro-batches; a short last chunk is judged when the timer runs out."""
+        r = random.Random(4)
+        rows = [(p, i + 1, r.random() < share) for p, (n, share) in enumerate([(40, 1.0), (40, 0.0), (9, 0.0), (10, 0.1), (33, 0.3), (100, 0.24), (17, 0.24), (1, 1.0)]) for i in range(n)]
+        rows += [(8, i + 1, i < 8) for i in range(33)]  # falls below a quarter with its last cell only
+        df = frame(spark, rows, "puzzle long, nth long, recognised boolean")
+        batch = cells.early_abort(df.select("puzzle", F.col("nth").alias("ord"), F.when(F.col("recognised"), 1).alias("number"))).select("puzzle", "stopped_at", "recognized", "aborted")
+        want = sorted(map(tuple, batch.collect()))
+        assert (8, 33, 0, True) in want and (2, None, 0, False) in want
+        for files, at_once in ((6, 2), (1, 1)):
+            assert sorted(map(tuple, replayed(df, files, at_once).collect())) == want
+
+    def test_running_sums(self, spark):
+        rows = [(k, i, None if i % 7 == 0 else i) for k, n in ((1, 500), (2, 3), (None, 20)) for i in range(n)]
+        got = running.running_sums(frame(spark, rows, "k int, i int, v int").repartition(5), "k", ["i"], {"upto": F.col("v"), "nth": F.lit(1)}).collect()
+        assert len(got) == len(rows)
+        for row in got:
+            assert row["nth"] == row["i"] + 1 and row["upto"] == sum(i for i in range(row["i"] + 1) if i % 7)
+
+    def test_stage_progress(self, spark):
+        events = []
+        stages = {"preprocessing": lambda c: c, "gridDetection": lambda c: c.where("id < 3"), "cellExtraction": lambda c: c.select(F.raise_error(F.lit("no cells")).alias("id"))}
+        with pytest.raises(progress.StageFailed, match="cellExtraction"):
+            progress.run_stages(spark.range(10), stages, {"n": F.count(F.lit(1))}, lambda *e: events.append(e))
+        assert events == [("preprocessing", 10, {}), ("preprocessing", 25, {"n": 10}), ("gridDetection", 25, {}), ("gridDetection", 45, {"n": 3}), ("cellExtraction", 45, {})]
+
+
+class TestSpectrum:
+    """The joins against numpy on dense arrays."""
+
+    @pytest.fixture
+    def found(self, spark):
+        r = np.random.default_rng(2)
+        n = 230
+        dense = {
+            "noise": r.integers(0, 9, n).astype(float), "day": (np.arange(n) % 24 == 5) * 7.0 + r.integers(0, 2, n), "one": (np.arange(n) == 40) * 3.0, "flat": np.full(n, 2.0),
+            "half": (np.arange(n) % 12 == 1) * 2.0 + (np.arange(n) % 24 == 1) * 3.0, "ends": (np.arange(n) % (n - 1) == 0) * 1.0,
+        }
+        rows = [(k, int(i) + 1000, float(x[i])) for k, x in dense.items() for i in np.flatnonzero(x)]
+        return dense, spectrum.signals(frame(spark, rows, "key string, pos long, amplitude double"), "key")
+
+    def test_autocorrelation(self, found):
+        dense, s = found
+        got = {r["key"]: (r["period"], r["snr"]) for r in spectrum.autocorrelation_period(s, "key", 6, 48).collect()}
+        assert got["flat"] == (6.0, 0.0)
+        for k, x in dense.items():
+            if k != "flat":
+                y = x - x.mean()
+                c = np.correlate(y, y, "full")[len(x) - 1 :] / (y * y).sum()
+                assert got[k][1] == pytest.approx(c[6:49].max() / np.sqrt((c[6:49] ** 2).mean()))
+                assert abs(got[k][0] - (6 + int(np.argmax(np.round(c[6:49], 12))))) <= 0.5
+        assert got["day"][0] == pytest.approx(24, abs=0.5)
+
+    def test_spectrum(self, found):
+        dense, s = found
+        got = {(r["key"], r["k"]): r["magnitude"] for r in spectrum.magnitudes(s, "key", 6, 48).collect()}
+        for k, x in dense.items():
+            full = np.abs(np.fft.rfft(x * np.hanning(len(x)), 512))
+            assert [got[k, i] for i in range(11, 86)] == pytest.approx(full[11:86].tolist(), abs=1e-6)
+        assert (("day", 86) in got) is False
+        by = {r["key"]: r for r in spectrum.dominant_period(s, "key", 6, 48).collect()}
+        assert by["day"]["method"] == "autocorrelation" and by["noise"]["method"] == "spectrum"
+        # the strongest wave of "half" is of 12 places; it is led down to 24
+        half = {r["key"]: r["period"] for r in spectrum.spectrum_period(s, "key", 6, 48).collect()}["half"]
+        assert half == pytest.approx(24, abs=1)
+
+    def test_smoothing_and_peaks(self, found):
+        dense, s = found
+        got = {(r["key"], r["i"]): r["x"] for r in spectrum.smooth(s, "key", 2.2).collect()}
+        peaks = {k: sorted(r["i"] for r in rows) for k, rows in itertools.groupby(sorted(spectrum.local_peaks(spectrum.smooth(s, "key", 2.2), "key", 9).collect(), key=lambda r: r["key"]), key=lambda r: r["key"])}
+        for k, x in dense.items():
+            want = kernels.gaussian_smooth(x, 2.2)
+            assert [got.get((k, i), 0.0) for i in range(len(x))] == pytest.approx(want.tolist(), abs=1e-8)
+            want, taken = np.round(want, 9), []
+            for p in sorted(range(1, len(x) - 1), key=lambda i: (-want[i], i)):
+                if want[p] > 0 and want[p] >= want[p - 1] and want[p] >= want[p + 1] and all(abs(p - q) >= 9 for q in taken):
+                    taken.append(p)
+            assert peaks.get(k, []) == sorted(taken)
+        assert spectrum.smooth(s, "key", 0.4) is s
+
+    def test_borders(self, spark, found):
+        dense, s = found
+        day = [r["pos"] for r in spectrum.borders_by_period(s, "key", 24).where("key = 'day'").orderBy("pos").collect()]
+        assert day[0] == 5 and set(np.diff(day)) == {24}
+        both = spectrum.positions_by_peaks(s, "key", 12).collect()
+        for k in ("day", "noise", "one"):  # the loops over one dense signal
+            assert sorted(r["pos"] for r in both if r["key"] == k) == chains.positions_by_peaks(dense[k], 12)
+        assert day == chains.borders_by_period(dense["day"], 24)
+        lines = spectrum.grid_lines(frame(spark, [("a", 5.4), ("b", 23.0), ("c", 0.0)], "key string, phase double"), "key", 24.0, F.lit(100).cast("long"))
+        assert {k: sorted(r["pos"] for r in lines.where(F.col("key") == k).collect()) for k in "abc"} == {"a": [5, 29, 53, 77, 100], "b": [0, 23, 47, 71, 95], "c": [0, 24, 48, 72, 96]}
+
+    def test_perceptual_hash(self, spark):
+        r = np.random.default_rng(3)
+        images = r.normal(size=(20, 8, 8))
+        rows = [(i, x.ravel().tolist()) for i, x in enumerate(images)] + [(20, None), (21, [1.0]), (22, [float("nan")] * 64), (23, [0.0] * 64)]
+        got = {r["i"]: r["h"] for r in frame(spark, rows, "i int, x array<double>").select("i", hashes.perceptual_hash(F.col("x"), 8).alias("h")).collect()}
+        basis = np.array(hashes.cosine_basis(8, 8))
+        for i, x in enumerate(images):
+            c = (basis @ x @ basis.T).ravel()[1:]
+            assert got[i] == sum(1 << j for j, t in enumerate(c) if t > np.sort(c)[31])
+        assert [got[i] for i in (20, 21, 22, 23)] == [None, None, None, 0]
 
 
 class TestSignals:
