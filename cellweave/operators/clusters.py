@@ -74,13 +74,14 @@ def merge_clusters(clusters: DataFrame, mapping: DataFrame) -> DataFrame:
     return moved.groupBy("puzzle", "cluster").agg(F.sum("members").alias("members"), F.min_by("cluster_letter", F.when(F.col("cluster_letter").isNotNull(), F.col("_was"))).alias("letter"), F.bool_or("merged").alias("merged"))
 
 
-def split_cluster(members: DataFrame, puzzle: int, cluster: int, similarity: float = 0.85) -> DataFrame:
-    """``members`` (puzzle, ord, cluster, features) with one cluster led again: its parts take new numbers after the puzzle's last, the others stay."""
-    mine = (F.col("puzzle") == puzzle) & (F.col("cluster") == cluster)
-    parts = leader_pass(members.where(mine).withColumn("hash", F.col("ord").cast("string")), similarity).select("puzzle", "ord", F.col("cluster").alias("_part"))
-    last = members.where(F.col("puzzle") == puzzle).groupBy("puzzle").agg(F.max("cluster").alias("_last"))
-    moved = members.where(mine).join(parts, ["puzzle", "ord"]).join(last, "puzzle").withColumn("cluster", (F.col("_last") + 1 + F.col("_part")).cast("int")).drop("_part", "_last")
-    return members.where(~mine).unionByName(moved)
+def split_clusters(members: DataFrame, chosen: DataFrame, similarity: float = 0.85) -> DataFrame:
+    """``members`` (puzzle, ord, cluster, features) with one cluster of each puzzle of ``chosen`` (puzzle, cluster) led again: its parts take new numbers after the puzzle's last, the others stay."""
+    marked = members.join(chosen.select("puzzle", "cluster", F.lit(True).alias("_split")), ["puzzle", "cluster"], "left")
+    mine = marked.where("_split").drop("_split")
+    parts = leader_pass(mine.withColumn("hash", F.col("ord").cast("string")), similarity).select("puzzle", "ord", F.col("cluster").alias("_part"))
+    last = members.groupBy("puzzle").agg(F.max("cluster").alias("_last"))
+    moved = mine.join(parts, ["puzzle", "ord"]).join(last, "puzzle").withColumn("cluster", (F.col("_last") + 1 + F.col("_part")).cast("int")).drop("_part", "_last")
+    return marked.where("_split is null").drop("_split").unionByName(moved)
 
 
 def merge_by_features(clusters: DataFrame, similarity: float = 0.85) -> DataFrame:

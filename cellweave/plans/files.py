@@ -196,12 +196,12 @@ def report_metrics(spark, sf_dir):
     scored = _scored(spark, sf_dir)
     found = writers.run_report(scored, compare.metrics(scored, ["puzzle"]), "puzzle").where("section = 'metrics'")
     cell = lambda i: F.regexp_extract("html", "^<tr><td>([^<]*)</td><td>([^<]*)%</td></tr>$", i)
-    return found.where("place <> 3").select("puzzle", cell(1).alias("name"), cell(2).cast("double").alias("percent"))
+    return found.select("puzzle", cell(1).alias("name"), cell(2).cast("double").alias("percent"))
 
 
 ORACLE_SQL["report_metrics"] = f"""
 WITH {CELLS_SQL}, {_SCORED}
-SELECT puzzle, unnest(['accuracy', 'precision', 'recall', 'coverage']) AS name, unnest([floor(accuracy * 1000 + 0.5) / 10, floor(precision * 1000 + 0.5) / 10, floor(recall * 1000 + 0.5) / 10, floor(coverage * 1000 + 0.5) / 10]) AS percent FROM m
+SELECT puzzle, unnest(['accuracy', 'precision', 'recall', 'f1', 'coverage']) AS name, unnest([floor(accuracy * 1000 + 0.5) / 10, floor(precision * 1000 + 0.5) / 10, floor(recall * 1000 + 0.5) / 10, floor(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) * 1000 + 0.5) / 10, floor(coverage * 1000 + 0.5) / 10]) AS percent FROM m
 """
 
 

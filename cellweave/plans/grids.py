@@ -275,3 +275,16 @@ SELECT p_partkey, CASE WHEN n BETWEEN 1 AND 27 THEN n WHEN n BETWEEN 10 AND 99 T
   CASE WHEN v BETWEEN 1 AND 27 THEN v WHEN len(d) = 2 THEN CASE WHEN a BETWEEN 1 AND 27 THEN a WHEN b BETWEEN 1 AND 27 THEN b END END AS read,
   CASE WHEN n < 1 THEN 'Value ' || n || ' < 1 (invalid)' WHEN n > 26 THEN 'Value ' || n || ' > 26 (likely OCR error)' END AS reason FROM q
 """
+
+
+@_query
+def saved_puzzles(spark, sf_dir):
+    """a customer's saved order is the last one before 1997; those who order later have it replaced, or get one, by their last order of all."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    last = lambda df: df.groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_totalprice"), F.struct("o_orderdate", "o_orderkey")).alias("o")).select("o_custkey", "o.*")
+    return ops.upsert(last(o.where(F.year("o_orderdate") < 1997)), last(o.where(F.year("o_orderdate") >= 1997)), "o_custkey")
+
+
+ORACLE_SQL["saved_puzzles"] = """
+SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS i FROM orders) WHERE i = 1
+"""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curating, files, grids, scoring, shapes, signals, spectra, streams, symbols, templating, texts
+from . import curating, files, grids, pictures, scoring, shapes, signals, spectra, streams, symbols, templating, texts
 
-_MODULES = (scoring, grids, signals, spectra, streams, curating, symbols, texts, shapes, files, templating)
+_MODULES = (scoring, grids, signals, spectra, streams, pictures, curating, symbols, texts, shapes, files, templating)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

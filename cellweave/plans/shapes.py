@@ -126,19 +126,19 @@ ORACLE_SQL["random_hint"] = f"WITH {CELLS_SQL} SELECT puzzle, row, col FROM (SEL
 
 @_query
 def extended_lines(spark, sf_dir):
-    """Long lines, made to cross the whole image at their middles."""
+    """Long lines, made to cross the whole image at their middles; 150 customers and 10 suppliers are an image."""
     from ..functions.geometry import line_kind
 
     point = lambda *xs: F.struct(*[x.cast("double").alias(n) for n, x in zip(("x1", "y1", "x2", "y2"), xs)])
-    h = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), point(F.lit(0), F.col("c_custkey") % 500, F.col("c_custkey") % 700, F.col("c_custkey") % 500 + F.col("c_custkey") % 7).alias("line"))
-    v = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), point(F.col("s_suppkey") % 900, F.lit(0), F.col("s_suppkey") % 900 + F.col("s_suppkey") % 5, F.lit(1000)).alias("line"))
+    h = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 150).cast("long").alias("k"), point(F.lit(0), F.col("c_custkey") % 500, F.col("c_custkey") % 700, F.col("c_custkey") % 500 + F.col("c_custkey") % 7).alias("line"))
+    v = table(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 10).cast("long").alias("k"), point(F.col("s_suppkey") % 900, F.lit(0), F.col("s_suppkey") % 900 + F.col("s_suppkey") % 5, F.lit(1000)).alias("line"))
     both = ops.extend_lines(ops.long_lines(h.unionByName(v), 1000, 1000), 1000, 1000)
     crossings = ops.midpoint_crossings(both.withColumn("kind", line_kind(F.col("line"))), "k")
     return crossings.groupBy("k").agg(F.count(F.lit(1)).alias("points"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
 
 
 ORACLE_SQL["extended_lines"] = """
-WITH h AS (SELECT c_nationkey AS k, CAST(floor((c_custkey % 500 + c_custkey % 500 + c_custkey % 7) / 2 + 0.5) AS BIGINT) AS y FROM customer WHERE sqrt(pow(c_custkey % 700, 2) + pow(c_custkey % 7, 2)) >= 300),
-v AS (SELECT s_nationkey AS k, CAST(floor((s_suppkey % 900 + s_suppkey % 900 + s_suppkey % 5) / 2 + 0.5) AS BIGINT) AS x FROM supplier)
+WITH h AS (SELECT c_custkey // 150 AS k, CAST(floor((c_custkey % 500 + c_custkey % 500 + c_custkey % 7) / 2 + 0.5) AS BIGINT) AS y FROM customer WHERE sqrt(pow(c_custkey % 700, 2) + pow(c_custkey % 7, 2)) >= 300),
+v AS (SELECT s_suppkey // 10 AS k, CAST(floor((s_suppkey % 900 + s_suppkey % 900 + s_suppkey % 5) / 2 + 0.5) AS BIGINT) AS x FROM supplier)
 SELECT h.k, count(*) AS points, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM h JOIN v ON h.k = v.k GROUP BY h.k
 """

@@ -266,19 +266,19 @@ FROM customer GROUP BY c_nationkey, floor(c_acctbal / 100 / 8), floor(c_custkey
 
 @_query
 def segment_cross(spark, sf_dir):
-    """Customers are near-horizontal lines, suppliers near-vertical ones, by nation."""
+    """Customers are near-horizontal lines, suppliers near-vertical ones; 150 customers and 10 suppliers are an image."""
     from ..functions.geometry import line_kind
 
     point = lambda *xs: F.struct(*[x.cast("double").alias(n) for n, x in zip(("x1", "y1", "x2", "y2"), xs)])
-    h = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), point(F.lit(0), F.col("c_custkey") % 500, F.lit(1000), F.col("c_custkey") % 500 + F.col("c_custkey") % 7).alias("line"))
-    v = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), point(F.col("s_suppkey") % 900, F.lit(0), F.col("s_suppkey") % 900 + F.col("s_suppkey") % 5, F.lit(1000)).alias("line"))
+    h = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 150).cast("long").alias("k"), point(F.lit(0), F.col("c_custkey") % 500, F.lit(1000), F.col("c_custkey") % 500 + F.col("c_custkey") % 7).alias("line"))
+    v = table(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 10).cast("long").alias("k"), point(F.col("s_suppkey") % 900, F.lit(0), F.col("s_suppkey") % 900 + F.col("s_suppkey") % 5, F.lit(1000)).alias("line"))
     lines = h.unionByName(v).withColumn("kind", line_kind(F.col("line")))
     return ops.intersections(lines, "k", 1000, 1000).select("k", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 ORACLE_SQL["segment_cross"] = """
-WITH h AS (SELECT c_nationkey AS k, CAST(c_custkey % 500 AS DOUBLE) AS y1, CAST(c_custkey % 500 + c_custkey % 7 AS DOUBLE) AS y2 FROM customer),
-v AS (SELECT s_nationkey AS k, CAST(s_suppkey % 900 AS DOUBLE) AS x1, CAST(s_suppkey % 900 + s_suppkey % 5 AS DOUBLE) AS x2 FROM supplier),
+WITH h AS (SELECT c_custkey // 150 AS k, CAST(c_custkey % 500 AS DOUBLE) AS y1, CAST(c_custkey % 500 + c_custkey % 7 AS DOUBLE) AS y2 FROM customer),
+v AS (SELECT s_suppkey // 10 AS k, CAST(s_suppkey % 900 AS DOUBLE) AS x1, CAST(s_suppkey % 900 + s_suppkey % 5 AS DOUBLE) AS x2 FROM supplier),
 d AS (SELECT h.k, y1, y2, -1000.0 * -1000.0 - (y1 - y2) * (x1 - x2) AS den, x1, x2 FROM h JOIN v ON h.k = v.k),
 t AS (SELECT *, ((0 - x1) * -1000.0 - (y1 - 0) * (x1 - x2)) / den AS t FROM d WHERE abs(den) >= 1e-10)
 SELECT k, round(t * 1000, 6) + 0.0 AS x, round(y1 + t * (y2 - y1), 6) + 0.0 AS y FROM t WHERE t * 1000 BETWEEN 0 AND 1000 AND y1 + t * (y2 - y1) BETWEEN 0 AND 1000
@@ -287,15 +287,15 @@ SELECT k, round(t * 1000, 6) + 0.0 AS x, round(y1 + t * (y2 - y1), 6) + 0.0 AS y
 
 @_query
 def nearest_row(spark, sf_dir):
-    """Suppliers are words, a nation's distinct customer balances by hundred are rows."""
-    words = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("word"), F.col("s_acctbal").alias("y"))
-    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.floor(F.col("c_acctbal") / 100).cast("long").alias("row")).distinct().withColumn("row_y", F.col("row") * 100.0)
+    """Suppliers are words, the distinct balances of 150 customers, by hundred, the rows of 10 of them."""
+    words = table(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 10).cast("long").alias("k"), F.col("s_suppkey").alias("word"), F.col("s_acctbal").alias("y"))
+    rows = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 150).cast("long").alias("k"), F.floor(F.col("c_acctbal") / 100).cast("long").alias("row")).distinct().withColumn("row_y", F.col("row") * 100.0)
     return ops.nearest_rows(words, rows, "k")
 
 
 ORACLE_SQL["nearest_row"] = """
-WITH r AS (SELECT DISTINCT c_nationkey AS k, CAST(floor(c_acctbal / 100) AS BIGINT) AS row FROM customer)
-SELECT k, word, row FROM (SELECT s_nationkey AS k, s_suppkey AS word, row, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(s_acctbal - row * 100.0), row) AS i FROM supplier JOIN r ON r.k = s_nationkey) WHERE i = 1
+WITH r AS (SELECT DISTINCT c_custkey // 150 AS k, CAST(floor(c_acctbal / 100) AS BIGINT) AS row FROM customer)
+SELECT k, word, row FROM (SELECT s_suppkey // 10 AS k, s_suppkey AS word, row, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(s_acctbal - row * 100.0), row) AS i FROM supplier JOIN r ON r.k = s_suppkey // 10) WHERE i = 1
 """
 
 

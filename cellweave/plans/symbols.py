@@ -90,7 +90,7 @@ ORACLE_SQL["applied_mapping"] = "SELECT user_id || '#' || CAST(ts AS DATE) AS ro
 
 
 def _symbols(spark, sf_dir):
-    """Embeddings as symbol features: the first two components scaled to area and ratio, the next seven as moments."""
+    """Embeddings as symbol features: a symbol has nine, so the first two components are area and ratio, scaled, and the next seven the moments; the others are not read."""
     e = F.col("embedding")
     part = lambda i: F.get(e, F.lit(i)).cast("double")
     return table(spark, sf_dir, "embeddings").where(e.isNotNull()).select(F.col("label").cast("long").alias("puzzle"), F.col("vec_id").alias("ord"), F.col("vec_id").cast("string").alias("hash"), (F.abs(part(0)) * 1000).alias("area"), (1 + part(1)).alias("aspect_ratio"), F.transform(F.slice(e, 3, 7), lambda x: x.cast("double")).alias("moments"))
@@ -109,10 +109,10 @@ ORACLE_SQL["cluster_means"] = f"WITH {_SYMBOLS} SELECT puzzle, count(*) AS membe
 
 @_query
 def nearest_centroid(spark, sf_dir):
-    """Every symbol against the ten label means."""
-    s = _symbols(spark, sf_dir)
-    means = clusters.cluster_means(s, ["puzzle"]).select(F.lit(1).alias("k"), F.col("puzzle").cast("int").alias("cluster"), "area", "aspect_ratio", "moments")
-    return clusters.nearest_centroid(s.withColumn("k", F.lit(1)), means, "k").select("ord", "cluster")
+    """Every symbol against the labels' means; symbols are dealt to parts, and each part meets all means."""
+    s, parts = _symbols(spark, sf_dir), 64
+    means = clusters.cluster_means(s, ["puzzle"]).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("k"), F.col("puzzle").cast("int").alias("cluster"), "area", "aspect_ratio", "moments")
+    return clusters.nearest_centroid(s.withColumn("k", F.pmod(F.hash("ord"), F.lit(parts))), means, "k").select("ord", "cluster")
 
 
 ORACLE_SQL["nearest_centroid"] = f"""
@@ -188,3 +188,26 @@ def sorted_symbols(spark, sf_dir):
 
 
 ORACLE_SQL["sorted_symbols"] = f"WITH {_LETTERS} SELECT lang, upper(symbol_id) AS letter, n, CAST(row_number() OVER (PARTITION BY symbol_id ORDER BY n DESC, lang) AS INT) AS place FROM letters WHERE symbol_id = 'e'"
+
+
+@_query
+def split_clusters(spark, sf_dir):
+    """Labels are clusters of 64-vector puzzles; the largest of each puzzle (the first of equals) is led again."""
+    s = _symbols(spark, sf_dir)
+    members = s.select(F.floor(F.col("ord") / 64).cast("long").alias("puzzle"), "ord", F.col("puzzle").cast("int").alias("cluster"), "area", "aspect_ratio", "moments")
+    sizes = members.groupBy("puzzle", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    chosen = sizes.groupBy("puzzle").agg(F.max_by("cluster", F.struct("n", -F.col("cluster"))).alias("cluster"))
+    return clusters.split_clusters(members, chosen).select("puzzle", "ord", "cluster")
+
+
+ORACLE_SQL["split_clusters"] = f"""
+WITH {_SYMBOLS}, x AS (SELECT ord // 64 AS puzzle, CAST(puzzle AS INT) AS cluster, ord, area, ar, m FROM s),
+n AS (SELECT puzzle, cluster, row_number() OVER (PARTITION BY puzzle ORDER BY count(*) DESC, cluster) AS i FROM x GROUP BY puzzle, cluster),
+mine AS (SELECT x.* FROM x JOIN n ON n.i = 1 AND n.puzzle = x.puzzle AND n.cluster = x.cluster),
+l AS (SELECT puzzle, list({{'ord': ord, 'area': area, 'ar': ar, 'm': m}} ORDER BY ord) AS r FROM mine GROUP BY puzzle),
+f AS (SELECT puzzle, list_reduce(list_transform(r, lambda x: [x]), lambda k, x: CASE WHEN len(list_filter(k, lambda t: 1 / (1 + {_D.format(a='t', b='x[1]')}) >= 0.85)) > 0 THEN k ELSE k || x END) AS seeds FROM l),
+seed AS (SELECT puzzle, part, t.ord AS ord, t.area AS area, t.ar AS ar, t.m AS m FROM (SELECT puzzle, unnest(seeds) AS t, generate_subscripts(seeds, 1) AS part FROM f)),
+led AS (SELECT x.puzzle, x.ord, min(t.part) AS part FROM mine x JOIN seed t ON t.puzzle = x.puzzle AND t.ord <= x.ord AND 1 / (1 + {_D.format(a='t', b='x')}) >= 0.85 GROUP BY x.puzzle, x.ord)
+SELECT x.puzzle, x.ord, CAST(coalesce((SELECT max(cluster) FROM x y WHERE y.puzzle = x.puzzle) + led.part, x.cluster) AS INT) AS cluster
+FROM x LEFT JOIN led ON led.puzzle = x.puzzle AND led.ord = x.ord
+"""

@@ -118,16 +118,16 @@ WHERE event_type <> 'view' AND (before IS NULL OR before <> event_type) GROUP BY
 
 @_query
 def clue_lookup(spark, sf_dir):
-    """Turns by their place, from 0 to the conversation's last; of texts of one place the longest counts; missing places are empty."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("row"), (F.length("text") % 100 / 100).alias("confidence"), F.length("text").alias("size"))
-    found = c.groupBy("conv_id", "row").agg(F.max(F.struct("size", "confidence")).alias("m"))
+    """Turns by their place, from 0 to the conversation's last; of texts of one place the later one counts (by role, then text, as the table has no time); missing places are empty."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("row"), (F.length("text") % 100 / 100).alias("confidence"), F.length("text").alias("size"), F.struct("role", "text").alias("ord"))
+    found = c.groupBy("conv_id", "row").agg(F.max_by(F.struct("size", "confidence"), "ord").alias("m"))
     places = c.groupBy("conv_id").agg(F.max("row").alias("last")).select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).alias("row"))
     size = F.coalesce("m.size", F.lit(0))
     return places.join(found, ["conv_id", "row"], "left").select("conv_id", "row", size.alias("size"), F.coalesce(F.col("m.confidence") < 0.6, F.lit(False)).alias("warn"), text.elapsed(size).alias("elapsed"))
 
 
 ORACLE_SQL["clue_lookup"] = """
-WITH l AS (SELECT conv_id, turn AS row, max(length(text)) AS size FROM conversations GROUP BY ALL),
+WITH l AS (SELECT conv_id, turn AS row, length(text) AS size FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY encode(role) DESC, encode(text) DESC) AS i FROM conversations) WHERE i = 1),
 p AS (SELECT conv_id, CAST(unnest(range(0, max(turn) + 1)) AS BIGINT) AS row FROM conversations GROUP BY conv_id)
 SELECT p.conv_id, p.row, CAST(coalesce(size, 0) AS INT) AS size, coalesce(size % 100 / 100 < 0.6, false) AS warn, printf('%02d:%02d', coalesce(size, 0) // 60, coalesce(size, 0) % 60) AS elapsed
 FROM p LEFT JOIN l ON l.conv_id = p.conv_id AND l.row = p.row

@@ -11,10 +11,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cellweave.functions import chains, digits, geometry, hashes, kernels, text
-from cellweave.operators import cells, clusters, compare, curation, mapping, progress, running, signal, spectrum, templates
+from cellweave.functions import chains, digits, geometry, hashes, kernels, parts, text
+from cellweave.operators import cells, clusters, compare, curation, mapping, pictures, progress, running, signal, spectrum, templates
 from cellweave.plans import registry
-from cellweave.sources import readers, writers
+from cellweave.sources import images, readers, writers
 from cellweave.streaming.early_abort import replayed
 
 SF = "/root/testdata/sf0.001"
@@ -298,6 +298,84 @@ class TestSignals:
         assert df.select(signal.upper_median(F.col("x"))).first()[0] == 3
 
 
+class TestPictures:
+    @staticmethod
+    def flood(x):
+        """Parts of one image by filling, in reading order."""
+        left, out = {(int(y), int(z)) for y, z in np.argwhere(x)}, []
+        while left:
+            part, todo = set(), [min(left)]
+            while todo:
+                p = todo.pop()
+                if p in left:
+                    left.remove(p)
+                    part.add(p)
+                    todo += [(p[0] + a, p[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+            out.append(part)
+        return out
+
+    @pytest.mark.parametrize("share", [0.2, 0.45, 0.7])
+    def test_largest_parts(self, share):
+        images = np.random.default_rng(7).random((60, 9, 13)) < share
+        images[0], images[1] = False, True
+        for x, got in zip(images, parts.largest_parts(images)):
+            found = self.flood(x)
+            if not found:
+                assert got is None
+                continue
+            best = min(found, key=lambda p: (-len(p), min(p)))
+            sides = {p: sum((p[0] + a, p[1] + b) not in best for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))) for p in best}
+            rows, cols = [p[0] for p in best], [p[1] for p in best]
+            assert got == (len(found), len(best), min(rows), min(cols), max(rows), max(cols), sum(sides.values()), sorted(y * 13 + z for (y, z), n in sides.items() if n))
+
+    def test_edges(self):
+        x = np.zeros((2, 12, 12), dtype=np.uint8)
+        x[0, :, 6:] = 200  # a border
+        x[1, 3:9, 3:9] = 20  # a faint square: weak edges that hang together with no strong one
+        found = parts.edges(x, 50, 150)
+        assert found[0].sum(axis=1).tolist() == [1] * 12 and found[0].any(axis=0).sum() == 1
+        assert not found[1].any()
+        x[1, 3, 3:9] = 80
+        assert parts.edges(x, 50, 150)[1].sum() > 10
+
+    def test_files(self, spark, tmp_path):
+        r = np.random.default_rng(8)
+        rows = [(f"a{i}.png", 7, r.integers(0, 256, 7 * (i + 1), dtype=np.uint8).tobytes()) for i in range(4)] + [("bad.png", 7, None)]
+        images.write_images(frame(spark, rows, "name string, width int, pixels binary"), f"{tmp_path}/p").collect()
+        got = {x["image"]["origin"].rsplit("/", 1)[1]: x["image"] for x in images.read_images(spark, f"file://{tmp_path}/p").collect()}
+        assert {n: (g["width"], bytes(g["data"])) for n, g in got.items()} == {n: (w, d) for n, w, d in rows if d}
+
+    def test_lines(self, spark):
+        line = [(1, x, 2 * x + 3) for x in range(0, 40, 2)]
+        cross = [(2, x, 7) for x in range(12)] + [(2, 5, y) for y in range(12)]
+        found = {(r["k"], r["angle"], r["rho"]): r["votes"] for r in pictures.voted_lines(frame(spark, line + cross, "k long, x long, y long"), "k", 180, 11, 8).collect()}
+        top = max((v, k) for k, v in found.items() if k[0] == 1)[1]
+        assert abs(top[1] - 153) <= 1 and found[2, 90, 7] == 12 and found[2, 0, 5] == 12
+
+    def test_filled_up(self, spark):
+        rows = [(i, 0 if i < 7 else 1 if i < 9 else None, [i] * 9) for i in range(10)]
+        df = frame(spark, rows, "vec_id long, label int, pixels array<int>")
+        got = pictures.filled_up(df, 3)
+        assert {r["label"]: r["n"] for r in got.groupBy("label").agg(F.count("*").alias("n")).collect()} == {0: 7, 1: 7, None: 7}
+        assert sorted(map(str, got.collect())) == sorted(map(str, pictures.filled_up(df.repartition(5), 3).collect()))
+        assert all(r["pixels"] == [r["vec_id"]] * 9 for r in got.where("copy = 0").collect()) and got.where("copy > 0").count() == 11
+
+    def test_rectified(self, spark):
+        image = np.zeros((60, 80), dtype=int)
+        image[10:50, 20:70] = np.arange(40)[:, None] // 10 * 5 + np.arange(50)[None, :] // 10
+        assert pictures.rectified(image, [(20, 10), (70, 10), (70, 50), (20, 50)], 4, 5).tolist() == np.arange(20).reshape(4, 5).tolist()
+        corners = [(3.0, 2.0), (71.0, 9.0), (60.0, 55.0), (8.0, 40.0)]
+        quad = frame(spark, [(1, *[v for c in corners for v in c])], "quad long, " + ", ".join(f"{c}{i} double" for i in range(4) for c in "xy"))
+        to = pictures.homography(quad)
+        for (u, v), want in zip(((0, 0), (1, 0), (1, 1), (0, 1)), corners):
+            assert to.select(pictures.mapped("x", F.lit(u), F.lit(v)), pictures.mapped("y", F.lit(u), F.lit(v))).first() == pytest.approx(want)
+        xs, ys = np.meshgrid(np.arange(80), np.arange(60))
+        at = {(r["j"], r["i"]): (r["x"], r["y"]) for r in pictures.perspective_grid(quad, 3).collect()}
+        for plane, n in ((xs, 0), (ys, 1)):
+            flat = pictures.rectified(plane, corners, 3, 3)
+            assert all(flat[k] == int(xy[n]) for k, xy in at.items())
+
+
 class TestSymbols:
     def test_leader_pass_is_the_plain_loop(self, spark):
         r = np.random.default_rng(2)
@@ -464,5 +542,5 @@ class TestKernels:
         seen = Observation("progress")
         assert cells.with_progress(c, seen).count() == 20 and seen.get == {"processed": 20, "recognized": 10}
         m = frame(spark, [(1, i, 0 if i < 4 else 1, float(10 + 90 * (i == 3)), 1.0, [0.0] * 7) for i in range(6)], "puzzle long, ord long, cluster int, area double, aspect_ratio double, moments array<double>")
-        parts = {x["ord"]: x["cluster"] for x in clusters.split_cluster(m, 1, 0).collect()}
+        parts = {x["ord"]: x["cluster"] for x in clusters.split_clusters(m, frame(spark, [(1, 0)], "puzzle long, cluster int")).collect()}
         assert parts == {0: 2, 1: 2, 2: 2, 3: 3, 4: 1, 5: 1}
