@@ -7,9 +7,9 @@ window of ``WINDOW`` tokens in both directions, attention pools their states,
 and a logistic output scores the window.  All windows of a text, overlapping by
 half, are scored; the text's score is the highest.
 
-Training (on the driver) uses a bounded sample of labelled rows, at most
-``positives`` and ``negatives`` of them, the same at every size of input: rows
-with the smallest hash of their identifier.  Labels are for texts, so each round
+Training (by one task, so that no texts come to the driver) uses a bounded sample
+of labelled rows, at most ``positives`` and ``negatives`` of them, the same at every
+size of input: rows with the smallest hash of their identifier.  Labels are for texts, so each round
 trains on the window of each text that scores highest so far.  The schedule is
 one formula: a batch is a 24th of the sample, 16 to ``batch`` windows, and there
 are as many rounds as make ``steps`` steps, ``rounds`` to four times that.
@@ -26,6 +26,7 @@ kept by ``drop_toxic``.
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -323,15 +324,25 @@ class Scorer:
         return sigmoid(np.maximum.reduceat(logits, starts[:-1]).astype(np.float64))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives: int = 3000, folds: int = 4, fold: int = 2) -> tuple[list, list]:
-    """Texts and labels of at most so many labelled rows outside ``fold``, by the smallest hashes of their identifiers."""
+def training_sample(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives: int = 3000, folds: int = 4, fold: int = 2) -> DataFrame:
+    """(doc_id, toxic, text) of at most so many labelled rows outside ``fold``, by the smallest hashes of their identifiers; of rows that repeat one, the smallest text."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("draw", F.xxhash64(F.lit("toxicity"), "doc_id"))
     ids = marks.where("toxic = 1").orderBy("draw").limit(positives).unionByName(marks.where("toxic = 0").orderBy("draw").limit(negatives))
     # at most positives + negatives rows: safe to broadcast whatever the input
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids.select(F.col("doc_id").alias("_id"), "toxic")), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return [r["text"] for r in rows], [r["toxic"] for r in rows]
+    return docs.select("doc_id", "text").join(F.broadcast(ids.select(F.col("doc_id").alias("_id"), "toxic")), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def trained(docs: DataFrame, labels: DataFrame, **options) -> dict:
+    """The network's parameters, learned from :func:`training_sample` by one task: the driver gets parameters, no texts."""
+
+    def run(batches):
+        rows = sorted((r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)))), key=lambda r: r[0])
+        params = train([text for _, _, text in rows], [toxic for _, toxic, _ in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(params)], type=pa.binary())], names=["params"])
+
+    row = training_sample(docs, labels, **options).coalesce(1).mapInArrow(run, "params binary").first()
+    return pickle.loads(row["params"]) if row else train([], [])
 
 
 def score(docs: DataFrame, params: dict, threshold: float = 0.3) -> DataFrame:
@@ -351,13 +362,13 @@ def score(docs: DataFrame, params: dict, threshold: float = 0.3) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, positives: int = 1500, negatives: int = 3000, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
-    params = train(*training_sample(docs, labels, positives, negatives, folds, fold))
+    params = trained(docs, labels, positives=positives, negatives=negatives, folds=folds, fold=fold)
     return score(docs, params, threshold).select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", "predicted")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """Rows of ``docs``, with their columns, whose text scores below ``threshold``."""
-    params = train(*training_sample(docs, labels, **options))
+    params = trained(docs, labels, **options)
     shared = docs.sparkSession.sparkContext.broadcast(params)
     text_at = docs.columns.index("text")
 
