@@ -95,10 +95,11 @@ def train(labelled: DataFrame, centroids: int = 4, sample_per_language: int = 20
         return None
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32)
 
+    # a row per language: far smaller than the model, which holds some vectors for each and goes to all tasks as well
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     draw = F.xxhash64(F.lit("sample"), "doc_id", "text")
     share = F.pmod(draw, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = labelled.join(sizes, "lang").where(share < F.lit(float(sample_per_language)) / F.col("n"))
+    drawn = labelled.join(F.broadcast(sizes), "lang").where(share < F.lit(float(sample_per_language)) / F.col("n"))
     # rows that repeat are drawn alike; one of them is enough, so that about sample_per_language rows a language meet in a task
     sample = drawn.groupBy("lang", "doc_id", draw.alias("draw")).agg(F.min("text").alias("text")).select("draw", "lang", "text")
 
