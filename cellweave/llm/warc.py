@@ -14,7 +14,9 @@ part is written again whole.
 Of records with equal payloads of at least ``min_revisit`` bytes the one with
 the smallest page_id is a response and the others are revisits of it.  Payloads
 are grouped by digest with a partial minimum before the shuffle, so a payload
-that a third of all pages share costs a row per task.
+that a third of all pages share costs a row per task.  Digests alone meet by
+digest; pages, with their payloads, then meet their revisits' rows by page_id and
+digest, so the pages that share a payload are spread over all tasks.
 
 Defined cases: a null html is an empty payload; a null url becomes ``about:blank``;
 white space and control characters in URLs are percent-encoded; a null page_id
@@ -174,7 +176,9 @@ def write_warc(pages: DataFrame, path: str, min_revisit: int = 100, date: str =
     payload = F.coalesce(F.col("html"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"), F.sha2(payload, 256).alias("digest"))
     shared = pages.where(F.octet_length("html") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    marked = pages.join(shared, "digest", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    # rows of an identifier and two hashes; those that are copies of another page
+    copies = pages.select("page_id", "digest").join(shared, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "first").distinct()
+    marked = pages.join(copies, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", F.col("first").alias("refers_to"))
 
     def convert(batches):
         for n, b in enumerate(batches):
