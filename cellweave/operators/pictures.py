@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import parts
+from ..functions import kernels, parts
 
 #: Pictures along each side of a photo.
 ACROSS = 8
@@ -79,6 +79,38 @@ def edge_pixels(pictures: DataFrame, side: int, low: float, high: float, key: st
     return pictures.select(F.col(key).cast("long"), "pixels").mapInArrow(run, f"{key} long, n int, edge string")
 
 
+#: What :func:`kernel_report` tells of a picture, with its Spark type.
+REPORT = {
+    "otsu": "int", "ink": "int", "inverted": "long", "dilated": "long", "eroded": "long", "opened": "long", "closed": "long", "adaptive": "int", "blurred": "double", "halved": "double",
+    "rows": "string", "cols": "string", "nonzero": "double", "two_valued": "double", "laplacian": "double", "skew": "double",
+}
+
+
+def kernel_report(pictures: DataFrame, side: int, key: str = "vec_id") -> DataFrame:
+    """(key, one column for each of :data:`REPORT`): the pixel kernels' results on each picture, as sums, counts and shares."""
+
+    def report(x: np.ndarray) -> tuple:
+        ink = kernels.binarise(x)
+        rows, cols = kernels.projections(ink)
+        total = lambda y: int(y.sum())
+        half = kernels.fit_within(x, side // 2, side // 2)
+        place = np.arange(half.size).reshape(half.shape)
+        shown = lambda p: " ".join(str(int(round(v * side))) for v in p)
+        return (
+            kernels.otsu_threshold(x), total(ink > 0), total(kernels.invert(x)), total(kernels.dilate(x)), total(kernels.erode(x)), total(kernels.open_close(x, "open")), total(kernels.open_close(x, "close")),
+            total(kernels.adaptive_threshold(x, 5, 2) > 0), round(float((kernels.gaussian_blur(x, 5) * np.arange(x.size).reshape(x.shape)).sum()), 4), round(float((half * place).sum()), 6),
+            shown(rows), shown(cols), kernels.nonzero_share(x), kernels.two_valued_share(x), round(kernels.laplacian_variance(x), 6), round(kernels.skew_angle(ink), 6))
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                columns = [*zip(*(report(x) for x in _stack(b.column(1), side).astype(np.float64)))]
+                types = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, type=types[t]) for c, t in zip(columns, REPORT.values())]], names=[key, *REPORT])
+
+    return pictures.select(F.col(key).cast("long"), "pixels").mapInArrow(run, f"{key} long, " + ", ".join(f"{n} {t}" for n, t in REPORT.items()))
+
+
 def angle_table(angles: int) -> list[tuple[int, float, float]]:
     """(number, cosine, sine) of equal steps of half a circle."""
     return [(t, math.cos(math.pi * t / angles), math.sin(math.pi * t / angles)) for t in range(angles)]

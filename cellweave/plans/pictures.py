@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..operators import pictures as ops
 from ..sources.folders import fresh_folder
 from ..sources.images import read_images, write_images
@@ -151,3 +152,44 @@ h AS (SELECT *, (sx * "by" - bx * sy) / (ax * "by" - bx * ay) AS g, (ax * sy - s
 p AS (SELECT quad, i, j, (2 * i + 1) / 6 AS u, (2 * j + 1) / 6 AS v, * FROM h CROSS JOIN (SELECT unnest(range(3)) AS i) CROSS JOIN (SELECT unnest(range(3)) AS j))
 SELECT quad, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(((x1 - x0 + g * x1) * u + (x3 - x0 + h * x3) * v + x0) / (g * u + h * v + 1), 6) AS x, round(((y1 - y0 + g * y1) * u + (y3 - y0 + h * y3) * v + y0) / (g * u + h * v + 1), 6) AS y FROM p
 """
+
+
+@_query
+def picture_kernels(spark, sf_dir):
+    """P1c to P1g, P1i to P1k, P13, F13, W13: thresholds, morphology, blur, halving, projections, shares and skew of each picture."""
+    return ops.kernel_report(_pixels(spark, sf_dir).select("vec_id", "pixels"), SIDE)
+
+
+_LAST = SIDE - 1
+_GAUSS = ", ".join(f"({d - 2}, {w!r})" for d, w in enumerate(kernels.gaussian_kernel(5).tolist()))
+
+
+def _spread_sql(name: str, of: str, f: str) -> str:
+    """Each pixel's greatest or least neighbour, itself included; outside there is nothing."""
+    return f"{name} AS (SELECT a.vec_id, a.y, a.x, a.i, {f}(b.v) AS v FROM {of} a JOIN {of} b ON b.vec_id = a.vec_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL)"
+
+
+ORACLE_SQL["picture_kernels"] = f"""
+WITH {_PIXELS}, d AS MATERIALIZED (SELECT * FROM dot), g(o, w) AS (VALUES {_GAUSS}),
+hist AS (SELECT vec_id, v, count(*) AS n FROM d GROUP BY vec_id, v),
+cum AS (SELECT *, CAST(sum(n) OVER w AS DOUBLE) AS below, CAST(sum(n * v) OVER w AS DOUBLE) AS mass, CAST(sum(n) OVER (PARTITION BY vec_id) AS DOUBLE) AS every, CAST(sum(n * v) OVER (PARTITION BY vec_id) AS DOUBLE) AS whole FROM hist WINDOW w AS (PARTITION BY vec_id ORDER BY v)),
+var AS (SELECT vec_id, v, CASE WHEN every > below THEN below * (every - below) * pow(mass / below - (whole - mass) / (every - below), 2) ELSE 0 END AS between_ FROM cum),
+otsu AS (SELECT vec_id, CASE WHEN max(between_) > 0 THEN arg_min(v, v) FILTER (between_ = most) ELSE 0 END AS t FROM (SELECT *, max(between_) OVER (PARTITION BY vec_id) AS most FROM var) GROUP BY vec_id),
+ink AS MATERIALIZED (SELECT d.*, CASE WHEN v > t THEN 1 ELSE 0 END AS b FROM d JOIN otsu USING (vec_id)),
+{_spread_sql("dil", "d", "max")}, {_spread_sql("ero", "d", "min")}, {_spread_sql("ope", "ero", "max")}, {_spread_sql("clo", "dil", "min")},
+box AS (SELECT d.vec_id, d.i, d.v, sum(n.v) AS s FROM d CROSS JOIN (SELECT unnest(range(-2, 3)) AS dy) CROSS JOIN (SELECT unnest(range(-2, 3)) AS dx) JOIN d n ON n.vec_id = d.vec_id AND n.y = greatest(0, least({_LAST}, d.y + dy)) AND n.x = greatest(0, least({_LAST}, d.x + dx)) GROUP BY ALL),
+blur AS (SELECT d.vec_id, sum(d.i * n.v * CAST(a.w AS DOUBLE) * CAST(b.w AS DOUBLE)) AS s FROM d CROSS JOIN g a CROSS JOIN g b JOIN d n ON n.vec_id = d.vec_id AND n.y = {_LAST} - abs({_LAST} - abs(d.y + a.o)) AND n.x = {_LAST} - abs({_LAST} - abs(d.x + b.o)) GROUP BY d.vec_id),
+lap AS (SELECT d.vec_id, d.i, sum(n.v) - 4 * d.v AS l FROM d JOIN (SELECT * FROM (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) t(dy, dx)) o ON true JOIN d n ON n.vec_id = d.vec_id AND n.y = greatest(0, least({_LAST}, d.y + dy)) AND n.x = greatest(0, least({_LAST}, d.x + dx)) GROUP BY d.vec_id, d.i, d.v),
+mean AS (SELECT vec_id, sum(b) AS n, sum(y * b) / sum(b) AS cy, sum(x * b) / sum(b) AS cx FROM ink GROUP BY vec_id),
+mom AS (SELECT ink.vec_id, n, sum(255 * b * (x - cx) * (y - cy)) AS m11, sum(255 * b * (x - cx) * (x - cx)) AS m20, sum(255 * b * (y - cy) * (y - cy)) AS m02 FROM ink JOIN mean USING (vec_id) GROUP BY ink.vec_id, n),
+skew AS (SELECT vec_id, CASE WHEN n = 0 OR abs(m02) < 1e-2 OR abs(degrees(0.5 * atan2(2 * m11, m20 - m02))) > 15 THEN 0.0 ELSE degrees(0.5 * atan2(2 * m11, m20 - m02)) END AS a FROM mom),
+lines AS (SELECT vec_id, string_agg(CAST(n AS VARCHAR), ' ' ORDER BY y) AS s FROM (SELECT vec_id, y, sum(b) AS n FROM ink GROUP BY ALL) GROUP BY vec_id),
+columns_ AS (SELECT vec_id, string_agg(CAST(n AS VARCHAR), ' ' ORDER BY x) AS s FROM (SELECT vec_id, x, sum(b) AS n FROM ink GROUP BY ALL) GROUP BY vec_id),
+total AS (SELECT vec_id, sum(255 - v) AS inverted, sum(b) AS ink, sum((y // 2 * {SIDE // 2} + x // 2) * v) / 4 AS halved, count(*) FILTER (v > 0) / {SIDE * SIDE} AS nonzero, count(*) FILTER (v IN (0, 255)) / {SIDE * SIDE} AS two FROM ink GROUP BY vec_id)
+SELECT t.vec_id, CAST(otsu.t AS INT) AS otsu, CAST(t.ink AS INT) AS ink, CAST(inverted AS BIGINT) AS inverted,
+  (SELECT CAST(sum(v) AS BIGINT) FROM dil WHERE dil.vec_id = t.vec_id) AS dilated, (SELECT CAST(sum(v) AS BIGINT) FROM ero WHERE ero.vec_id = t.vec_id) AS eroded,
+  (SELECT CAST(sum(v) AS BIGINT) FROM ope WHERE ope.vec_id = t.vec_id) AS opened, (SELECT CAST(sum(v) AS BIGINT) FROM clo WHERE clo.vec_id = t.vec_id) AS closed,
+  (SELECT CAST(count(*) AS INT) FROM box WHERE box.vec_id = t.vec_id AND v > s / 25 - 2) AS adaptive, round(blur.s, 4) AS blurred, round(halved, 6) AS halved, lines.s AS rows, columns_.s AS cols, nonzero, two AS two_valued,
+  (SELECT round(var_pop(l), 6) FROM lap WHERE lap.vec_id = t.vec_id) AS laplacian, round(skew.a, 6) AS skew
+FROM total t JOIN otsu USING (vec_id) JOIN blur USING (vec_id) JOIN skew USING (vec_id) JOIN lines USING (vec_id) JOIN columns_ USING (vec_id)
+"""

@@ -145,3 +145,26 @@ ORACLE_SQL["formatted"] = """
 SELECT p_partkey, p_brand || '.v1' AS stem, right(regexp_replace(upper(p_type), '[^A-ZÀ-Ü]', '', 'g'), 1) AS letter,
   list_concat(list_transform(string_split(CAST(p_size AS VARCHAR), ''), lambda c: CAST(c AS INT) + 1), [0, 0, 0, 0])[1:4] AS codes, '2020-01-01T10-20-30' AS stamp FROM part
 """
+
+
+@_query
+def scalar_rules(spark, sf_dir):
+    """Readings, confidences, log lines, similarities and roundings of parts."""
+    from ..functions import digits, geometry
+
+    p = table(spark, sf_dir, "part")
+    price = F.col("p_retailprice")
+    line = F.concat(F.lit("[ocr] pista "), (F.col("p_partkey") % 31).cast("string"), F.lit(': "'), F.col("p_type"), F.lit('" conf='), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 7 > 0, "%").otherwise(""))
+    return p.select(
+        "p_partkey", digits.strict_number(F.concat(F.lit("n"), (F.col("p_partkey") % 131).cast("string"), F.lit(" x"))).alias("s"), text.log_line(line).alias("l"), text.clamp_confidence(price / 10 - 20).alias("confidence"),
+        F.round(geometry.feature_similarity(price / 1000), 9).alias("similarity"), F.round(geometry.hu_log(price / 1000 - 1.2), 7).alias("hu"), digits.js_round(F.col("p_size") / 2 - 12).alias("rounded"),
+    ).select("p_partkey", "s.number", "s.digits", F.col("l.number").alias("clue"), "l.text", F.col("l.confidence").alias("percent"), "confidence", "similarity", "hu", "rounded")
+
+
+ORACLE_SQL["scalar_rules"] = """
+WITH p AS (SELECT *, CAST(p_partkey % 131 AS VARCHAR) AS d, p_retailprice / 1000 - 1.2::DOUBLE AS h FROM part)
+SELECT p_partkey, CASE WHEN CAST(left(d, 2) AS INT) BETWEEN 1 AND 27 THEN CAST(left(d, 2) AS INT) END AS number, d AS digits,
+  CASE WHEN p_partkey % 7 > 0 THEN CAST(p_partkey % 31 AS VARCHAR) END AS clue, CASE WHEN p_partkey % 7 > 0 THEN p_type END AS text, CASE WHEN p_partkey % 7 > 0 THEN CAST(p_size AS VARCHAR) END AS percent,
+  greatest(0.0::DOUBLE, least(1.0::DOUBLE, (p_retailprice / 10 - 20) / 100)) AS confidence, round(1 / (1 + p_retailprice / 1000), 9) AS similarity, round(-sign(h) * log10(abs(h) + 1), 7) AS hu, CAST(floor(p_size / 2 - 12 + 0.5) AS BIGINT) AS rounded
+FROM p
+"""
