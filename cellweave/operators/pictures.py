@@ -116,14 +116,14 @@ def angle_table(angles: int) -> list[tuple[int, float, float]]:
     return [(t, math.cos(math.pi * t / angles), math.sin(math.pi * t / angles)) for t in range(angles)]
 
 
-def voted_lines(points: DataFrame, key: str, angles: int, least: int, apart: int) -> DataFrame:
+def voted_lines(points: DataFrame, key: str, angles: int, least: int, apart: int, only: tuple[int, ...] | None = None) -> DataFrame:
     """(key, angle, rho, votes): lines x cos + y sin = rho that at least ``least`` points (key, x, y) lie on, to half a step.
 
-    Every point votes once for each angle; votes are summed before they are shuffled.  Of lines
+    Every point votes once for each angle (of those in ``only``, if given); votes are summed before they are shuffled.  Of lines
     within ``apart`` steps of angle and distance of one another only the one with the most votes
     stays (the lower angle, then distance, of equals): each cell meets its neighbours by an equi-join.
     """
-    table = F.array(*[F.struct(F.lit(t).alias("angle"), F.lit(c).alias("c"), F.lit(s).alias("s")) for t, c, s in angle_table(angles)])
+    table = F.array(*[F.struct(F.lit(t).alias("angle"), F.lit(c).alias("c"), F.lit(s).alias("s")) for t, c, s in angle_table(angles) if only is None or t in only])
     cast = points.select(key, "x", "y", F.explode(table).alias("a")).select(key, "a.angle", F.floor(F.col("x") * F.col("a.c") + F.col("y") * F.col("a.s") + 0.5).alias("rho"))
     votes = cast.groupBy(key, "angle", "rho").agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= least)
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(r).alias("r")) for a in range(-apart, apart + 1) for r in range(-apart, apart + 1) if a or r])
@@ -133,6 +133,59 @@ def voted_lines(points: DataFrame, key: str, angles: int, least: int, apart: int
     return votes.join(best, [key, "angle", "rho"], "left").where(F.col("_best").isNull() | (own > F.col("_best"))).select(key, "angle", "rho", "votes")
 
 
+def draw_grids(grids: DataFrame, pitch: int, margin: int, dark: int = 20, paper: int = 230) -> DataFrame:
+    """(name, width, pixels) of photos of grids (name, rows, cols, marks: array of (i, j)): dark lines ``pitch`` apart, a dot in each marked cell."""
+
+    def run(batches):
+        for b in batches:
+            widths, data = [], []
+            for rows, cols, marks in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
+                x = np.full((2 * margin + rows * pitch + 1, 2 * margin + cols * pitch + 1), paper, dtype=np.uint8)
+                end_y, end_x = margin + rows * pitch + 1, margin + cols * pitch + 1
+                x[margin:end_y:pitch, margin:end_x] = dark
+                x[margin:end_y, margin:end_x:pitch] = dark
+                for m in marks:
+                    y, z = margin + m["i"] * pitch + pitch // 2, margin + m["j"] * pitch + pitch // 2
+                    x[y : y + 2, z : z + 2] = dark
+                widths.append(x.shape[1])
+                data.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(widths, type=pa.int32()), pa.array(data, type=pa.binary())], names=["name", "width", "pixels"])
+
+    return grids.select("name", "rows", "cols", "marks").mapInArrow(run, "name string, width int, pixels binary")
+
+
+def dark_points(images: DataFrame) -> DataFrame:
+    """(origin, height, width, x, y): the dark pixels of Spark's image rows, those not above Otsu's threshold."""
+
+    def run(batches):
+        for b in batches:
+            for origin, height, width, channels, data in zip(*(b.column(i).to_pylist() for i in range(5))):
+                y, x = np.nonzero(kernels.binarise(kernels.grey(data, height, width, channels), inverted=True))
+                n = len(y)
+                yield pa.RecordBatch.from_arrays([pa.array([origin] * n, type=pa.string()), pa.array([height] * n, type=pa.int32()), pa.array([width] * n, type=pa.int32()), pa.array(x), pa.array(y)], names=["origin", "height", "width", "x", "y"])
+
+    return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(run, "origin string, height int, width int, x long, y long")
+
+
+def detected_grids(points: DataFrame, share: float = 0.6, apart: float = 2) -> DataFrame:
+    """(origin, rows, cols, left, top, right, bottom): the grid that the long straight lines of each photo form.
+
+    Lines are voted for near the two axes; level ones are kept if their votes are ``share`` of the photo's width,
+    upright ones of its height; lines at most ``apart`` pixels from one another are one; a grid needs two each way.
+    """
+    from .signal import merge_close
+
+    quarter = 18
+    lines = voted_lines(points, "origin", 2 * quarter, 12, 1, (0, 1, quarter - 1, quarter, quarter + 1, 2 * quarter - 1))
+    sizes = points.groupBy("origin").agg(F.max("height").alias("_h"), F.max("width").alias("_w"))
+    level, upright = F.col("angle") == quarter, F.col("angle") == 0
+    kept = lines.join(sizes, "origin").where((level & (F.col("votes") >= share * F.col("_w"))) | (upright & (F.col("votes") >= share * F.col("_h"))))
+    keyed = kept.select(F.concat(F.when(level, "y#").otherwise("x#"), "origin").alias("axis"), F.col("rho").alias("pos"))
+    merged = merge_close(keyed, "axis", apart).groupBy("axis").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first"), F.max("line").alias("last")).where("n > 1")
+    of = lambda axis, first, last, n: merged.where(F.col("axis").startswith(axis)).select(F.expr("substring(axis, 3)").alias("origin"), F.col("first").alias(first), F.col("last").alias(last), (F.col("n") - 1).alias(n))
+    return of("y#", "top", "bottom", "rows").join(of("x#", "left", "right", "cols"), "origin").select("origin", "rows", "cols", "left", "top", "right", "bottom")
+
+
 def filled_up(pictures: DataFrame, side: int, key: str = "vec_id", label: str = "label") -> DataFrame:
     """(label, key, copy, pixels): every picture (copy 0), and copies until each label has as many as the most frequent one.
 

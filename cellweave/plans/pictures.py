@@ -8,7 +8,7 @@ from ..functions import kernels
 from ..operators import pictures as ops
 from ..sources.folders import fresh_folder
 from ..sources.images import read_images, write_images
-from .tables import HOURS_SQL, hours, table
+from .tables import CELLS_SQL, HOURS_SQL, cells, hours, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -193,3 +193,24 @@ SELECT t.vec_id, CAST(otsu.t AS INT) AS otsu, CAST(t.ink AS INT) AS ink, CAST(in
   (SELECT round(var_pop(l), 6) FROM lap WHERE lap.vec_id = t.vec_id) AS laplacian, round(skew.a, 6) AS skew
 FROM total t JOIN otsu USING (vec_id) JOIN blur USING (vec_id) JOIN skew USING (vec_id) JOIN lines USING (vec_id) JOIN columns_ USING (vec_id)
 """
+
+
+@_query
+def photo_grids(spark, sf_dir):
+    """Photos of the grids of eight puzzles each are drawn, written, read, and their grids found from their lines' votes."""
+    c = cells(spark, sf_dir).select(F.floor(F.col("puzzle") / 8).cast("long").alias("photo"), (F.col("puzzle") % 8 * 12 + F.col("row")).cast("int").alias("line"), (F.col("col") - 1).alias("j"), "number")
+    # a photo has 96 lines at most: they close up where orders are missing
+    lines = c.groupBy("photo", "line").agg(F.max("j").alias("last"), F.collect_list(F.when(F.col("number") % 2 == 0, F.col("j"))).alias("even"))
+    held = lines.groupBy("photo").agg(F.max("last").alias("last"), F.array_sort(F.collect_list(F.struct("line", "even"))).alias("l"))
+    marks = F.flatten(F.transform("l", lambda r, i: F.transform(r["even"], lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    grids = held.select(F.format_string("photo-%d.png", "photo").alias("name"), F.size("l").alias("rows"), (F.col("last") + 1).alias("cols"), marks.alias("marks"))
+    folder = fresh_folder(spark, "grids")
+    write_images(ops.draw_grids(grids, pitch=6, margin=5), folder).write.format("noop").mode("overwrite").save()
+    found = ops.detected_grids(ops.dark_points(read_images(spark, folder)))
+    return found.select(F.regexp_extract("origin", r"photo-(\d+)\.png$", 1).cast("long").alias("photo"), "rows", "cols", "left", "top", "right", "bottom")
+
+
+ORACLE_SQL["photo_grids"] = f"""
+WITH {CELLS_SQL}, p AS (SELECT puzzle // 8 AS photo, count(DISTINCT (puzzle, row)) AS rows, max(col) AS cols FROM cells GROUP BY ALL)
+SELECT photo, rows, CAST(cols AS BIGINT) AS cols, CAST(5 AS DOUBLE) AS "left", CAST(5 AS DOUBLE) AS top, CAST(5 + 6 * cols AS DOUBLE) AS "right", CAST(5 + 6 * rows AS DOUBLE) AS bottom FROM p
+"""
