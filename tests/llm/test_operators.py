@@ -159,6 +159,31 @@ class TestNearCopies:
         stage = dict(corpus_pipeline.STAGES)["near-dedup"]
         assert {r["doc_id"] for r in stage(spark, docs, "").collect()} == set(want.values())
 
+    def test_the_table_against_an_exact_join(self, spark):
+        """All documents of a table: every component, and so every link between different texts, of an exact join is found."""
+        rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+        sets = {i: near_copies.shingle_set(t, 5) for i, t in rows}
+        holders = defaultdict(list)
+        for i, s in sets.items():
+            for x in s.tolist() or [None]:
+                holders[x].append(i)
+        common = defaultdict(int)
+        for ids in holders.values():
+            for k, i in enumerate(ids):
+                for j in ids[:k]:
+                    common[i, j] += 1
+        links = [(i, j) for (i, j), n in common.items() if not len(sets[i]) or n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
+        assert len(links) > 50
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r["doc_id"]: r["component_id"] for r in near_copies.similar_components(docs).collect()} == components(links, sets)
+
+    def test_bits_keep_what_is_asked_for(self, spark):
+        table = spark.range(5000).withColumnRenamed("id", "k")
+        for bits in (64, 1 << 20):
+            kept = {r["k"] for r in near_copies.met(table, "k", spark.range(0, 5000, 50), bits).collect()}
+            assert set(range(0, 5000, 50)) <= kept and (bits == 64 or len(kept) < 150)
+        assert near_copies.met(table, "k", spark.range(0)).count() == 0
+
     @pytest.mark.parametrize("piece_size", [3, 1024])
     def test_cross_links_are_whole(self, spark, piece_size):
         r, rows = np.random.default_rng(9), []
@@ -617,6 +642,14 @@ def test_tables_of_a_failing_step_and_of_two_runs(spark):
     assert not there(paths[2]) and not there(paths[3]) and there(paths[4])
 
 
+def test_training_is_one_task_and_the_same_again(spark):
+    docs = spark.createDataFrame(corpus(60), DOCS)
+    labels = spark.createDataFrame([(i, y) for i, *_, y in corpus(60)], "doc_id long, toxic int")
+    a, b = (toxicity.trained(d, labels, folds=4, fold=2) for d in (docs, docs.repartition(7)))
+    assert a.keys() == b.keys() and all(np.array_equal(a[k], b[k]) for k in a)
+    assert toxicity.trained(docs.limit(0), labels.limit(0)) == toxicity.train([], [])
+
+
 def test_scorer_is_the_plain_network():
     """Scores against a loop over windows, tokens and gates, one at a time, with the parameters of a trained network."""
     texts = [t for _, t, _, _, _ in corpus(120)]
