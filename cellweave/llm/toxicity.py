@@ -26,8 +26,10 @@ kept by ``drop_toxic``.
 
 from __future__ import annotations
 
+import multiprocessing
 import pickle
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -333,13 +335,37 @@ def training_sample(docs: DataFrame, labels: DataFrame, positives: int = 1500, n
     return docs.select("doc_id", "text").join(F.broadcast(ids.select(F.col("doc_id").alias("_id"), "toxic")), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
+def in_a_child(work: Callable[[], object]) -> bytes:
+    """What ``work`` returns, pickled, from a process of its own: the worker that Spark keeps for later tasks does not keep the memory that it took."""
+    context = multiprocessing.get_context("fork")
+    here, there = context.Pipe(duplex=False)
+
+    def run() -> None:
+        try:
+            there.send_bytes(b"+" + pickle.dumps(work()))
+        except BaseException as e:
+            there.send_bytes(b"-" + repr(e).encode())
+
+    child = context.Process(target=run)
+    child.start()
+    there.close()
+    try:
+        answer = here.recv_bytes()
+    except EOFError:
+        answer = b"-the process ended without an answer"
+    child.join()
+    if answer[:1] == b"-":
+        raise RuntimeError(answer[1:].decode("utf-8", "replace"))
+    return answer[1:]
+
+
 def trained(docs: DataFrame, labels: DataFrame, **options) -> dict:
     """The network's parameters, learned from :func:`training_sample` by one task: the driver gets parameters, no texts."""
 
     def run(batches):
         rows = sorted((r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)))), key=lambda r: r[0])
-        params = train([text for _, _, text in rows], [toxic for _, toxic, _ in rows])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(params)], type=pa.binary())], names=["params"])
+        params = in_a_child(lambda: train([text for _, _, text in rows], [toxic for _, toxic, _ in rows]))
+        yield pa.RecordBatch.from_arrays([pa.array([params], type=pa.binary())], names=["params"])
 
     row = training_sample(docs, labels, **options).coalesce(1).mapInArrow(run, "params binary").first()
     return pickle.loads(row["params"]) if row else train([], [])
