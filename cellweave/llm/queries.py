@@ -16,45 +16,55 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of the sources to weights 3, 1, 2 takes of each document; nulls count 0 words, repeated rows are rows of their own."""
     return mixing.mix_report(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of those that differ in at most 2 bits; texts without words share the fingerprint 0."""
     found = simhash.simhash_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all vectors by cosine 0.95; null, zero and non-finite vectors stand alone."""
     return embedding_dedup.embedding_components(_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that a 50-byte string of an earlier one covers; null texts have none, a null doc_id is the last."""
     return suffix_dedup.repeat_report(_table(spark, sf_dir, "documents"))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages learned from two thirds of the labelled documents and predicted for all; texts without a letter are und."""
     return language.identify(_table(spark, sf_dir, "documents"), folds=3, fold=1)
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every twentieth vector with all others; null and non-finite vectors take no part."""
     vectors = topk.whole_vectors(_table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text through the pair occurrence index and back; null texts are empty."""
     return bpe.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as a record of token files, in order of doc_id, read back from them; null texts hold the end id alone."""
     return token_records.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, by way of ARC, read back from the archives; null pages are empty payloads."""
     found = warc.archive_pages(_table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a network that learned from three quarters of the labelled ones; empty texts are scored too."""
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=4, fold=2, threshold=0.3)
 
 
