@@ -142,3 +142,19 @@ WITH h AS (SELECT c_custkey // 150 AS k, CAST(floor((c_custkey % 500 + c_custkey
 v AS (SELECT s_suppkey // 10 AS k, CAST(floor((s_suppkey % 900 + s_suppkey % 900 + s_suppkey % 5) / 2 + 0.5) AS BIGINT) AS x FROM supplier)
 SELECT h.k, count(*) AS points, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y FROM h JOIN v ON h.k = v.k GROUP BY h.k
 """
+
+
+@_query
+def table_points(spark, sf_dir):
+    """The crossing points of each puzzle's row and column positions, 10 and 8 pixels apart."""
+    c = cells(spark, sf_dir)
+    grid = c.groupBy("puzzle").agg(F.array_sort(F.collect_set(F.col("row") * 10)).alias("row_positions"), F.array_sort(F.collect_set(F.col("col") * 8)).alias("col_positions"))
+    points = ops.table_structure(grid).select("puzzle", F.posexplode("points").alias("line", "row")).select("puzzle", "line", F.posexplode("row").alias("place", "p"))
+    return points.select("puzzle", "line", "place", "p.x", "p.y")
+
+
+ORACLE_SQL["table_points"] = f"""
+WITH {CELLS_SQL}, r AS (SELECT DISTINCT puzzle, row FROM cells), c AS (SELECT DISTINCT puzzle, col FROM cells)
+SELECT r.puzzle, CAST(dense_rank() OVER (PARTITION BY r.puzzle ORDER BY row) - 1 AS INT) AS line, CAST(dense_rank() OVER (PARTITION BY r.puzzle ORDER BY col) - 1 AS INT) AS place, CAST(col * 8 AS INT) AS x, CAST(row * 10 AS INT) AS y
+FROM r JOIN c ON c.puzzle = r.puzzle
+"""
