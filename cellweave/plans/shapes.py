@@ -17,10 +17,11 @@ def _query(fn):
 
 
 def _boxes(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("k"), F.col("p_partkey").alias("ord"), (F.col("p_size") * (20 + F.col("p_partkey") % 17) * 0.8).alias("area"), (3 + F.col("p_partkey") % 4).alias("vertices"), (F.col("p_size") * 1.0).alias("width"), (20 + F.col("p_partkey") % 17).cast("double").alias("height"), (F.col("p_partkey") % 300).cast("double").alias("x"))
+    """200 parts are the boxes of an image."""
+    return table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 200).cast("long").alias("k"), F.col("p_partkey").alias("ord"), (F.col("p_size") * (20 + F.col("p_partkey") % 17) * 0.8).alias("area"), (3 + F.col("p_partkey") % 4).alias("vertices"), (F.col("p_size") * 1.0).alias("width"), (20 + F.col("p_partkey") % 17).cast("double").alias("height"), (F.col("p_partkey") % 300).cast("double").alias("x"))
 
 
-_BOXES = "b AS (SELECT p_brand AS k, p_partkey AS ord, p_size * (20 + p_partkey % 17) * 0.8::DOUBLE AS area, 3 + p_partkey % 4 AS vertices, CAST(p_size AS DOUBLE) AS width, CAST(20 + p_partkey % 17 AS DOUBLE) AS height, CAST(p_partkey % 300 AS DOUBLE) AS x FROM part)"
+_BOXES = "b AS (SELECT p_partkey // 200 AS k, p_partkey AS ord, p_size * (20 + p_partkey % 17) * 0.8::DOUBLE AS area, 3 + p_partkey % 4 AS vertices, CAST(p_size AS DOUBLE) AS width, CAST(20 + p_partkey % 17 AS DOUBLE) AS height, CAST(p_partkey % 300 AS DOUBLE) AS x FROM part)"
 
 
 @_query
@@ -89,13 +90,13 @@ SELECT p_partkey, CASE WHEN w > 4 AND h > 4 THEN l END AS x, CASE WHEN w > 4 AND
 
 @_query
 def highlighted_letters(spark, sf_dir):
-    """The parts of a brand, in order, give the letters of a word."""
-    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("k"), F.col("p_partkey").alias("ord"), F.upper("p_type").alias("answer"))
+    """200 parts, in order, give the letters of a word."""
+    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 200).cast("long").alias("k"), F.col("p_partkey").alias("ord"), F.upper("p_type").alias("answer"))
     return ops.highlight_letters(p, "k", F.lit("STEEL"))
 
 
 ORACLE_SQL["highlighted_letters"] = """
-WITH w AS (SELECT p_brand AS k, p_partkey AS ord, upper(p_type) AS a, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),
+WITH w AS (SELECT p_partkey // 200 AS k, p_partkey AS ord, upper(p_type) AS a, row_number() OVER (PARTITION BY p_partkey // 200 ORDER BY p_partkey) AS i FROM part),
 f AS (SELECT k, list_reduce(list({'next': 1, 'hits': [{'ord': ord, 'place': -1}], 'a': a} ORDER BY i) , lambda s, x: CASE WHEN s.next <= 5 AND instr(x.a, 'STEEL'[s.next]) > 0 THEN {'next': s.next + 1, 'hits': s.hits || [{'ord': x.hits[1].ord, 'place': CAST(instr(x.a, 'STEEL'[s.next]) - 1 AS INT)}], 'a': ''} ELSE s END, {'next': 1, 'hits': [{'ord': CAST(0 AS BIGINT), 'place': -1}], 'a': ''}) AS s FROM w GROUP BY k)
 SELECT k, h.ord AS ord, h.place AS place FROM (SELECT k, unnest(s.hits[2:]) AS h FROM f)
 """
