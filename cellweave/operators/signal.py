@@ -211,13 +211,27 @@ def vote_accumulator(points: DataFrame, key: str, x: Column, y: Column, size: in
     return points.groupBy(key, F.floor(x / size).alias("bx"), F.floor(y / size).alias("by")).agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= least).select(key, ((F.col("bx") + 0.5) * size).alias("x"), ((F.col("by") + 0.5) * size).alias("y"), "votes")
 
 
-def intersections(lines: DataFrame, key: str, width: float, height: float) -> DataFrame:
-    """Where a key's horizontal and vertical lines cross, inside the image.  Lines: key, kind, line (struct)."""
+def dealt_pairs(one: DataFrame, other: DataFrame, key: str, parts: int = 64) -> DataFrame:
+    """All pairs of a key's rows of two tables.  A key may hold a share of all rows: its rows of the first are dealt to ``parts`` parts, each of which meets all its rows of the other."""
+    dealt = one.withColumn("_part", F.pmod(F.xxhash64(*[c for c in one.columns if c != key]), F.lit(parts)).cast("int")).repartition(4 * parts, key, "_part")
+    every = other.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(every.hint("shuffle_hash"), [key, "_part"]).drop("_part")
+
+
+def intersections(lines: DataFrame, key: str, width: float, height: float, decimals: int) -> DataFrame:
+    """Where a key's horizontal and vertical lines cross, inside the image, a row for each pair.  Lines: key, kind, line (struct).
+
+    Equal lines of a key are one row, with their number, until their crossings are known and rounded.
+    """
     from ..functions.geometry import line_intersection
 
-    h, v = lines.where("kind = 'horizontal'").select(key, F.col("line").alias("h")), lines.where("kind = 'vertical'").select(key, F.col("line").alias("v"))
-    p = h.join(v, key).select(key, line_intersection(F.col("h"), F.col("v")).alias("p"))
-    return p.where(F.col("p").isNotNull() & F.col("p.x").between(0, width) & F.col("p.y").between(0, height)).select(key, "p.x", "p.y")
+    counted = lines.groupBy(key, "kind", "line").agg(F.count(F.lit(1)).alias("_n"))
+    h, v = (counted.where(F.col("kind") == kind).select(key, F.col("line").alias(name), F.col("_n").alias(f"_{name}")) for kind, name in (("horizontal", "h"), ("vertical", "v")))
+    p = dealt_pairs(h, v, key).select(key, line_intersection(F.col("h"), F.col("v")).alias("p"), "_h", "_v")
+    inside = p.where(F.col("p").isNotNull() & F.col("p.x").between(0, width) & F.col("p.y").between(0, height))
+    found = inside.select(key, F.round("p.x", decimals).alias("x"), F.round("p.y", decimals).alias("y"), "_h", "_v")
+    times = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))
+    return found.select(key, "x", "y", "_v", times("_h")).select(key, "x", "y", times("_v")).select(key, "x", "y")
 
 
 def nearest_rows(words: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -545,3 +545,18 @@ class TestKernels:
         m = frame(spark, [(1, i, 0 if i < 4 else 1, float(10 + 90 * (i == 3)), 1.0, [0.0] * 7) for i in range(6)], "puzzle long, ord long, cluster int, area double, aspect_ratio double, moments array<double>")
         parts = {x["ord"]: x["cluster"] for x in clusters.split_clusters(m, frame(spark, [(1, 0)], "puzzle long, cluster int")).collect()}
         assert parts == {0: 2, 1: 2, 2: 2, 3: 3, 4: 1, 5: 1}
+
+
+def test_segments_of_a_nation_all_cross(spark):
+    """Every customer's line meets every supplier's of its nation, wherever their keys lie."""
+    count = lambda t, k: {r[k]: r["count"] for r in spark.read.parquet(f"{SF}/{t}.parquet").groupBy(k).count().collect()}
+    c, s = count("customer", "c_nationkey"), count("supplier", "s_nationkey")
+    crossed = registry.QUERIES["segment_cross"](spark, SF).count()
+    assert crossed == sum(n * s.get(k, 0) for k, n in c.items())
+
+
+def test_dealt_pairs(spark):
+    one = frame(spark, [(k, i % 3) for k, n in ((1, 40), (2, 1), (3, 5)) for i in range(n)], "k int, a int")
+    other = frame(spark, [(k, i) for k, n in ((1, 7), (2, 3), (4, 2)) for i in range(n)], "k int, b int")
+    for parts_ in (1, 5):
+        assert sorted(map(tuple, signal.dealt_pairs(one, other, "k", parts_).collect())) == sorted(map(tuple, one.join(other, "k").collect()))
