@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.digits import js_round
-from .signal import by_index, modal_value
+from .signal import by_index, dealt_pairs, modal_value
 
 
 def contour_filter(contours: DataFrame, key: str, image_area: float) -> DataFrame:
@@ -35,7 +35,7 @@ def midpoint_crossings(lines: DataFrame, key: str) -> DataFrame:
     """Each horizontal line's middle height against each vertical line's middle place."""
     h = lines.where("kind = 'horizontal'").select(key, js_round((F.col("line.y1") + F.col("line.y2")) / 2).alias("y"))
     v = lines.where("kind = 'vertical'").select(key, js_round((F.col("line.x1") + F.col("line.x2")) / 2).alias("x"))
-    return h.join(v, key).select(key, "x", "y")
+    return dealt_pairs(h, v, key).select(key, "x", "y")
 
 
 def column_edges(boxes: DataFrame, centres: DataFrame, key: str, tolerance: float) -> DataFrame:

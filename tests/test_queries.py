@@ -560,3 +560,12 @@ def test_dealt_pairs(spark):
     other = frame(spark, [(k, i) for k, n in ((1, 7), (2, 3), (4, 2)) for i in range(n)], "k int, b int")
     for parts_ in (1, 5):
         assert sorted(map(tuple, signal.dealt_pairs(one, other, "k", parts_).collect())) == sorted(map(tuple, one.join(other, "k").collect()))
+
+
+def test_long_lines_of_a_nation_all_cross(spark):
+    """Customers of one nation whose keys lie far from a supplier's meet it all the same."""
+    sf = "/root/testdata/sf0.01"
+    long = spark.read.parquet(f"{sf}/customer.parquet").where("hypot(c_custkey % 700, c_custkey % 7) >= 300").groupBy("c_nationkey").count()
+    c, s = ({r[0]: r[1] for r in t.collect()} for t in (long, spark.read.parquet(f"{sf}/supplier.parquet").groupBy("s_nationkey").count()))
+    points = {r["k"]: r["points"] for r in registry.QUERIES["extended_lines"](spark, sf).collect()}
+    assert points == {k: n * s[k] for k, n in c.items() if k in s}
