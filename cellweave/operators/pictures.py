@@ -13,6 +13,8 @@ from ..functions import kernels, parts
 
 #: Pictures along each side of a photo.
 ACROSS = 8
+#: Steps of a quarter of a circle in which :func:`axis_lines` votes.
+QUARTER = 18
 
 
 def sheets(pictures: DataFrame, side: int, key: str = "vec_id") -> DataFrame:
@@ -116,21 +118,46 @@ def angle_table(angles: int) -> list[tuple[int, float, float]]:
     return [(t, math.cos(math.pi * t / angles), math.sin(math.pi * t / angles)) for t in range(angles)]
 
 
-def voted_lines(points: DataFrame, key: str, angles: int, least: int, apart: int, only: tuple[int, ...] | None = None) -> DataFrame:
+def line_votes(owner: np.ndarray, x: np.ndarray, y: np.ndarray, table: list[tuple[int, float, float]], least: int, apart: int) -> tuple[np.ndarray, ...]:
+    """(owner, angle, rho, votes) of the lines that at least ``least`` of an owner's points lie on and that no better line is within ``apart`` steps of."""
+    angle, c, s = (np.array(v) for v in zip(*table))
+    rho = np.floor(x[:, None] * c + y[:, None] * s + 0.5).astype(np.int64)
+    low = rho.min() - apart if rho.size else 0
+    width, height = (rho.max() if rho.size else 0) + apart + 1 - low, angle.max() + 2 * apart + 1  # a step past either end meets nothing
+    cell, votes = np.unique((owner[:, None] * height + angle + apart) * width + rho - low, return_counts=True)
+    cell, votes = cell[votes >= least], votes[votes >= least]
+    stays = np.ones(len(cell), dtype=bool)
+    for step in [(a, r) for a in range(-apart, apart + 1) for r in range(-apart, apart + 1) if (a or r) and len(cell)]:
+        beside = cell + step[0] * width + step[1]
+        at = np.minimum(np.searchsorted(cell, beside), len(cell) - 1)
+        stays &= (cell[at] != beside) | (votes[at] < votes) | ((votes[at] == votes) & (step > (0, 0)))
+    cell, votes = cell[stays], votes[stays]
+    return cell // width // height, cell // width % height - apart, cell % width + low, votes
+
+
+def voted_lines(points: DataFrame, key: str, angles: int, least: int, apart: int) -> DataFrame:
     """(key, angle, rho, votes): lines x cos + y sin = rho that at least ``least`` points (key, x, y) lie on, to half a step.
 
-    Every point votes once for each angle (of those in ``only``, if given); votes are summed before they are shuffled.  Of lines
-    within ``apart`` steps of angle and distance of one another only the one with the most votes
-    stays (the lower angle, then distance, of equals): each cell meets its neighbours by an equi-join.
+    Every point votes once for each angle.  Of lines within ``apart`` steps of angle and distance of one another only the one
+    with the most votes stays (the lower angle, then distance, of equals).  A key's points, as many as its picture has
+    at most, meet in one row, and only its lines leave the task.
     """
-    table = F.array(*[F.struct(F.lit(t).alias("angle"), F.lit(c).alias("c"), F.lit(s).alias("s")) for t, c, s in angle_table(angles) if only is None or t in only])
-    cast = points.select(key, "x", "y", F.explode(table).alias("a")).select(key, "a.angle", F.floor(F.col("x") * F.col("a.c") + F.col("y") * F.col("a.s") + 0.5).alias("rho"))
-    votes = cast.groupBy(key, "angle", "rho").agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= least)
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(r).alias("r")) for a in range(-apart, apart + 1) for r in range(-apart, apart + 1) if a or r])
-    reach = votes.select(key, "angle", "rho", "votes", F.explode(steps).alias("d")).select(key, (F.col("angle") + F.col("d.a")).alias("angle"), (F.col("rho") + F.col("d.r")).alias("rho"), F.struct("votes", -F.col("angle"), -F.col("rho")).alias("by"))
-    best = reach.groupBy(key, "angle", "rho").agg(F.max("by").alias("_best"))
-    own = F.struct("votes", -F.col("angle"), -F.col("rho"))
-    return votes.join(best, [key, "angle", "rho"], "left").where(F.col("_best").isNull() | (own > F.col("_best"))).select(key, "angle", "rho", "votes")
+    table, at_once = angle_table(angles), 1 << 16
+
+    def run(batches):
+        for b in batches:
+            ends = np.cumsum(b.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            first = 0
+            while first < len(ends):  # some points at a time, whole keys
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + at_once, "right")))
+                some = b.slice(first, last - first)
+                x, y = (some.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.float64) for i in (1, 2))
+                owner, *found = line_votes(np.repeat(np.arange(last - first), some.column(1).value_lengths().to_numpy(zero_copy_only=False)), x, y, table, least, apart)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(owner)), *[pa.array(v, type=t) for v, t in zip(found, (pa.int32(), pa.int64(), pa.int64()))]], names=[key, "angle", "rho", "votes"])
+                first = last
+
+    held = points.where("x is not null and y is not null").groupBy(key).agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y"))
+    return held.mapInArrow(run, f"`{key}` {points.schema[key].dataType.simpleString()}, angle int, rho long, votes long")
 
 
 def draw_grids(grids: DataFrame, pitch: int, margin: int, dark: int = 20, paper: int = 230) -> DataFrame:
@@ -154,36 +181,40 @@ def draw_grids(grids: DataFrame, pitch: int, margin: int, dark: int = 20, paper:
     return grids.select("name", "rows", "cols", "marks").mapInArrow(run, "name string, width int, pixels binary")
 
 
-def dark_points(images: DataFrame) -> DataFrame:
-    """(origin, height, width, x, y): the dark pixels of Spark's image rows, those not above Otsu's threshold."""
+def axis_lines(images: DataFrame) -> DataFrame:
+    """(origin, height, width, angle, rho, votes): the straight lines near the two axes that the dark pixels (those not above Otsu's threshold) of each of Spark's image rows vote for.
+
+    Angles are of :data:`QUARTER` steps a quarter.  A picture's pixels stay in the task that holds it.
+    """
+    table = [t for t in angle_table(2 * QUARTER) if t[0] in (0, 1, QUARTER - 1, QUARTER, QUARTER + 1, 2 * QUARTER - 1)]
 
     def run(batches):
         for b in batches:
             for origin, height, width, channels, data in zip(*(b.column(i).to_pylist() for i in range(5))):
                 y, x = np.nonzero(kernels.binarise(kernels.grey(data, height, width, channels), inverted=True))
-                n = len(y)
-                yield pa.RecordBatch.from_arrays([pa.array([origin] * n, type=pa.string()), pa.array([height] * n, type=pa.int32()), pa.array([width] * n, type=pa.int32()), pa.array(x), pa.array(y)], names=["origin", "height", "width", "x", "y"])
+                _, angle, rho, votes = line_votes(np.zeros(len(x), dtype=np.int64), x, y, table, 12, 1)
+                n = len(rho)
+                yield pa.RecordBatch.from_arrays([pa.array([origin] * n, type=pa.string()), pa.array([height] * n, type=pa.int32()), pa.array([width] * n, type=pa.int32()), pa.array(angle, type=pa.int32()), pa.array(rho), pa.array(votes)], names=["origin", "height", "width", "angle", "rho", "votes"])
 
-    return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(run, "origin string, height int, width int, x long, y long")
+    return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(run, "origin string, height int, width int, angle int, rho long, votes long")
 
 
-def detected_grids(points: DataFrame, share: float = 0.6, apart: float = 2) -> DataFrame:
-    """(origin, rows, cols, left, top, right, bottom): the grid that the long straight lines of each photo form.
+def detected_grids(lines: DataFrame, share: float = 0.6, apart: float = 2) -> DataFrame:
+    """(origin, rows, cols, left, top, right, bottom): the grid that the long straight lines (of :func:`axis_lines`) of each photo form.
 
-    Lines are voted for near the two axes; level ones are kept if their votes are ``share`` of the photo's width,
-    upright ones of its height; lines at most ``apart`` pixels from one another are one; a grid needs two each way.
+    Level lines are kept if their votes are ``share`` of the photo's width, upright ones of its height; lines at most ``apart``
+    pixels from one another are one; a grid needs two each way.
     """
     from .signal import merge_close
 
-    quarter = 18
-    lines = voted_lines(points, "origin", 2 * quarter, 12, 1, (0, 1, quarter - 1, quarter, quarter + 1, 2 * quarter - 1))
-    sizes = points.groupBy("origin").agg(F.max("height").alias("_h"), F.max("width").alias("_w"))
-    level, upright = F.col("angle") == quarter, F.col("angle") == 0
-    kept = lines.join(sizes, "origin").where((level & (F.col("votes") >= share * F.col("_w"))) | (upright & (F.col("votes") >= share * F.col("_h"))))
+    level, upright = F.col("angle") == QUARTER, F.col("angle") == 0
+    kept = lines.where((level & (F.col("votes") >= share * F.col("width"))) | (upright & (F.col("votes") >= share * F.col("height"))))
     keyed = kept.select(F.concat(F.when(level, "y#").otherwise("x#"), "origin").alias("axis"), F.col("rho").alias("pos"))
     merged = merge_close(keyed, "axis", apart).groupBy("axis").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first"), F.max("line").alias("last")).where("n > 1")
-    of = lambda axis, first, last, n: merged.where(F.col("axis").startswith(axis)).select(F.expr("substring(axis, 3)").alias("origin"), F.col("first").alias(first), F.col("last").alias(last), (F.col("n") - 1).alias(n))
-    return of("y#", "top", "bottom", "rows").join(of("x#", "left", "right", "cols"), "origin").select("origin", "rows", "cols", "left", "top", "right", "bottom")
+    of = lambda axis, column, name: F.max(F.when(F.col("axis").startswith(axis), F.col(column))).alias(name)
+    grids = merged.groupBy(F.expr("substring(axis, 3)").alias("origin")).agg(
+        (of("y#", "n", "rows") - 1).alias("rows"), (of("x#", "n", "cols") - 1).alias("cols"), of("x#", "first", "left"), of("y#", "first", "top"), of("x#", "last", "right"), of("y#", "last", "bottom"))
+    return grids.where("rows is not null and cols is not null")
 
 
 def filled_up(pictures: DataFrame, side: int, key: str = "vec_id", label: str = "label") -> DataFrame:

@@ -206,7 +206,7 @@ def photo_grids(spark, sf_dir):
     grids = held.select(F.format_string("photo-%d.png", "photo").alias("name"), F.size("l").alias("rows"), (F.col("last") + 1).alias("cols"), marks.alias("marks"))
     folder = fresh_folder(spark, "grids")
     write_images(ops.draw_grids(grids, pitch=6, margin=5), folder).write.format("noop").mode("overwrite").save()
-    found = ops.detected_grids(ops.dark_points(read_images(spark, folder)))
+    found = ops.detected_grids(ops.axis_lines(read_images(spark, folder)))
     return found.select(F.regexp_extract("origin", r"photo-(\d+)\.png$", 1).cast("long").alias("photo"), "rows", "cols", "left", "top", "right", "bottom")
 
 

@@ -569,3 +569,18 @@ def test_long_lines_of_a_nation_all_cross(spark):
     c, s = ({r[0]: r[1] for r in t.collect()} for t in (long, spark.read.parquet(f"{sf}/supplier.parquet").groupBy("s_nationkey").count()))
     points = {r["k"]: r["points"] for r in registry.QUERIES["extended_lines"](spark, sf).collect()}
     assert points == {k: n * s[k] for k, n in c.items() if k in s}
+
+
+def steps_of(df) -> str:
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_grids_are_found_where_their_photos_are(spark, tmp_path):
+    """No point, and no table to broadcast, leaves a task: only lines do."""
+    rows = [(f"p{i}.png", 3 + i, 4 + i, [(0, 0)]) for i in range(3)]
+    drawn = pictures.draw_grids(frame(spark, rows, "name string, rows int, cols int, marks array<struct<i: int, j: int>>"), 6, 5)
+    images.write_images(drawn, f"{tmp_path}/g").collect()
+    found = pictures.detected_grids(pictures.axis_lines(images.read_images(spark, f"file://{tmp_path}/g")))
+    assert "Join" not in steps_of(found)
+    got = sorted((r["rows"], r["cols"], r["left"], r["top"], r["right"], r["bottom"]) for r in found.collect())
+    assert got == [(3 + i, 4 + i, 5.0, 5.0, 5.0 + 6 * (4 + i), 5.0 + 6 * (3 + i)) for i in range(3)]
