@@ -584,3 +584,19 @@ def test_grids_are_found_where_their_photos_are(spark, tmp_path):
     assert "Join" not in steps_of(found)
     got = sorted((r["rows"], r["cols"], r["left"], r["top"], r["right"], r["bottom"]) for r in found.collect())
     assert got == [(3 + i, 4 + i, 5.0, 5.0, 5.0 + 6 * (4 + i), 5.0 + 6 * (3 + i)) for i in range(3)]
+
+
+def test_votes_are_counted_where_a_keys_points_meet(spark):
+    r = random.Random(6)
+    points = [(k, r.randrange(-9, 12), r.randrange(15)) for k, n in ((1, 70), (2, 3), (None, 25), (3, 200)) for _ in range(n)]
+    lines = pictures.voted_lines(frame(spark, points, "k long, x long, y long").repartition(3), "k", 12, 3, 2)
+    assert "Join" not in steps_of(lines) and "Generate" not in steps_of(lines)
+    votes = {}
+    for k, x, y in points:
+        for t, c, s in pictures.angle_table(12):
+            at = (k, t, math.floor(x * c + y * s + 0.5))
+            votes[at] = votes.get(at, 0) + 1
+    votes = {at: n for at, n in votes.items() if n >= 3}
+    rank = lambda at: (votes[at], -at[1], -at[2])
+    want = {at for at in votes if not any(o[0] == at[0] and abs(o[1] - at[1]) <= 2 and abs(o[2] - at[2]) <= 2 and rank(o) > rank(at) for o in votes)}
+    assert {(x["k"], x["angle"], x["rho"]): x["votes"] for x in lines.collect()} == {at: votes[at] for at in want}
