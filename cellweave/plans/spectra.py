@@ -137,8 +137,7 @@ ORACLE_SQL["smoothed"] = f"WITH {_SIGNALS}, {_smooth_sql(2.5)} SELECT user_id, i
 @_query
 def smoothed_peaks(spark, sf_dir):
     """W5, C4 on a smoothed signal."""
-    s = ops.smooth(_signals(spark, sf_dir), "user_id", 4.8)
-    return ops.local_peaks(s, "user_id", 6).select("user_id", "i", "x")
+    return ops.local_peaks(_signals(spark, sf_dir), "user_id", 6, sigma=4.8).select("user_id", "i", "x")
 
 
 ORACLE_SQL["smoothed_peaks"] = f"WITH {_SIGNALS}, {_smooth_sql(4.8)}, {_peaks_sql(6)} SELECT user_id, i, x FROM sm_peaks"

@@ -600,3 +600,12 @@ def test_votes_are_counted_where_a_keys_points_meet(spark):
     rank = lambda at: (votes[at], -at[1], -at[2])
     want = {at for at in votes if not any(o[0] == at[0] and abs(o[1] - at[1]) <= 2 and abs(o[2] - at[2]) <= 2 and rank(o) > rank(at) for o in votes)}
     assert {(x["k"], x["angle"], x["rho"]): x["votes"] for x in lines.collect()} == {at: votes[at] for at in want}
+
+
+def test_signals_meet_once(spark):
+    """Neither lags, frequencies nor places of a kernel are rows of a shuffle or a join."""
+    s = frame(spark, [("a", i, float(i % 24 == 5) + i % 3, 200) for i in range(200)], "key string, i long, x double, n long")
+    for found in (spectrum.magnitudes(s, "key", 6, 48), spectrum.dominant_period(s, "key", 6, 48), spectrum.borders_by_period(s, "key", 24), spectrum.positions_by_peaks(s, "key", 12), spectrum.smooth(s, "key", 2.5), spectrum.local_peaks(s, "key", 6, 2.5)):
+        steps = steps_of(found)
+        assert not any(step in steps for step in ("Join", "Union", "Window")) and "Generate" not in steps.split("MapInArrow")[1] and steps.count("Aggregate") <= 2
+        assert found.count() > 0
