@@ -159,6 +159,20 @@ class TestNearCopies:
         stage = dict(corpus_pipeline.STAGES)["near-dedup"]
         assert {r["doc_id"] for r in stage(spark, docs, "").collect()} == set(want.values())
 
+    def test_the_stage_takes_the_fingerprints_pairs(self, spark, monkeypatch):
+        """The keys find nothing here: only pairs of fingerprints are left, and the similarity decides on them."""
+        import corpus_pipeline
+
+        words = [f"w{i}" for i in range(900)]
+        often = " ".join(["one two three four five six seven"] * 80)
+        rows = [(3, often), (5, often + " " + " ".join(f"tail{i}" for i in range(12))), (8, " ".join(words)), (9, " ".join(words[:-1]))]
+        bits = [(simhash.fingerprint(rows[i][1]) ^ simhash.fingerprint(rows[i + 1][1])).bit_count() for i in (0, 2)]
+        assert max(bits) <= 2
+        monkeypatch.setattr(near_copies, "likely_pairs", lambda pairs, classes, similarity: pairs.where("false"))
+        monkeypatch.setattr(near_copies, "cross_links", lambda *a: spark.createDataFrame([], "u long, v long"))
+        docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+        assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()) == [3, 5, 8]
+
     def test_the_table_against_an_exact_join(self, spark):
         """All documents of a table: every component, and so every link between different texts, of an exact join is found."""
         rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
