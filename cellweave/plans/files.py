@@ -208,9 +208,11 @@ SELECT puzzle, unnest(['accuracy', 'precision', 'recall', 'f1', 'coverage']) AS
 @_query
 def batch_files(spark, sf_dir):
     """K2: a batch's results as JSON and its report as HTML, both read again."""
-    scored = _scored(spark, sf_dir)
-    metrics = compare.metrics(scored, ["puzzle"])
     path = fresh_folder(spark, "batch")
+    # the report reads the comparison five times; it is made once
+    _scored(spark, sf_dir).write.parquet(f"{path}/scored")
+    scored = spark.read.parquet(f"{path}/scored")
+    metrics = compare.metrics(scored, ["puzzle"])
     writers.write_batch(metrics, writers.run_report(scored, metrics, "puzzle"), path)
     results = spark.read.schema("puzzle long, correct long, accuracy double").json(f"{path}/results")
     lines = spark.read.text(f"{path}/report").agg(F.count_if(F.col("value").startswith("<tr>")).alias("lines"))

@@ -609,3 +609,13 @@ def test_signals_meet_once(spark):
         steps = steps_of(found)
         assert not any(step in steps for step in ("Join", "Union", "Window")) and "Generate" not in steps.split("MapInArrow")[1] and steps.count("Aggregate") <= 2
         assert found.count() > 0
+
+
+def test_a_batch_is_compared_once(spark, monkeypatch):
+    """The report and the results read the comparison's file, not the tables again."""
+    from cellweave.plans import files
+
+    seen, write = [], writers.write_batch
+    monkeypatch.setattr(writers, "write_batch", lambda metrics, report, path: (seen.extend(x.inputFiles() for x in (metrics, report)), write(metrics, report, path)))
+    assert files.batch_files(spark, SF).count() == 1
+    assert len(seen) == 2 and not any("lineitem" in f for x in seen for f in x)
