@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with the odd cases."""
 
 import hashlib
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -720,3 +721,28 @@ def test_prediction_is_the_nearest_centroid(spark):
         assert got[i][0] in close
         if abs(cosines[best] - model["limits"][best]) > 1e-4 and len(close) == 1:
             assert got[i][1] == (cosines[best] < model["limits"][best])
+
+
+def traced_peak(f) -> int:
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_repeats_follows_the_texts():
+    """A shard is judged and a block is cut within a small multiple of their bytes (29 and 31 times before, where every text came twice)."""
+    r = np.random.default_rng(5)
+    text = r.integers(97, 123, (500, 4000), dtype=np.uint8)[r.permutation(np.repeat(np.arange(500), 2))].ravel()
+    ids = suffix_dedup._arrays(np.arange(1000), np.full(1000, 4000), *[np.zeros(1000, dtype=np.uint8)] * 2)
+    rows = pd.DataFrame({"data": [suffix_dedup._squeeze(text.tobytes())], "extra": [ids]})
+    assert traced_peak(lambda: suffix_dedup._removed(rows)) < 20 * len(text)
+    messages = []
+    for half, first in ((text[:2_000_000], 0), (text[2_000_000:], 500)):
+        starts, counts, keys, docs, _ = suffix_dedup.runs(half, np.arange(4000, len(half) + 1, 4000))
+        part = (keys >> np.uint64(8) & np.uint64(suffix_dedup.PARTS - 1)).astype(np.uint8)
+        lengths = counts + suffix_dedup.LENGTH - 1
+        messages.append(suffix_dedup._arrays(lengths.astype(np.int32), docs + first, bpe.ragged(half, starts, lengths), part, starts.astype(np.int32), keys[:0]))
+    assert traced_peak(lambda: suffix_dedup.judge(pd.DataFrame({"block": [1, 2], "data": messages}))) < 20 * len(text)
