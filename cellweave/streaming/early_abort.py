@@ -8,14 +8,19 @@ puzzle that falls below the share is reported at once and its later cells are
 ignored.  A timer, moved on by each new cell, tells when no more will come: the last
 chunk, which need not be full, is judged then, the puzzle reported, and its
 state removed.
+
+State is kept for groups of puzzles, dealt by a hash, since each call for state goes from Python to the JVM and back: a group with
+new cells is read and written once a micro-batch, ``TOGETHER`` puzzles an entry, and has one timer, for the
+puzzle that is due first.  With a puzzle lie the ``SPAN`` chunks around the one to be judged next; chunks further on, which
+only long puzzles have, are kept ``SPAN`` at a time in a map and fetched when their turn comes, so no entry grows with a puzzle's length.
+A group grows with the number of puzzles that are not over; ``groups`` is for the caller to set.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,72 +29,128 @@ from ..sources.folders import fresh_folder
 #: What state in a RocksDB store needs, which :class:`StopRule` uses.
 STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 RESULT = "puzzle long, stopped_at long, recognized long, aborted boolean"
+#: Chunks of a puzzle whose counts are read and written together, and puzzles of an entry.
+SPAN, TOGETHER = 64, 256
+_result = Row("puzzle", "stopped_at", "recognized", "aborted")
+
+
+def _added(counts: list[int], more: dict[int, list[int]]) -> list[int]:
+    """``counts`` (read, known, read, known, and so on by chunk of a span) with ``more`` (chunk of the span: [read, known])."""
+    counts = counts + [0] * (2 * max(more, default=-1) + 2 - len(counts))
+    for i, (read, known) in more.items():
+        counts[2 * i] += read
+        counts[2 * i + 1] += known
+    return counts
 
 
 class StopRule(StatefulProcessor):
-    """Cells (puzzle, nth from 1, recognised, at) to (puzzle, stopped_at, recognized, aborted), one row a puzzle."""
+    """Cells (group, puzzle, place of the chunk from 0, recognised, ms, at) to (puzzle, stopped_at, recognized, aborted), one row a puzzle."""
 
     def __init__(self, chunk: int, least: int, share: float, idle_ms: int):
         self.chunk, self.least, self.share, self.idle_ms = chunk, least, share, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.judged = handle.getValueState("judged", "chunks long, read long, known long, stopped boolean, timer long")
-        self.waiting = handle.getMapState("waiting", "chunk long", "read long, known long")
+        # due: when the puzzle is over; last: the furthest span that the map has had; counts: of the span of the chunk to be judged next
+        puzzle = "puzzle long, chunks long, read long, known long, stopped boolean, due long, last long, counts array<long>"
+        self.judged = handle.getListState("judged", f"puzzles array<struct<{puzzle}>>")
+        self.ahead = handle.getMapState("ahead", "puzzle long, span long", "counts array<long>")
+        self.timer = handle.getValueState("timer", "at long")
 
-    def _judge(self, key, chunks: int, read: int, known: int, last: bool) -> tuple[int, int, int, pd.DataFrame | None]:
+    def _judge(self, puzzle, chunks: int, read: int, known: int, last: int, counts: list[int], end: bool) -> tuple[int, int, int, list[int], bool]:
         """Judges the chunks that are whole, or, at the end, all there are."""
-        while self.waiting.exists() and self.waiting.containsKey((chunks,)):
-            more, hits = self.waiting.getValue((chunks,))
-            if more < self.chunk and not last:
+        while 2 * (chunks % SPAN) < len(counts):
+            more, hits = counts[2 * (chunks % SPAN) : 2 * (chunks % SPAN) + 2]
+            if not more or more < self.chunk and not end:
                 break
-            self.waiting.removeKey((chunks,))
             chunks, read, known = chunks + 1, read + more, known + hits
             if read >= self.least and known / read < self.share:
-                return chunks, read, known, pd.DataFrame({"puzzle": [key[0]], "stopped_at": [read], "recognized": [0], "aborted": [True]})
-        return chunks, read, known, None
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        chunks, read, known, stopped, timer = self.judged.get() if self.judged.exists() else (0, 0, 0, False, 0)
-        newest = 0
-        for frame in rows:
-            newest = max(newest, int(frame["at"].max().timestamp() * 1000))
-            if stopped:
-                continue
-            for number, group in frame.groupby((frame["nth"] - 1) // self.chunk):
-                held = self.waiting.getValue((int(number),)) if self.waiting.exists() and self.waiting.containsKey((int(number),)) else (0, 0)
-                self.waiting.updateValue((int(number),), (held[0] + len(group), held[1] + int(group["recognised"].sum())))
-        result = None
+                return chunks, read, known, counts, True
+            if chunks % SPAN == 0:
+                counts = self._held_ahead(puzzle, chunks // SPAN, last)
+                if counts:
+                    self.ahead.removeKey((puzzle, chunks // SPAN))
+        return chunks, read, known, counts, False
+
+    def _held_ahead(self, puzzle, span: int, last: int) -> list[int]:
+        return list(self.ahead.getValue((puzzle, span))[0]) if span <= last and self.ahead.containsKey((puzzle, span)) else []
+
+    def _forget_ahead(self, puzzle, chunks: int, last: int) -> None:
+        for span in range(chunks // SPAN, last + 1) if last else ():
+            if self.ahead.containsKey((puzzle, span)):
+                self.ahead.removeKey((puzzle, span))
+
+    def _with_cells(self, puzzle, cells: tuple[int, dict[int, list[int]]], state: tuple) -> tuple:
+        """The puzzle's state with new cells: (when the newest came, {place of the chunk: [read, known]})."""
+        chunks, read, known, stopped, due, last, counts = state
+        newest, places = cells
         if not stopped:
-            chunks, read, known, result = self._judge(key, chunks, read, known, last=False)
-            if result is not None:
-                stopped = True
-                self.waiting.clear()
-        if newest + self.idle_ms > timer:
-            if timer:
+            spans: dict[int, dict[int, list[int]]] = {}
+            for place, more in places.items():
+                spans.setdefault(place // SPAN, {})[place % SPAN] = more
+            counts = _added(list(counts), spans.pop(chunks // SPAN, {}))
+            for span, more in spans.items():
+                self.ahead.updateValue((puzzle, span), (_added(self._held_ahead(puzzle, span, last), more),))
+            last = max([last, *spans])
+            chunks, read, known, counts, stopped = self._judge(puzzle, chunks, read, known, last, counts, end=False)
+            if stopped:
+                self._forget_ahead(puzzle, chunks, last)
+                counts, last = [], 0
+        return chunks, read, known, stopped, max(due, newest + self.idle_ms), last, counts
+
+    def _keep(self, puzzles: list[tuple], timer: int | None) -> None:
+        """Writes the group's puzzles and moves its timer, which was at ``timer`` if it had one."""
+        if not puzzles:
+            self.judged.clear()
+            self.timer.clear()
+            return
+        self.judged.put([(puzzles[low : low + TOGETHER],) for low in range(0, len(puzzles), TOGETHER)])
+        first = min(p[5] for p in puzzles)
+        if first != timer:
+            if timer is not None:
                 self.handle.deleteTimer(timer)
-            timer = newest + self.idle_ms
-            self.handle.registerTimer(timer)
-        self.judged.update((chunks, read, known, stopped, timer))
-        if result is not None:
-            yield result
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        chunks, read, known, stopped, _ = self.judged.get()
-        if not stopped:
-            _, _, known, result = self._judge(key, chunks, read, known, last=True)
-            yield result if result is not None else pd.DataFrame({"puzzle": [key[0]], "stopped_at": pd.array([None], dtype="Int64"), "recognized": [known], "aborted": [False]})
-        self.judged.clear()
-        self.waiting.clear()
+            self.handle.registerTimer(first)
+            self.timer.update((first,))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new: dict[int | None, tuple[int, dict[int, list[int]]]] = {}
+        for _, puzzle, place, recognised, ms, _ in rows:
+            newest, places = new.get(puzzle, (0, {}))
+            held = places.setdefault(place, [0, 0])
+            held[0] += 1
+            held[1] += bool(recognised)
+            new[puzzle] = max(newest, ms), places
+        puzzles = {p[0]: tuple(p)[1:] for entry in self.judged.get() for p in entry[0]}
+        timer = self.timer.get() if puzzles else None
+        for puzzle, cells in new.items():
+            before = puzzles.get(puzzle, (0, 0, 0, False, 0, 0, []))
+            puzzles[puzzle] = after = self._with_cells(puzzle, cells, before)
+            if after[3] and not before[3]:
+                yield _result(puzzle, after[1], 0, True)
+        self._keep([(k, *v) for k, v in puzzles.items()], timer and timer[0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now, left = expiredTimerInfo.getExpiryTimeInMs(), []
+        for entry in self.judged.get():
+            for puzzle, chunks, read, known, stopped, due, last, counts in entry[0]:
+                if due > now:
+                    left.append((puzzle, chunks, read, known, stopped, due, last, counts))
+                elif not stopped:
+                    chunks, read, known, _, below = self._judge(puzzle, chunks, read, known, last, list(counts), end=True)
+                    self._forget_ahead(puzzle, chunks, last)
+                    yield _result(puzzle, read, 0, True) if below else _result(puzzle, None, known, False)
+        self._keep(left, None)  # the timer that ran out goes by itself
 
     def close(self) -> None:
         pass
 
 
-def early_abort_stream(cells: DataFrame, chunk: int = 16, least: int = 10, share: float = 0.25, idle_minutes: int = 30) -> DataFrame:
+def early_abort_stream(cells: DataFrame, chunk: int = 16, least: int = 10, share: float = 0.25, idle_minutes: int = 30, groups: int = 1024) -> DataFrame:
     """cells: puzzle, nth (from 1, in the puzzle's order), recognised (boolean), at (when it came, with a watermark).  The session needs :data:`STATE_STORE`."""
     rule = StopRule(chunk, least, share, idle_minutes * 60_000)
-    return cells.groupBy("puzzle").transformWithStateInPandas(statefulProcessor=rule, outputStructType=RESULT, outputMode="append", timeMode="eventtime")
+    group = F.pmod(F.xxhash64("puzzle"), F.lit(groups)).alias("group")
+    places = cells.select(group, "puzzle", F.floor((F.col("nth") - 1) / chunk).alias("place"), "recognised", F.unix_millis("at").alias("ms"), "at")
+    return places.groupBy("group").transformWithState(statefulProcessor=rule, outputStructType=RESULT, outputMode="append", timeMode="eventtime")
 
 
 def replayed(cells: DataFrame, files: int = 6, files_a_batch: int = 2, **rule) -> DataFrame:

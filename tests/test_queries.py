@@ -15,6 +15,7 @@ from cellweave.functions import chains, digits, geometry, hashes, kernels, parts
 from cellweave.operators import cells, clusters, compare, curation, mapping, pictures, progress, running, signal, spectrum, templates
 from cellweave.plans import registry
 from cellweave.sources import images, readers, writers
+from cellweave.streaming import early_abort
 from cellweave.streaming.early_abort import replayed
 
 SF = "/root/testdata/sf0.001"
@@ -175,6 +176,82 @@ class TestCells:
         for files, at_once in ((6, 2), (1, 1)):
             assert sorted(map(tuple, replayed(df, files, at_once).collect())) == want
 
+    def test_stop_rule_calls_for_state_by_group(self):
+        """Calls for state do not grow with a group's puzzles (each puzzle took six calls and more a micro-batch before), but for spans ahead of long ones."""
+        calls = []
+
+        class Held:
+            def __init__(self, empty):
+                self.empty, self.value = empty, empty
+
+            def get(self):
+                calls.append("get")
+                return self.value
+
+            def update(self, value):
+                calls.append("update")
+                self.value = value
+
+            put = update
+
+            def clear(self):
+                self.update(self.empty)
+
+        class Ahead:
+            def __init__(self):
+                self.held = {}
+
+            def containsKey(self, k):
+                calls.append("ahead")
+                return k in self.held
+
+            def getValue(self, k):
+                return self.held[k]
+
+            def updateValue(self, k, v):
+                calls.append("ahead")
+                self.held[k] = v
+
+            def removeKey(self, k):
+                del self.held[k]
+
+        class Handle:
+            timers = set()
+            judged, ahead, timer = Held([]), Ahead(), Held(None)
+            getListState = getMapState = getValueState = lambda self, name, *_: getattr(self, name)
+            registerTimer, deleteTimer = (lambda self, t: (calls.append("timer"), self.timers.add(t))), (lambda self, t: (calls.append("timer"), self.timers.remove(t)))
+
+        class Expired:
+            getExpiryTimeInMs = lambda self: 10**9
+
+        r = random.Random(8)
+        sizes = {p: r.randint(1, 200) for p in range(600)}
+        cells_of = {p: [r.random() < p % 5 / 8 for _ in range(n)] for p, n in sizes.items()}
+        cells_of[None] = [i % 3 == 0 for i in range(3000)]  # 188 chunks, three spans
+        rows = [(0, p, i // 16, k, r.randint(1, 999), None) for p, found in cells_of.items() for i, k in enumerate(found)]
+        r.shuffle(rows)
+        handle, rule, got = Handle(), early_abort.StopRule(16, 10, 0.25, 1000), []
+        rule.init(handle)
+        for b in range(4):
+            calls.clear()
+            got += rule.handleInputRows((0,), iter(rows[b::4]), None)
+            assert len([c for c in calls if c != "ahead"]) <= 6 and len(calls) < 40
+            assert len(handle.timers) == 1
+        got += rule.handleExpiredTimer((0,), None, Expired())
+        assert not handle.judged.value and not handle.ahead.held
+        want = {}
+        for p, found in cells_of.items():
+            stops = [n for n in [*range(16, len(found), 16), len(found)] if n >= 10 and sum(found[:n]) / n < 0.25]
+            want[p] = (stops[0], 0, True) if stops else (None, sum(found), False)
+        assert len(got) == len(want) and {x[0]: tuple(x)[1:] for x in got} == want
+
+    def test_early_abort_stream_of_a_long_puzzle(self, spark):
+        """Chunks beyond the span at hand lie in the map, and are fetched when their turn comes."""
+        rows = [(p, i + 1, i % 3 == 0 and i < most) for p, n, most in ((1, 3000, 3000), (2, 3000, 1800), (3, 40, 40), (4, 1024, 1024)) for i in range(n)]
+        got = {r["puzzle"]: tuple(r)[1:] for r in replayed(frame(spark, rows, "puzzle long, nth long, recognised boolean"), groups=2).collect()}
+        stop = next(n for n in range(1808, 3001, 16) if 600 / n < 0.25)
+        assert got == {1: (None, 1000, False), 2: (stop, 0, True), 3: (None, 14, False), 4: (None, 342, False)}
+
     def test_running_sums(self, spark):
         rows = [(k, i, None if i % 7 == 0 else i) for k, n in ((1, 500), (2, 3), (None, 20)) for i in range(n)]
         got = running.running_sums(frame(spark, rows, "k int, i int, v int").repartition(5), "k", ["i"], {"upto": F.col("v"), "nth": F.lit(1)}).collect()
