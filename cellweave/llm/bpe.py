@@ -22,6 +22,7 @@ import hashlib
 import heapq
 import json
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,9 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\
 SIMPLE_PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 NOT_SIMPLE = "[\x1c-\x1f\xb2\xb3\xb9\xbc\xbd\xbe]|[^\x00-\u024f]"
 
+#: Characters of texts, and bytes of new words, that a task encodes at once: they set what a worker keeps of memory for later tasks.
+TEXT_CHARACTERS, WORD_BYTES = 1_000_000, 1 << 20
+
 
 def byte_alphabet() -> dict[str, int]:
     """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 stands for itself, the rest follows from U+0100."""
@@ -67,7 +71,7 @@ class BytePairs:
         self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         order = np.argsort((self.left << 32) | self.right, kind="stable")
         self.pair_keys, self.pair_ranks = ((self.left << 32) | self.right)[order], order
-        self.byte_id = np.zeros(256, dtype=np.int64)
+        self.byte_id = np.zeros(256, dtype=np.int32)
         for char, b in alphabet.items():
             self.byte_id[b] = vocab[char]
         size = max([*vocab.values(), *specials.values()]) + 1
@@ -87,7 +91,7 @@ class BytePairs:
         return (self.pattern if self.not_simple.search(text) else self.simple).findall(text)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = (a << 32) | b
+        key = (a.astype(np.int64) << 32) | b
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
 
@@ -96,8 +100,8 @@ class BytePairs:
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         ids = self.byte_id[np.frombuffer(b"".join(words), dtype=np.uint8)]
         n = len(ids)
-        word = np.repeat(np.arange(len(words)), lengths)
-        following, previous = np.arange(1, n + 1), np.arange(-1, n - 1)
+        place = np.int32 if n < 1 << 31 else np.int64
+        following, previous = np.arange(1, n + 1, dtype=place), np.arange(-1, n - 1, dtype=place)
         if n:
             ends = np.cumsum(lengths)[lengths > 0] - 1
             following[ends] = -1
@@ -109,7 +113,7 @@ class BytePairs:
         def note(at: np.ndarray) -> None:
             rank = self.ranks(ids[at], ids[following[at]])
             known = rank >= 0
-            at, rank = at[known], rank[known]
+            at, rank = at[known].astype(place), rank[known].astype(np.int32)
             if not len(at):
                 return
             order = np.argsort(rank, kind="stable")
@@ -148,7 +152,9 @@ class BytePairs:
             previous[after[after >= 0]] = at[after >= 0]
             before = previous[at]
             note(np.unique(np.concatenate([before[before >= 0], at[after >= 0]])))
-        return ids[alive], np.bincount(word[alive], minlength=len(words))
+        begins = np.cumsum(lengths) - lengths
+        left = np.concatenate([[0], np.cumsum(alive)])
+        return ids[alive], left[begins + lengths] - left[begins]
 
     def decode(self, ids: np.ndarray) -> str:
         return ragged(self.token_bytes, self.token_start[ids], self.token_length[ids]).tobytes().decode("utf-8", "replace")
@@ -162,10 +168,23 @@ class Numbers(dict):
         return n
 
 
+def pieces_of(words, most: int):
+    """The words as UTF-8, in lists of about ``most`` bytes; a longer word is whole."""
+    held, size = [], 0
+    for w in words:
+        held.append(w.encode())
+        size += len(held[-1])
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 class Encoder:
     """Encodes blocks of texts; keeps up to ``keep`` distinct words between blocks."""
 
-    def __init__(self, vocabulary: BytePairs, keep: int = 400_000):
+    def __init__(self, vocabulary: BytePairs, keep: int = 200_000):
         self.v, self.keep = vocabulary, keep
         self._clear()
 
@@ -203,8 +222,8 @@ class Encoder:
             else:
                 spans.append(np.array(list(map(number, cut(text))), dtype=np.int64))
         if len(self.words) > known:
-            new = list(self.words)[known:]
-            self._add(*self.v.encode_words([w.encode() for w in new]))
+            for piece in pieces_of(islice(self.words, known, None), WORD_BYTES):
+                self._add(*self.v.encode_words(piece))
         return [ragged(self.flat, self.starts[s], self.lengths[s]) for s in spans]
 
 
@@ -251,7 +270,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         encoder = Encoder(BytePairs(definition.value))
-        for keys, texts in text_blocks(batches, 2, 1):
+        for keys, texts in text_blocks(batches, 2, 1, TEXT_CHARACTERS):
             yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.int64()), pa.array([i.astype(np.int32) for i in encoder.encode(texts)], type=pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, ids array<int>")
@@ -278,7 +297,7 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches):
         v = BytePairs(definition.value)
         encoder = Encoder(v)
-        for keys, texts in text_blocks(batches, 2, 1):
+        for keys, texts in text_blocks(batches, 2, 1, TEXT_CHARACTERS):
             ids = encoder.encode(texts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, type=pa.int64()), pa.array([len(i) for i in ids], type=pa.int64()), pa.array([sha(i.astype("<u4").tobytes()) for i in ids], type=pa.string()), pa.array([sha(v.decode(i.astype(np.int64)).encode()) for i in ids], type=pa.string())],

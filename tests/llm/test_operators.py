@@ -746,3 +746,16 @@ def test_memory_of_repeats_follows_the_texts():
         lengths = counts + suffix_dedup.LENGTH - 1
         messages.append(suffix_dedup._arrays(lengths.astype(np.int32), docs + first, bpe.ragged(half, starts, lengths), part, starts.astype(np.int32), keys[:0]))
     assert traced_peak(lambda: suffix_dedup.judge(pd.DataFrame({"block": [1, 2], "data": messages}))) < 20 * len(text)
+
+
+def test_memory_of_tokens_does_not_follow_the_new_words():
+    """New words are encoded piece by piece: 28 bytes of work for each byte of these texts, 101 before."""
+    r = np.random.default_rng(6)
+    words = ["".join(w) for w in r.choice(list("abcdefghijklmnopqrstuvwxyz"), (300_000, 12)).tolist()]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+    vocabulary = bpe.BytePairs(open(BYTE).read())
+    assert traced_peak(lambda: bpe.Encoder(vocabulary).encode(texts)) < 60 * sum(map(len, texts))
+    some, t = texts[::300], Tokenizer.from_file(BYTE)
+    assert [i.tolist() for i in bpe.Encoder(vocabulary).encode(some)] == [x.ids for x in t.encode_batch(some, add_special_tokens=False)]
+    pieces = list(bpe.pieces_of(["a", "é" * 40, "", "b", "cd"], 50))
+    assert b"".join(b"".join(p) for p in pieces).decode() == "a" + "é" * 40 + "bcd" and [len(p) for p in pieces] == [2, 3]
