@@ -298,6 +298,7 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         v = BytePairs(definition.value)
         encoder = Encoder(v)
         for keys, texts in text_blocks(batches, 2, 1, TEXT_CHARACTERS):
+            pa.default_memory_pool().release_unused()  # Arrow keeps what earlier batches, and earlier tasks of this worker, took
             ids = encoder.encode(texts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, type=pa.int64()), pa.array([len(i) for i in ids], type=pa.int64()), pa.array([sha(i.astype("<u4").tobytes()) for i in ids], type=pa.string()), pa.array([sha(v.decode(i.astype(np.int64)).encode()) for i in ids], type=pa.string())],
