@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with the odd cases."""
 
 import hashlib
+import time
 import tracemalloc
 import zlib
 from collections import defaultdict
@@ -58,6 +59,18 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_end_when_edges_are_stars(spark, monkeypatch):
+    """Stars need no round, a chain of stars a few; each round's steps are tables of their own, so that no plan holds two of them."""
+    from cellweave.llm import components as module
+
+    steps, star = [], module._star
+    monkeypatch.setattr(module, "_star", lambda edges, large: steps.append(len(edges._jdf.queryExecution().optimizedPlan().toString().split("\n"))) or star(edges, large))
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame([(5, 1), (1, 7), (8, 2), (9, 2), (7, 1)], "u long, v long")).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, 2: 2, 8: 2, 9: 2} and not steps
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame([(5, 1), (5, 3), (9, 3)], "u long, v long")).collect()}
+    assert got == {1: 1, 3: 1, 5: 1, 9: 1} and steps and len(steps) % 2 == 0 and max(steps) <= 2
+
+
 class TestMixing:
     def test_budgets(self, docs):
         got = mixing.mix_report(docs).toPandas()
@@ -192,6 +205,29 @@ class TestNearCopies:
         docs = spark.createDataFrame(rows, "doc_id long, text string")
         assert {r["doc_id"]: r["component_id"] for r in near_copies.similar_components(docs).collect()} == components(links, sets)
 
+    def test_texts_that_stay_are_not_shuffled(self, spark):
+        """Also where the ids that go are too many to broadcast."""
+        context, r = spark.sparkContext, np.random.default_rng(4)
+        texts = [" ".join(f"{x:x}" for x in r.integers(0, 1 << 60, 1000)) for _ in range(200)]
+        docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate([*texts, *texts[:3]])] + [(None, texts[5], None, None, None)], DOCS)
+
+        def shuffled() -> int:
+            time.sleep(0.3)
+            spark.range(1).count()
+            context._jsc.sc().listenerBus().waitUntilEmpty()
+            found = context._jsc.sc().statusStore().executorList(False)
+            return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            kept, began = near_copies.drop_similar(docs), shuffled()
+            assert sorted(x["doc_id"] for x in kept.collect() if x["doc_id"] is not None) == [*range(200)]
+            assert 0 < shuffled() - began < sum(map(len, texts)) / 10
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert kept.where("doc_id is null").count() == 1 and kept.columns == docs.columns
+
     def test_bits_keep_what_is_asked_for(self, spark):
         table = spark.range(5000).withColumnRenamed("id", "k")
         for bits in (64, 1 << 20):
