@@ -7,6 +7,7 @@ import uuid
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__package__])
 _runs: ContextVar[tuple[list[str], ...]] = ContextVar("runs", default=())
 
 
+def giving_back(batches):
+    """The ``batches`` of a task; before each, and at the end, what Arrow keeps of earlier ones goes back, since idle workers stay."""
+    for b in batches:
+        pa.default_memory_pool().release_unused()
+        yield b
+        del b
+    pa.default_memory_pool().release_unused()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
     return qualified(spark, fresh_folder(spark, name))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import saved
+from ._spark import giving_back, saved
 from .components import connected_components, local_stars
 
 _SHIFTS = np.arange(8, dtype=np.uint64) * np.uint64(8)
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     """(doc_id, fp): the fingerprint as a signed long."""
 
     def run(batches):
-        for b in batches:
+        for b in giving_back(batches):
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp, type=pa.int64())], names=["doc_id", "fp"])
 
