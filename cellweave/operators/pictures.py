@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,8 +125,14 @@ def line_votes(owner: np.ndarray, x: np.ndarray, y: np.ndarray, table: list[tupl
     rho = np.floor(x[:, None] * c + y[:, None] * s + 0.5).astype(np.int64)
     low = rho.min() - apart if rho.size else 0
     width, height = (rho.max() if rho.size else 0) + apart + 1 - low, angle.max() + 2 * apart + 1  # a step past either end meets nothing
-    cell, votes = np.unique((owner[:, None] * height + angle + apart) * width + rho - low, return_counts=True)
-    cell, votes = cell[votes >= least], votes[votes >= least]
+    cell = ((owner[:, None] * height + angle + apart) * width + rho - low).ravel()
+    if cell.size and cell.max() < cell.size and least > 0:  # few cells: no sort
+        votes = np.bincount(cell)
+        cell = np.flatnonzero(votes >= least)
+        votes = votes[cell]
+    else:
+        cell, votes = np.unique(cell, return_counts=True)
+        cell, votes = cell[votes >= least], votes[votes >= least]
     stays = np.ones(len(cell), dtype=bool)
     for step in [(a, r) for a in range(-apart, apart + 1) for r in range(-apart, apart + 1) if (a or r) and len(cell)]:
         beside = cell + step[0] * width + step[1]
@@ -160,61 +167,84 @@ def voted_lines(points: DataFrame, key: str, angles: int, least: int, apart: int
     return held.mapInArrow(run, f"`{key}` {points.schema[key].dataType.simpleString()}, angle int, rho long, votes long")
 
 
-def draw_grids(grids: DataFrame, pitch: int, margin: int, dark: int = 20, paper: int = 230) -> DataFrame:
-    """(name, width, pixels) of photos of grids (name, rows, cols, marks: array of (i, j)): dark lines ``pitch`` apart, a dot in each marked cell."""
+def grid_drawer(pitch: int, margin: int, dark: int = 20, paper: int = 230):
+    """A function of Arrow batches of grids (name, rows, cols, marks: array of (i, j)): (name, picture) of each, one at a time: dark lines ``pitch`` apart, a dot in each marked cell."""
+
+    def drawn(b: pa.RecordBatch):
+        marks = b.column(3)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False))
+        at = dict(zip((f.name for f in marks.type.value_type), marks.flatten().flatten()))
+        i, j = (margin + at[n].to_numpy(zero_copy_only=False).astype(np.int64) * pitch + pitch // 2 for n in ("i", "j"))
+        first = 0
+        for name, rows, cols, last in zip(*(b.column(c).to_pylist() for c in range(3)), ends.tolist()):
+            x = np.full((2 * margin + rows * pitch + 1, 2 * margin + cols * pitch + 1), paper, dtype=np.uint8)
+            end_y, end_x = margin + rows * pitch + 1, margin + cols * pitch + 1
+            x[margin:end_y:pitch, margin:end_x] = dark
+            x[margin:end_y, margin:end_x:pitch] = dark
+            for dy, dx in ((0, 0), (0, 1), (1, 0), (1, 1)):
+                y, z = i[first:last] + dy, j[first:last] + dx
+                inside = (y < x.shape[0]) & (z < x.shape[1])
+                x[y[inside], z[inside]] = dark
+            first = last
+            yield name, x
+
+    return drawn
+
+
+def draw_grids(grids: DataFrame, pitch: int, margin: int, dark: int = 20, paper: int = 230, at_once: int = 1 << 22) -> DataFrame:
+    """(name, width, pixels) of the photos of :func:`grid_drawer`; about ``at_once`` bytes of them leave the task at once."""
+    drawn = grid_drawer(pitch, margin, dark, paper)
 
     def run(batches):
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(names, type=pa.string()), pa.array(widths, type=pa.int32()), pa.array(data, type=pa.binary())], names=["name", "width", "pixels"])
+
         for b in batches:
-            widths, data = [], []
-            for rows, cols, marks in zip(*(b.column(i).to_pylist() for i in (1, 2, 3))):
-                x = np.full((2 * margin + rows * pitch + 1, 2 * margin + cols * pitch + 1), paper, dtype=np.uint8)
-                end_y, end_x = margin + rows * pitch + 1, margin + cols * pitch + 1
-                x[margin:end_y:pitch, margin:end_x] = dark
-                x[margin:end_y, margin:end_x:pitch] = dark
-                for m in marks:
-                    y, z = margin + m["i"] * pitch + pitch // 2, margin + m["j"] * pitch + pitch // 2
-                    x[y : y + 2, z : z + 2] = dark
-                widths.append(x.shape[1])
-                data.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(widths, type=pa.int32()), pa.array(data, type=pa.binary())], names=["name", "width", "pixels"])
+            names, widths, data, size = [], [], [], 0
+            for name, x in drawn(b):
+                names.append(name), widths.append(x.shape[1]), data.append(x.tobytes())
+                size += x.size
+                if size >= at_once:
+                    yield batch()
+                    names, widths, data, size = [], [], [], 0
+            if names:
+                yield batch()
 
     return grids.select("name", "rows", "cols", "marks").mapInArrow(run, "name string, width int, pixels binary")
 
 
 def axis_lines(images: DataFrame) -> DataFrame:
-    """(origin, height, width, angle, rho, votes): the straight lines near the two axes that the dark pixels (those not above Otsu's threshold) of each of Spark's image rows vote for.
+    """(origin, height, width, angles, rhos, votes): the straight lines near the two axes that the dark pixels (those not above Otsu's threshold) of each of Spark's image rows vote for, as arrays.
 
-    Angles are of :data:`QUARTER` steps a quarter.  A picture's pixels stay in the task that holds it.
+    Angles are of :data:`QUARTER` steps a quarter.  A picture's pixels stay in the task that holds it, one picture at a time.
     """
     table = [t for t in angle_table(2 * QUARTER) if t[0] in (0, 1, QUARTER - 1, QUARTER, QUARTER + 1, 2 * QUARTER - 1)]
 
     def run(batches):
         for b in batches:
-            for origin, height, width, channels, data in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for image in range(b.num_rows):
+                origin, height, width, channels, data = (b.column(c)[image].as_py() for c in range(5))
                 y, x = np.nonzero(kernels.binarise(kernels.grey(data, height, width, channels), inverted=True))
-                _, angle, rho, votes = line_votes(np.zeros(len(x), dtype=np.int64), x, y, table, 12, 1)
-                n = len(rho)
-                yield pa.RecordBatch.from_arrays([pa.array([origin] * n, type=pa.string()), pa.array([height] * n, type=pa.int32()), pa.array([width] * n, type=pa.int32()), pa.array(angle, type=pa.int32()), pa.array(rho), pa.array(votes)], names=["origin", "height", "width", "angle", "rho", "votes"])
+                _, *found = line_votes(np.zeros(len(x), dtype=np.int64), x, y, table, 12, 1)
+                lists = [pa.array([v.tolist()], type=pa.list_(t)) for v, t in zip(found, (pa.int32(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([origin], type=pa.string()), *(pa.array([n], type=pa.int32()) for n in (height, width)), *lists], names=["origin", "height", "width", "angles", "rhos", "votes"])
 
-    return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(run, "origin string, height int, width int, angle int, rho long, votes long")
+    return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").mapInArrow(run, "origin string, height int, width int, angles array<int>, rhos array<long>, votes array<long>")
 
 
 def detected_grids(lines: DataFrame, share: float = 0.6, apart: float = 2) -> DataFrame:
     """(origin, rows, cols, left, top, right, bottom): the grid that the long straight lines (of :func:`axis_lines`) of each photo form.
 
     Level lines are kept if their votes are ``share`` of the photo's width, upright ones of its height; lines at most ``apart``
-    pixels from one another are one; a grid needs two each way.
+    pixels from one another are one; a grid needs two each way.  A photo's lines stay in its row.
     """
-    from .signal import merge_close
-
-    level, upright = F.col("angle") == QUARTER, F.col("angle") == 0
-    kept = lines.where((level & (F.col("votes") >= share * F.col("width"))) | (upright & (F.col("votes") >= share * F.col("height"))))
-    keyed = kept.select(F.concat(F.when(level, "y#").otherwise("x#"), "origin").alias("axis"), F.col("rho").alias("pos"))
-    merged = merge_close(keyed, "axis", apart).groupBy("axis").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first"), F.max("line").alias("last")).where("n > 1")
-    of = lambda axis, column, name: F.max(F.when(F.col("axis").startswith(axis), F.col(column))).alias(name)
-    grids = merged.groupBy(F.expr("substring(axis, 3)").alias("origin")).agg(
-        (of("y#", "n", "rows") - 1).alias("rows"), (of("x#", "n", "cols") - 1).alias("cols"), of("x#", "first", "left"), of("y#", "first", "top"), of("x#", "last", "right"), of("y#", "last", "bottom"))
-    return grids.where("rows is not null and cols is not null")
+    from .signal import merge_sorted
+
+    each = F.arrays_zip("angles", "rhos", "votes")
+    along = lambda angle, length: F.array_sort(F.transform(F.filter(each, lambda l: (l["angles"] == angle) & (l["votes"] >= share * F.col(length))), lambda l: l["rhos"]))  # noqa: E731, E741
+    found = lines.select("origin", merge_sorted(along(QUARTER, "width"), apart).alias("y"), merge_sorted(along(0, "height"), apart).alias("x")).where("size(y) > 1 and size(x) > 1")
+    count = lambda axis, name: (F.size(axis) - 1).cast("long").alias(name)
+    return found.select("origin", count("y", "rows"), count("x", "cols"), F.array_min("x").alias("left"), F.array_min("y").alias("top"), F.array_max("x").alias("right"), F.array_max("y").alias("bottom"))
 
 
 def filled_up(pictures: DataFrame, side: int, key: str = "vec_id", label: str = "label") -> DataFrame:

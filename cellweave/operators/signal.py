@@ -144,14 +144,19 @@ def anchor_groups(positions: DataFrame, key: str, most: float) -> DataFrame:
     return rows.select(key, F.explode(F.aggregate("rows", start, step)).alias("x")).select(key, "x.anchor", "x.members")
 
 
-def merge_close(positions: DataFrame, key: str, most: float) -> DataFrame:
-    """Positions within ``most`` of the running average of a line are merged into it, pairwise: (line)."""
+def merge_sorted(rows: Column, most: float) -> Column:
+    """The lines (array of doubles) that rising positions (array) form: one within ``most`` of the running average of the last line is merged into it, pairwise."""
     def step(lines, x):
         last = F.element_at(lines, -1)
-        return F.when((F.size(lines) > 0) & (F.abs(x["pos"] - F.coalesce(last, F.lit(0.0))) <= most), F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array((last + x["pos"]) / 2))).otherwise(F.concat(lines, F.array(x["pos"].cast("double"))))
+        return F.when((F.size(lines) > 0) & (F.abs(x - F.coalesce(last, F.lit(0.0))) <= most), F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array((last + x) / 2))).otherwise(F.concat(lines, F.array(x.cast("double"))))
+
+    return F.aggregate(rows, F.expr("cast(array() as array<double>)"), lambda a, x: F.when(F.size(a) == 0, F.array(x.cast("double"))).otherwise(step(a, x)))
 
+
+def merge_close(positions: DataFrame, key: str, most: float) -> DataFrame:
+    """Positions within ``most`` of the running average of a line are merged into it, pairwise: (line)."""
     rows = _sorted_rows(positions, key, "pos")
-    return rows.select(key, F.explode(F.aggregate("rows", F.expr("cast(array() as array<double>)"), lambda a, x: F.when(F.size(a) == 0, F.array(x["pos"].cast("double"))).otherwise(step(a, x)))).alias("line"))
+    return rows.select(key, F.explode(merge_sorted(F.transform("rows", lambda x: x["pos"]), most)).alias("line"))
 
 
 def nms_peaks(positions: DataFrame, key: str, separation: float) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..operators import pictures as ops
 from ..sources.folders import fresh_folder
-from ..sources.images import read_images, write_images
+from ..sources.images import read_images, write_drawn, write_images
 from .tables import CELLS_SQL, HOURS_SQL, cells, hours, table
 
 QUERIES: dict = {}
@@ -205,8 +205,8 @@ def photo_grids(spark, sf_dir):
     marks = F.flatten(F.transform("l", lambda r, i: F.transform(r["even"], lambda j: F.struct(i.alias("i"), j.alias("j")))))
     grids = held.select(F.format_string("photo-%d.png", "photo").alias("name"), F.size("l").alias("rows"), (F.col("last") + 1).alias("cols"), marks.alias("marks"))
     folder = fresh_folder(spark, "grids")
-    write_images(ops.draw_grids(grids, pitch=6, margin=5), folder).write.format("noop").mode("overwrite").save()
-    found = ops.detected_grids(ops.axis_lines(read_images(spark, folder)))
+    photos = write_drawn(grids, folder, ops.grid_drawer(pitch=6, margin=5)).agg(F.count("bytes")).first()[0]
+    found = ops.detected_grids(ops.axis_lines(read_images(spark, folder, photos)))
     return found.select(F.regexp_extract("origin", r"photo-(\d+)\.png$", 1).cast("long").alias("photo"), "rows", "cols", "left", "top", "right", "bottom")
 
 

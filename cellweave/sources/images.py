@@ -15,6 +15,8 @@ from .folders import qualified
 
 #: Fixed values of the file format: its first bytes.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
+#: Small files that a task reads.
+FILES = 256
 
 
 def png(x: np.ndarray) -> bytes:
@@ -27,30 +29,46 @@ def png(x: np.ndarray) -> bytes:
     return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
-def write_images(images: DataFrame, path: str) -> DataFrame:
-    """Writes a file for each row of (name, width, pixels: binary, row by row) to a folder that all share; (name, bytes) of each, when run.
+def write_drawn(rows: DataFrame, path: str, draw) -> DataFrame:
+    """Writes a file for each picture to a folder that all share; (name, bytes) of each, when run.
 
-    A file is written under its attempt's name and renamed, so a task that runs again leaves the same files.  A row without pixels is an empty file.
+    ``draw`` makes (name, picture or None) of an Arrow batch of ``rows``, one at a time, so a task holds one picture however many rows it has.
+    A file is written under its attempt's name and renamed, so a task that runs again leaves the same files.  A row without a picture is an empty file.
     """
-    path = qualified(images.sparkSession, path)
+    path = qualified(rows.sparkSession, path)
 
     def run(batches):
         fs, folder = pafs.FileSystem.from_uri(path)
         fs.create_dir(folder, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
         for b in batches:
-            sizes = []
-            for name, width, pixels in zip(*(b.column(i).to_pylist() for i in range(3))):
-                data = png(np.frombuffer(pixels, dtype=np.uint8).reshape(-1, width)) if pixels else b""
+            names, sizes = [], []
+            for name, picture in draw(b):
+                data = b"" if picture is None else png(picture)
                 with fs.open_output_stream(f"{folder}/_{attempt}-{name}") as f:
                     f.write(data)
                 fs.move(f"{folder}/_{attempt}-{name}", f"{folder}/{name}")
-                sizes.append(len(data))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, type=pa.int64())], names=["name", "bytes"])
+                names.append(name), sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(names, type=pa.string()), pa.array(sizes, type=pa.int64())], names=["name", "bytes"])
+
+    return rows.mapInArrow(run, "name string, bytes long")
+
+
+def write_images(images: DataFrame, path: str) -> DataFrame:
+    """:func:`write_drawn` of rows of (name, width, pixels: binary, row by row); a row without pixels is an empty file."""
+
+    def draw(b):
+        for i in range(b.num_rows):
+            name, width, pixels = (b.column(c)[i].as_py() for c in range(3))
+            yield name, np.frombuffer(pixels, dtype=np.uint8).reshape(-1, width) if pixels else None
 
-    return images.select("name", "width", "pixels").mapInArrow(run, "name string, bytes long")
+    return write_drawn(images.select("name", "width", "pixels"), path, draw)
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Spark's image rows (image: origin, height, width, nChannels, mode, data) of a folder's PNG files; files that are no image are left out."""
-    return spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", "[!_]*.png").load(path)
+def read_images(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """Spark's image rows (image: origin, height, width, nChannels, mode, data) of a folder's PNG files; files that are no image are left out.
+
+    Spark deals a few small files to a task.  Where their number is known, a task reads :data:`FILES` of them, or fewer if there are cores to spare.
+    """
+    found = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", "[!_]*.png").load(path)
+    return found if files is None else found.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-files // FILES)))

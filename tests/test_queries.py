@@ -3,9 +3,11 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -663,6 +665,29 @@ def test_grids_are_found_where_their_photos_are(spark, tmp_path):
     assert got == [(3 + i, 4 + i, 5.0, 5.0, 5.0 + 6 * (4 + i), 5.0 + 6 * (3 + i)) for i in range(3)]
 
 
+def test_photos_are_held_a_few_at_a_time(spark):
+    """A task's photos are not one batch (192 MB of these before), and their lines stay in the photo's row."""
+
+    class Grids:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    marks = [{"i": i, "j": i % 7} for i in range(0, 90, 3)]
+    rows = pa.RecordBatch.from_pylist([{"name": f"photo-{k}.png", "rows": 96 - k % 5, "cols": 7, "marks": marks[: k % 31]} for k in range(3000)])
+    tracemalloc.start()
+    try:
+        drawn = sum(b.num_rows for b in pictures.draw_grids(Grids(), 6, 5)(iter([rows])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert drawn == 3000 and peak < 20_000_000
+    ((width, pixels),) = {tuple(x) for b in pictures.draw_grids(Grids(), 6, 5)(iter([rows.slice(30, 1)])) for x in zip(b.column("width").to_pylist(), b.column("pixels").to_pylist())}
+    dark = np.argwhere(np.frombuffer(pixels, dtype=np.uint8).reshape(-1, width) == 20).tolist()
+    assert sorted(dark) == [[y, x] for y in range(5, 582) for x in range(5, 48) if (y - 5) % 6 == 0 or (x - 5) % 6 == 0 or any(y - 8 - 6 * m["i"] in (0, 1) and x - 8 - 6 * m["j"] in (0, 1) for m in marks)]
+    read = spark.createDataFrame([], "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>")
+    assert not any(step in steps_of(pictures.detected_grids(pictures.axis_lines(read))) for step in ("Exchange", "Aggregate", "Generate", "Join"))
+
+
 def test_votes_are_counted_where_a_keys_points_meet(spark):
     r = random.Random(6)
     points = [(k, r.randrange(-9, 12), r.randrange(15)) for k, n in ((1, 70), (2, 3), (None, 25), (3, 200)) for _ in range(n)]
