@@ -47,3 +47,11 @@ def strict_number(raw: Column) -> Column:
 def js_round(x: Column) -> Column:
     """Halves go up, for negative numbers too."""
     return F.floor(x + 0.5)
+
+
+def rounded(name: str, decimals: int) -> Column:
+    """``F.round`` of a column of doubles, up to 6 places.  Only numbers near a tie, large ones and those that are none take its way, through decimal text."""
+    x, unit = F.col(name), F.lit(10.0**decimals)
+    scaled = x * unit
+    plain = (F.abs(x) < 1e6) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-3)
+    return F.when(plain, F.floor(scaled + 0.5).cast("double") / unit).otherwise(F.round(x, decimals))

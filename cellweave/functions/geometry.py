@@ -38,11 +38,17 @@ def frequency_confidence(a: Column, b: Column) -> Column:
     return 1 - F.least(F.coalesce(F.try_divide(F.abs(a - b), F.greatest(a, b)), F.lit(0.0)), F.lit(1.0))
 
 
-def line_intersection(h: Column, v: Column) -> Column:
-    """Where two lines (structs x1, y1, x2, y2) cross; null if parallel."""
+def crossing(h, v) -> tuple[Column, Column, Column]:
+    """(whether two lines are not parallel, x, y of where they cross); lines: structs, or dicts of columns, x1, y1, x2, y2."""
     den = (h["x1"] - h["x2"]) * (v["y1"] - v["y2"]) - (h["y1"] - h["y2"]) * (v["x1"] - v["x2"])
     t = F.try_divide((h["x1"] - v["x1"]) * (v["y1"] - v["y2"]) - (h["y1"] - v["y1"]) * (v["x1"] - v["x2"]), den)
-    return F.when(F.abs(den) >= 1e-10, F.struct((h["x1"] + t * (h["x2"] - h["x1"])).alias("x"), (h["y1"] + t * (h["y2"] - h["y1"])).alias("y")))
+    return F.abs(den) >= 1e-10, h["x1"] + t * (h["x2"] - h["x1"]), h["y1"] + t * (h["y2"] - h["y1"])
+
+
+def line_intersection(h: Column, v: Column) -> Column:
+    """Where two lines (structs x1, y1, x2, y2) cross; null if parallel."""
+    meet, x, y = crossing(h, v)
+    return F.when(meet, F.struct(x.alias("x"), y.alias("y")))
 
 
 def line_kind(line: Column, tolerance: float = 10.0) -> Column:

@@ -6,12 +6,13 @@ row kept is a fold over the key's sorted array, inside the JVM.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.digits import js_round
+from ..functions.digits import js_round, rounded
 
 
 def gaps(positions: DataFrame, key: str, pos: str = "pos") -> DataFrame:
@@ -226,17 +227,28 @@ def dealt_pairs(one: DataFrame, other: DataFrame, key: str, parts: int = 64) ->
 def intersections(lines: DataFrame, key: str, width: float, height: float, decimals: int) -> DataFrame:
     """Where a key's horizontal and vertical lines cross, inside the image, a row for each pair.  Lines: key, kind, line (struct).
 
-    Equal lines of a key are one row, with their number, until their crossings are known and rounded.
+    Equal lines of a key are one row, with their number, until their crossings are known and rounded.  Ends are plain columns:
+    structs made and taken apart for each pair are more code than Java compiles.
     """
-    from ..functions.geometry import line_intersection
+    from ..functions.geometry import crossing
 
     counted = lines.groupBy(key, "kind", "line").agg(F.count(F.lit(1)).alias("_n"))
-    h, v = (counted.where(F.col("kind") == kind).select(key, F.col("line").alias(name), F.col("_n").alias(f"_{name}")) for kind, name in (("horizontal", "h"), ("vertical", "v")))
-    p = dealt_pairs(h, v, key).select(key, line_intersection(F.col("h"), F.col("v")).alias("p"), "_h", "_v")
-    inside = p.where(F.col("p").isNotNull() & F.col("p.x").between(0, width) & F.col("p.y").between(0, height))
-    found = inside.select(key, F.round("p.x", decimals).alias("x"), F.round("p.y", decimals).alias("y"), "_h", "_v")
+    ends = ("x1", "y1", "x2", "y2")
+    h, v = (counted.where(F.col("kind") == kind).select(key, *[F.col("line")[e].alias(f"_{name}_{e}") for e in ends], F.col("_n").alias(f"_{name}")) for kind, name in (("horizontal", "h"), ("vertical", "v")))
+    meet, x, y = crossing(*({e: F.col(f"_{name}_{e}") for e in ends} for name in "hv"))
+    inside = dealt_pairs(h, v, key).where(meet & x.between(0, width) & y.between(0, height)).select(key, x.alias("x"), y.alias("y"), "_h", "_v")
+    found = inside.select(key, rounded("x", decimals).alias("x"), rounded("y", decimals).alias("y"), F.least("_h", "_v").alias("_few"), F.greatest("_h", "_v").alias("_many"))
     times = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))
-    return found.select(key, "x", "y", "_v", times("_h")).select(key, "x", "y", times("_v")).select(key, "x", "y")
+    each = _one_by_one(_one_by_one(found).select(key, "x", "y", "_many", times("_few")).select(key, "x", "y", "_many"))
+    return each.select(key, "x", "y", times("_many")).select(key, "x", "y")
+
+
+def _one_by_one(rows: DataFrame) -> DataFrame:
+    """The same rows, by an operator that is not compiled into those around it.
+
+    What is compiled as one holds all that a row of its input becomes, so a line that meets many would hold all their crossings, each as often as it returns.
+    """
+    return rows.observe(f"rows-{uuid.uuid4().hex}", F.count(F.lit(1)))
 
 
 def nearest_rows(words: DataFrame, rows: DataFrame, key: str) -> DataFrame:

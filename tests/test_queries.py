@@ -634,6 +634,38 @@ def test_segments_of_a_nation_all_cross(spark):
     assert crossed == sum(n * s.get(k, 0) for k, n in c.items())
 
 
+def test_crossings_are_compiled(spark):
+    """What is done for each pair is short enough for Java's compiler (8,000 bytes of code; 12,370 before), and its copies are not made where the lines meet."""
+    lines = [(k, (0.0, float(y), 1000.0, float(y + y % 3)), "horizontal") for k in (1, 2) for y in (3, 3, 3, 4, 8)] + [(k, (float(x), 0.0, float(x + x % 5), 1000.0), "vertical") for k in (1, 3) for x in (7, 7, 13)]
+    table = frame(spark, lines, "k int, line struct<x1: double, y1: double, x2: double, y2: double>, kind string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        found = signal.intersections(table, "k", 1000, 1000, 6)
+        stages = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(found._jdf.queryExecution().executedPlan())
+        stages = [stages.apply(i) for i in range(stages.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert max(x._3().maxMethodCodeSize() for x in stages) < 8000
+    assert steps_of(found).count("CollectMetrics") == 2
+    want = []
+    for k, (_, y1, _, y2), _ in lines[:5]:
+        for x in (7, 7, 13):
+            t = (1000 * x + y1 * (x % 5)) / (1e6 - (y1 - y2) * -(x % 5))
+            want.append((k, round(t * 1000, 6), round(y1 + t * (y2 - y1), 6)))
+    got = sorted(map(tuple, found.collect()))
+    assert [g[0] for g in got] == [1] * 15 and np.allclose(got, sorted(want), atol=2e-6)
+    assert len(set(got)) == 6
+
+
+@given(st.lists(st.one_of(st.floats(), st.floats(-1000, 1000), st.integers(-(10**9), 10**9).map(lambda n: n / 2e6), st.integers(-(10**9), 10**9).map(lambda n: n / 1e6)), min_size=200, max_size=400))
+@settings(max_examples=5, deadline=None)
+def test_rounded_is_round(spark, numbers):
+    table = frame(spark, [(x,) for x in [*numbers, None, float("nan"), float("inf"), -0.0, -1e-9, 0.5, 2.5e-6, 1e6, -999999.9999995]], "x double")
+    rows = table.select(*[c.alias(f"c{i}") for n in (0, 2, 6) for i, c in enumerate((digits.rounded("x", n), F.round("x", n)))]).collect()
+    assert all(repr(r[i]) == repr(r[i + 1]) for r in rows for i in (0, 2, 4))
+
+
 def test_dealt_pairs(spark):
     one = frame(spark, [(k, i % 3) for k, n in ((1, 40), (2, 1), (3, 5)) for i in range(n)], "k int, a int")
     other = frame(spark, [(k, i) for k, n in ((1, 7), (2, 3), (4, 2)) for i in range(n)], "k int, b int")
